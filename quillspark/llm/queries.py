@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe_round_trip
 from .decontaminate import OP9_SQL, op9_decontamination
+from .quality import op10_quality_classifier
 from .secrets import op5_secret_scan
 from .sharding import op8_histogram_sharding
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op8_histogram_sharding, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op5_secret_scan, op6_bpe_round_trip, op8_histogram_sharding, op9_decontamination, op10_quality_classifier)}
 SQL = {"op9_decontamination": OP9_SQL}
