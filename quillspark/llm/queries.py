@@ -7,7 +7,8 @@ from .decontaminate import OP9_SQL, op9_decontamination
 from .quality import op10_quality_classifier
 from .secrets import op5_secret_scan
 from .sharding import op8_histogram_sharding
+from .toxicity import op7_toxicity_neighbours
 from .urls import OP4_SQL, op4_host_reputation
 
-QUERIES = {f.__name__: f for f in (op4_host_reputation, op5_secret_scan, op6_bpe_round_trip, op8_histogram_sharding, op9_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op4_host_reputation, op5_secret_scan, op6_bpe_round_trip, op7_toxicity_neighbours, op8_histogram_sharding, op9_decontamination, op10_quality_classifier)}
 SQL = {"op4_host_reputation": OP4_SQL, "op9_decontamination": OP9_SQL}
