@@ -6,11 +6,12 @@ from .bpe import op6_bpe_round_trip
 from .decontaminate import OP9_SQL, op9_decontamination
 from .neighbours import op1_additive_quantisation
 from .quality import op10_quality_classifier
+from .repeats import OP2_SQL, op2_repeated_phrases
 from .secrets import op5_secret_scan
 from .sharding import op8_histogram_sharding
 from .simhash import op3_simhash_groups
 from .toxicity import op7_toxicity_neighbours
 from .urls import OP4_SQL, op4_host_reputation
 
-QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op3_simhash_groups, op4_host_reputation, op5_secret_scan, op6_bpe_round_trip, op7_toxicity_neighbours, op8_histogram_sharding, op9_decontamination, op10_quality_classifier)}
-SQL = {"op4_host_reputation": OP4_SQL, "op9_decontamination": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_repeated_phrases, op3_simhash_groups, op4_host_reputation, op5_secret_scan, op6_bpe_round_trip, op7_toxicity_neighbours, op8_histogram_sharding, op9_decontamination, op10_quality_classifier)}
+SQL = {"op2_repeated_phrases": OP2_SQL, "op4_host_reputation": OP4_SQL, "op9_decontamination": OP9_SQL}
