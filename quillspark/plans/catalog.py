@@ -1,4 +1,462 @@
-"""All queries over the reference tables, with the SQL that gives the same rows."""
+"""All queries over the driver's tables, with the DuckDB SQL that gives the same rows.
+
+The tables stand in for a monitored collection: documents are articles, labels the gate
+(quality; none: never scored) and the flag (toxic), pages the fetched HTML, events dated
+activity. What documents lack is derived from doc_id by the rules of `articles` and ART.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..functions import dates as D
+from ..functions import text as T
+from ..functions import values as V
+from ..operators import articles as A
+from ..operators import dedup, merge, quality, rollup, schedule, scoring
+from ..sources import pages as P
+from . import sinks
+
+CATS = tuple(C.CATEGORY_LABELS)
+SECTIONS = ("yw_208727", "bz_208549", "jw_208551", "fyr", "other")
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _iso(df: DataFrame) -> DataFrame:
+    """Dates as ISO strings."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c, kind in df.dtypes if kind == "date"})
+
+
+def _pick(values, index):
+    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+
+
+def articles(spark: SparkSession, sf: str, text: bool = True) -> DataFrame:
+    """Documents as articles."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    i = F.col("id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (i % 30).cast("int"))
+    out = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source_slug"), "lang", F.col("text").alias("text_original")).join(labels.withColumnRenamed("doc_id", "id"), "id", "left")
+    out = out.select(
+        "id", "source_slug", "lang", "text_original", F.split_part("text_original", F.lit("\n"), F.lit(1)).alias("title_original"),
+        F.concat(F.lit("https://news.example.cn/"), _pick(SECTIONS, i % 5), F.lit("/"), i.cast("string"), F.lit(".html")).alias("url"),
+        F.date_format(day, "yyyy-MM-dd").alias("published_date"), (F.col("quality") == 1).alias("passed_relevance"),
+        F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_significant"), (i % 101 / 100.0).cast("double").alias("relevance_score"),
+        F.when((F.col("quality") == 1) & (i % 3 != 0), F.date_format(day, "yyyy-MM-dd")).alias("analyzed_at"),
+        F.array_distinct(F.array(_pick(CATS, i % 14), _pick(CATS, F.floor(i / 7) % 14))).alias("categories"), i.alias("ord"),
+    )
+    summary = F.left("text_original", F.lit(200))
+    out = out.withColumns({"title_english": F.col("title_original"), "summary_english": summary, "extraction_issue": A.extraction_issue(summary), "source_name": F.upper("source_slug")})
+    return out if text else out.drop("text_original")
+
+
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+ART = f"""
+SELECT d.doc_id AS id, source AS source_slug, upper(source) AS source_name, lang, text AS text_original, split_part(text, chr(10), 1) AS title_original, split_part(text, chr(10), 1) AS title_english,
+  'https://news.example.cn/' || {_LIST(SECTIONS)}[CAST(d.doc_id % 5 AS INT) + 1] || '/' || d.doc_id || '.html' AS url,
+  strftime(DATE '2024-01-01' + CAST(d.doc_id % 30 AS INT), '%Y-%m-%d') AS published_date, quality = 1 AS passed_relevance, coalesce(toxic = 1, false) AS is_significant,
+  CAST(d.doc_id % 101 AS DOUBLE) / 100.0 AS relevance_score,
+  CASE WHEN quality = 1 AND d.doc_id % 3 <> 0 THEN strftime(DATE '2024-01-01' + CAST(d.doc_id % 30 AS INT), '%Y-%m-%d') END AS analyzed_at,
+  CASE WHEN d.doc_id % 14 = (d.doc_id // 7) % 14 THEN [{_LIST(CATS)}[CAST(d.doc_id % 14 AS INT) + 1]] ELSE [{_LIST(CATS)}[CAST(d.doc_id % 14 AS INT) + 1], {_LIST(CATS)}[CAST((d.doc_id // 7) % 14 AS INT) + 1]] END AS categories,
+  d.doc_id AS ord, left(text, 200) AS summary_english, regexp_matches(lower(left(text, 200)), '{"|".join(C.EXTRACTION_SIGNALS)}') AS extraction_issue
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+"""
+_WITH = f"WITH art AS ({ART})"
+_PUB = "passed_relevance AND analyzed_at IS NOT NULL"
+_NORM = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x1c-\x1f]+', ' ', 'g'))"
+_PRIO = "CASE c " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.CATEGORY_PRIORITY.items()) + " ELSE 99 END"
+_CATPRIO = "list_min(list_transform(categories, lambda c: " + _PRIO + "))"
+_SECPRIO = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.SECTION_PRIORITY.items()) + " WHEN '' THEN 50 ELSE 70 END"
+_TITLE = r"trim(regexp_replace(coalesce(title_original, ''), '^(?:\s*(?:【[^】]*】|\[[^\]]*\])\s*)+', ''))"
+
+
+@query(f"{_WITH} SELECT id, sha256({_NORM.format('title_original')} || chr(10) || {_NORM.format('text_original')}) AS content_hash, CAST(length({_NORM.format('text_original')}) AS BIGINT) AS n FROM art")
+def normalize_hash(spark, sf):
+    """Collapsed text and content identity."""
+    return A.normalize(articles(spark, sf)).select("id", "content_hash", F.length("text_original").cast("long").alias("n"))
+
+
+_RANKED = f"""{_WITH}, h AS (SELECT *, CASE WHEN t = '' THEN '' ELSE sha1(t) END AS title_hash FROM (SELECT *, {_TITLE} AS t, {_SECPRIO.format("split_part(url, '/', 4)")} AS p FROM art)),
+r AS (SELECT *, row_number() OVER (PARTITION BY title_hash, CASE WHEN title_hash = '' THEN ord END ORDER BY p DESC, length(url), ord) AS k FROM h)"""
+
+
+@query(f"{_RANKED} SELECT id, title_hash FROM r WHERE k = 1")
+def title_dedup(spark, sf):
+    """One copy of each syndicated title: best section, shortest URL, earliest."""
+    return dedup.drop_reposts(articles(spark, sf)).select("id", "title_hash")
+
+
+@query(f"{_RANKED} SELECT id, CAST(k AS INT) AS copy_rank FROM r WHERE k > 1 AND title_hash <> ''")
+def repost_cleanup(spark, sf):
+    """Stored reposts that a clean-up deletes."""
+    return dedup.repost_losers(articles(spark, sf)).select("id", "copy_rank")
+
+
+@query(f"{_RANKED} SELECT title_hash, count(*) AS copies FROM r WHERE title_hash <> '' GROUP BY 1 HAVING count(*) > 1")
+def repost_groups(spark, sf):
+    """Titles that stand more than once."""
+    return dedup.repost_groups(articles(spark, sf))
+
+
+@query(f"""{_WITH}, h AS (SELECT id, url, sha256({_NORM.format('title_original')} || chr(10) || {_NORM.format('text_original')}) AS h FROM art),
+n AS (SELECT * FROM h WHERE id % 4 <> 0 AND h NOT IN (SELECT h FROM h WHERE id % 4 = 0)) SELECT min(id) AS id, h AS content_hash FROM n GROUP BY h""")
+def incremental_dedup(spark, sf):
+    """A batch against the store, by URL and content hash, greedy in order."""
+    a = A.normalize(articles(spark, sf)).select("id", "ord", "url", "content_hash")
+    return dedup.new_articles(a.filter("id % 4 <> 0"), a.filter("id % 4 = 0")).select("id", "content_hash")
+
+
+@query(f"{_WITH} SELECT id, regexp_matches(title_original || ' ' || text_original, '(?i)the|lich') OR contains(title_original || ' ' || text_original, 'ción') AS kw_pass FROM art")
+def keyword_filter(spark, sf):
+    """Keyword predicate, marked on every row."""
+    a = articles(spark, sf)
+    return a.select("id", A.keyword_pass(F.col("title_original"), F.col("text_original"), zh=("ción",), en=("the", "lich")).alias("kw_pass"))
+
+
+@query(f"{_WITH} SELECT CASE WHEN relevance_score >= 0.6 THEN 'kept' ELSE 'dropped' END AS side, count(*) AS n FROM art GROUP BY 1")
+def gate_threshold(spark, sf):
+    """Both sides of the score gate, counted."""
+    up, down = A.threshold_split(articles(spark, sf, False))
+    return up.select(F.lit("kept").alias("side")).unionByName(down.select(F.lit("dropped").alias("side"))).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_WITH} SELECT CASE WHEN passed_relevance IS NULL THEN 'unscored' WHEN NOT passed_relevance THEN 'rejected' WHEN analyzed_at IS NULL THEN 'pending' ELSE 'analyzed' END AS state, count(*) AS n FROM art GROUP BY 1")
+def state_counts(spark, sf):
+    """Rows in each state of the lifecycle."""
+    return A.state(articles(spark, sf, False)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_WITH} SELECT id, url FROM art WHERE passed_relevance AND analyzed_at IS NULL")
+def pending_queue(spark, sf):
+    """Passed, not analysed."""
+    return A.pending(articles(spark, sf, False)).select("id", "url")
+
+
+@query(f"{_WITH} SELECT id, url FROM art WHERE passed_relevance IS NULL AND published_date BETWEEN '2024-01-10' AND '2024-01-20'")
+def unscored_range(spark, sf):
+    """Never scored, between two dates."""
+    return A.unscored_between(articles(spark, sf, False), "2024-01-10", "2024-01-20").select("id", "url")
+
+
+def _dimensions(spark, sf):
+    docs = table(spark, sf, "documents")
+    sources = docs.select("source").distinct().select(F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("id"), F.col("source").alias("slug"), F.upper("source").alias("display_name"))
+    cats = spark.createDataFrame([(i, c) for i, c in enumerate(CATS)], "id long, slug string")
+    a = articles(spark, sf, False)
+    links = a.filter("id % 5 <> 0").select(F.col("id").alias("article_id"), F.explode("categories").alias("slug")).join(cats, "slug").select("article_id", F.col("id").alias("category_id"))
+    return a, sources, links, cats
+
+
+@query(f"""{_WITH} SELECT id, source_slug, source_name, CASE WHEN id % 5 <> 0 THEN array_to_string(list_sort(categories), ',') END AS category_slugs FROM art WHERE {_PUB}""")
+def articles_enriched(spark, sf):
+    """Articles with source and categories: dimension joins and a pre-aggregated bridge."""
+    a, sources, links, cats = _dimensions(spark, sf)
+    a = A.published(a).withColumn("source_id", F.regexp_extract("source_slug", r"(\d+)", 1).cast("long")).drop("source_slug", "source_name")
+    return A.enrich(a, sources, links, cats).select("id", "source_slug", "source_name", "category_slugs")
+
+
+@query(f"{_WITH} SELECT id, published_date FROM art WHERE {_PUB} AND published_date = '2024-01-15'")
+def date_point(spark, sf):
+    """Published articles of a day."""
+    return A.on_date(articles(spark, sf, False), "2024-01-15").select("id", "published_date")
+
+
+@query(f"{_WITH} SELECT id, published_date FROM art WHERE {_PUB} AND published_date BETWEEN '2024-01-05' AND '2024-01-11'")
+def date_range(spark, sf):
+    """Published articles of a range of days."""
+    return A.in_range(articles(spark, sf, False), "2024-01-05", "2024-01-11").select("id", "published_date")
+
+
+@query(f"{_WITH} SELECT DISTINCT published_date FROM art ORDER BY 1 DESC LIMIT 10")
+def recent_dates(spark, sf):
+    """The ten newest dates."""
+    return rollup.recent_dates(articles(spark, sf, False), 10)
+
+
+_BRIEF = f"row_number() OVER (PARTITION BY published_date ORDER BY is_significant DESC, {_CATPRIO}, relevance_score DESC, id)"
+
+
+@query(f"{_WITH} SELECT id, published_date, CAST({_BRIEF} AS INT) AS brief_rank FROM art WHERE published_date = (SELECT max(published_date) FROM art)")
+def daily_brief(spark, sf):
+    """The ranked brief of the latest day."""
+    return rollup.daily_brief(articles(spark, sf, False)).select("id", "published_date", "brief_rank")
+
+
+@query(f"{_WITH} SELECT id, CAST({_BRIEF} AS INT) AS brief_rank FROM art")
+def day_ranking(spark, sf):
+    """Every article's rank within its day."""
+    return rollup.day_order(articles(spark, sf, False)).select("id", "brief_rank")
+
+
+_CATN = "c AS (SELECT category, count(*) AS n FROM (SELECT unnest(categories) AS category FROM {0}) GROUP BY 1)"
+_LABEL = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.CATEGORY_LABELS.items()) + " END"
+
+
+@query(f"{_WITH}, {_CATN.format('art WHERE NOT extraction_issue')} SELECT category, n, CAST(row_number() OVER (ORDER BY n DESC, category) AS INT) AS rank, {_LABEL} AS label FROM c ORDER BY n DESC, category LIMIT 3")
+def dominant_categories(spark, sf):
+    """The three most frequent categories."""
+    return rollup.dominant_labels(articles(spark, sf, False)).select("category", "n", "rank", "label")
+
+
+@query(f"{_WITH}, {_CATN.format('''art WHERE published_date >= '2024-01-24' ''')} SELECT category, n, CAST(row_number() OVER (ORDER BY n DESC, category) AS INT) AS rank FROM c ORDER BY n DESC, category LIMIT 10")
+def top_categories_window(spark, sf):
+    """The ten most frequent categories of the last week."""
+    return rollup.category_counts(rollup.in_window(articles(spark, sf, False), 7), 10)
+
+
+@query(f"""{_WITH}, n AS (SELECT source_name AS source, count(*) AS n FROM art WHERE published_date >= '2024-01-01' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+SELECT source, n, CAST(row_number() OVER (ORDER BY n DESC, source) AS INT) AS rank, round(n / max(n) OVER () * 100, 1) AS height FROM n""")
+def source_mix(spark, sf):
+    """Sources of the last 30 days with their share of the greatest."""
+    return rollup.source_mix(articles(spark, sf, False), 30)
+
+
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS d, event_type = 'error' AS f FROM events), m AS (SELECT max(d) AS t FROM e)
+SELECT w AS days, count(*) FILTER (WHERE d >= t - (w - 1)) AS total, count(*) FILTER (WHERE d >= t - (w - 1) AND f) AS flagged FROM e, m, (VALUES (CAST(7 AS INT)), (30)) v(w) GROUP BY w""")
+def window_stats(spark, sf):
+    """Totals of trailing windows, anchored on the latest date."""
+    return rollup.window_stats(_events(spark, sf))
+
+
+def _events(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("published_date"), (F.col("event_type") == "error").alias("is_significant"), F.col("event_type").alias("source_slug"), F.array(F.col("event_type")).alias("categories"), F.col("value").alias("relevance_score"))
+
+
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS d, event_type = 'error' AS f FROM events), m AS (SELECT max(d) AS t FROM e), s AS (SELECT CAST(unnest(generate_series(t - 29, t, INTERVAL 1 DAY)) AS DATE) AS day FROM m)
+SELECT strftime(day, '%Y-%m-%d') AS day, count(d) AS total, count(*) FILTER (WHERE f) AS flagged FROM s LEFT JOIN e ON d = day GROUP BY day""")
+def daily_series(spark, sf):
+    """Counts of each of the last 30 days, zeros included."""
+    return _iso(rollup.daily_series(_events(spark, sf), 30))
+
+
+@query("""WITH c(slug, name, fallback) AS (VALUES ('src0', 'Zero', 'expanding'), ('src1', 'One', 'expanding'), ('none', 'None', 'in development')), n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
+SELECT slug, name, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'collected' ELSE fallback END AS status FROM c LEFT JOIN n ON source = slug""")
+def source_status(spark, sf):
+    """Configured sources, those without articles too."""
+    configured = spark.createDataFrame([("src0", "Zero", "expanding"), ("src1", "One", "expanding"), ("none", "None", "in development")], "slug string, name string, fallback string")
+    return rollup.source_status(articles(spark, sf, False), configured)
+
+
+@query(f"{_WITH} SELECT count(*) AS total, count(*) FILTER (WHERE is_significant) AS flagged, round(count(*) FILTER (WHERE is_significant) * 100.0 / count(*), 6) AS pct, count(DISTINCT source_slug) AS sources FROM art WHERE {_PUB}")
+def totals(spark, sf):
+    """Published, flagged, share, sources."""
+    return rollup.totals(A.published(articles(spark, sf, False))).withColumn("pct", F.round("pct", 6))
+
+
+@query(f"""{_WITH}, w AS (SELECT *, CASE WHEN dayofweek(CAST(published_date AS DATE)) = 0 THEN CAST(published_date AS DATE) - 1 ELSE CAST(published_date AS DATE) + CAST(6 - dayofweek(CAST(published_date AS DATE)) AS INT) END AS week_ending FROM art WHERE {_PUB}),
+k AS (SELECT week_ending, category, count(*) AS n FROM (SELECT week_ending, unnest(categories) AS category FROM w) GROUP BY 1, 2), t AS (SELECT week_ending, category FROM k QUALIFY row_number() OVER (PARTITION BY week_ending ORDER BY n DESC, category) = 1)
+SELECT strftime(w.week_ending, '%Y-%m-%d') AS week_ending, strftime(w.week_ending - 6, '%Y-%m-%d') AS week_start, count(*) AS n_articles, count(*) FILTER (WHERE is_significant) AS n_significant, count(DISTINCT published_date) AS days_covered,
+  array_to_string(list_sort(list(DISTINCT source_slug)), ',') AS sources, any_value(category) AS top_category FROM w JOIN t USING (week_ending) GROUP BY w.week_ending""")
+def weekly_stats(spark, sf):
+    """Statistics of each week."""
+    return _iso(rollup.weekly_stats(A.published(articles(spark, sf, False))))
+
+
+@query(f"""{_WITH}, r AS (SELECT id, is_significant, row_number() OVER (ORDER BY is_significant DESC, CASE WHEN NOT is_significant THEN relevance_score END DESC NULLS LAST, id) AS k, count(*) OVER () AS n FROM art WHERE {_PUB} AND published_date BETWEEN '2024-01-14' AND '2024-01-20')
+SELECT id, CAST(k AS INT) AS trail_rank, n > 13 AS truncated FROM r WHERE k <= 13""")
+def source_trail(spark, sf):
+    """The capped trail of a week: flagged first, then by relevance."""
+    return rollup.source_trail(A.in_range(articles(spark, sf, False), "2024-01-14", "2024-01-20")).select("id", "trail_rank", "truncated")
+
+
+@query("""WITH e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderstatus = 'F' AND extract(day FROM o_orderdate) IN (1, 8, 15, 22))
+SELECT strftime(date, '%Y-%m-%d') AS date, CAST(row_number() OVER w AS INT) AS issue_number, strftime(lag(date) OVER w, '%Y-%m-%d') AS previous, strftime(lead(date) OVER w, '%Y-%m-%d') AS next, coalesce(CAST(date - lag(date) OVER w AS INT), 0) AS gap_days, coalesce(date - lag(date) OVER w = 7, true) AS on_time FROM e WINDOW w AS (ORDER BY date)""")
+def edition_index(spark, sf):
+    """Numbers, neighbours and gaps of dated editions."""
+    o = table(spark, sf, "orders").filter("o_orderstatus = 'F' AND day(o_orderdate) IN (1, 8, 15, 22)")
+    return _iso(rollup.edition_index(o.select(F.col("o_orderdate").cast("date").alias("date")).distinct())).fillna(0, ["gap_days"])
+
+
+@query(f"""{_WITH}, new AS (SELECT id FROM art WHERE id % 25 = 3), pend AS (SELECT id FROM art WHERE passed_relevance AND analyzed_at IS NULL AND id NOT IN (SELECT id FROM new) AND id % 50 = 0),
+uns AS (SELECT id, published_date >= '2024-01-16' AS live FROM art WHERE passed_relevance IS NULL AND id NOT IN (SELECT id FROM new)),
+b AS (SELECT id, 1 AS tier, 0 AS rank FROM pend UNION ALL SELECT id, 2, CASE WHEN live THEN 0 ELSE 1 END FROM uns), s AS (SELECT (SELECT count(*) FROM new) AS nn, (SELECT count(*) FROM b) AS nb),
+q AS (SELECT nn, nb, least(nn, 55 - least(nb, 16)) AS tn FROM s),
+u AS (SELECT id, 0 AS tier, 0 AS rank, row_number() OVER (ORDER BY id) AS k, tn AS most FROM new, q UNION ALL SELECT id, tier, rank, row_number() OVER (ORDER BY tier, rank, id), least(nb, 55 - tn) FROM b, q)
+SELECT CAST(row_number() OVER (ORDER BY tier, rank, id) AS INT) AS position, id, CAST(tier AS INT) AS tier FROM u WHERE k <= most""")
+def analysis_queue(spark, sf):
+    """The capacity-bounded queue: new rows, then a reserved share of the backlog."""
+    a = articles(spark, sf, False)
+    new = a.filter("id % 25 = 3").select("id", "ord")
+    uns = A.unscored(a).select("id", (F.col("published_date") >= "2024-01-16").alias("live"))
+    return schedule.analysis_queue(new, A.pending(a).filter("id % 50 = 0").select("id"), uns)[0]
+
+
+@query(f"""{_WITH} SELECT id FROM art WHERE {_PUB} AND contains(lower(title_original || ' ' || title_original || ' ' || left(text_original, 200)), 'the') AND published_date BETWEEN '2024-01-03' AND '2024-01-25' AND list_has_any(categories, ['taiwan', 'nuclear', 'doctrine'])""")
+def archive_search(spark, sf):
+    """Text, date and category filters of the archive together."""
+    a = A.published(articles(spark, sf, False)).select("id", F.col("title_english").alias("title_en"), F.col("title_original").alias("title_zh"), F.col("summary_english").alias("summary"), F.col("published_date").alias("date"), "is_significant", "categories")
+    return A.search(a, "The", "2024-01-03", "2024-01-25", categories=["taiwan", "nuclear", "doctrine"]).select("id")
+
+
+@query(f"""{_WITH} SELECT id, CASE WHEN length(s) <= 300 THEN s ELSE regexp_replace(regexp_replace(left(s, 300), ' [^ ]*$', ''), '[ ,;:]+$', '') || '...' END AS excerpt,
+CASE WHEN length(t) <= 110 THEN t ELSE regexp_replace(regexp_replace(left(t, 110), ' [^ ]*$', ''), '[ ,;:]+$', '') || '…' END AS short_title,
+CAST(extract(day FROM CAST(published_date AS DATE)) AS INT) || ' January 2024' AS date_fmt FROM (SELECT id, text_original AS s, trim(CASE WHEN title_original = '' THEN 'Untitled' ELSE title_original END) AS t, published_date FROM art)""")
+def archive_record(spark, sf):
+    """Excerpts, short titles and formatted dates."""
+    a = articles(spark, sf)
+    return a.select("id", T.excerpt(F.col("text_original")).alias("excerpt"), T.short_title(F.col("title_english"), F.col("title_original")).alias("short_title"), D.long_form(F.col("published_date")).alias("date_fmt"))
+
+
+def _three(spark, sf):
+    a = articles(spark, sf, False).select("id", "url", "published_date", "relevance_score", "passed_relevance", "analyzed_at", "is_significant")
+    origin = a.filter("id % 3 <> 0").withColumns({"analyzed_at": F.when(F.col("id") % 2 == 0, F.col("analyzed_at")), "passed_relevance": F.when(F.col("id") % 7 != 0, F.col("passed_relevance"))})
+    local = a.filter("id % 4 <> 1")
+    return a.filter("id % 6 = 1"), origin, local.withColumn("id", F.col("id") + 10)
+
+
+_MERGE = f"""{_WITH}, origin AS (SELECT id, url, published_date, relevance_score, CASE WHEN id % 7 <> 0 THEN passed_relevance END AS passed_relevance, CASE WHEN id % 2 = 0 THEN analyzed_at END AS analyzed_at, is_significant FROM art WHERE id % 3 <> 0),
+loc AS (SELECT id + 10 AS id, url, published_date, relevance_score, passed_relevance, analyzed_at, is_significant FROM art WHERE id % 4 <> 1),
+kept AS (SELECT o.id, o.url, CASE WHEN w THEN l.passed_relevance ELSE o.passed_relevance END AS passed_relevance, CASE WHEN w THEN l.analyzed_at ELSE o.analyzed_at END AS analyzed_at
+  FROM (SELECT o.id, o.url, o.passed_relevance, o.analyzed_at, coalesce((l.analyzed_at IS NOT NULL AND o.analyzed_at IS NULL) OR (l.passed_relevance IS NOT NULL AND o.passed_relevance IS NULL), false) AS w FROM origin o LEFT JOIN loc l USING (url)) o LEFT JOIN loc l USING (url)),
+fresh AS (SELECT (SELECT max(id) FROM origin) + row_number() OVER (ORDER BY id) AS id, url, passed_relevance, analyzed_at FROM loc WHERE url NOT IN (SELECT url FROM origin)), merged AS (SELECT * FROM kept UNION ALL SELECT * FROM fresh)"""
+
+
+@query(f"{_MERGE} SELECT CAST(id AS BIGINT) AS id, url, passed_relevance, analyzed_at FROM merged")
+def three_way_merge(spark, sf):
+    """Two diverged copies of a table put together again."""
+    return merge.three_way_merge(*_three(spark, sf)).select("id", "url", "passed_relevance", "analyzed_at")
+
+
+@query(f"""{_MERGE} SELECT 'duplicate_urls' AS gate, (SELECT count(*) FROM (SELECT url FROM merged GROUP BY 1 HAVING count(*) > 1)) AS violations
+UNION ALL SELECT 'id_drift', (SELECT count(*) FROM merged m JOIN (SELECT id, url FROM art WHERE id % 6 = 1) b USING (url) WHERE m.id <> b.id)
+UNION ALL SELECT 'lost_from_origin', (SELECT count(*) FROM origin WHERE url NOT IN (SELECT url FROM merged)) UNION ALL SELECT 'lost_from_local', (SELECT count(*) FROM loc WHERE url NOT IN (SELECT url FROM merged))
+UNION ALL SELECT 'decisions_lost_from_origin', (SELECT count(*) FROM origin WHERE passed_relevance IS NOT NULL AND url IN (SELECT url FROM merged WHERE passed_relevance IS NULL))
+UNION ALL SELECT 'decisions_lost_from_local', (SELECT count(*) FROM loc WHERE passed_relevance IS NOT NULL AND url IN (SELECT url FROM merged WHERE passed_relevance IS NULL))""")
+def merge_gates(spark, sf):
+    """Integrity gates of the merge."""
+    base, origin, local = _three(spark, sf)
+    return merge.gates(base, origin, local, merge.three_way_merge(base, origin, local))
+
+
+@query(f"{_WITH} SELECT id AS doc_id, 'left' AS side FROM art WHERE {_PUB} AND id % 9 = 0 UNION ALL SELECT id, 'right' FROM art WHERE id % 9 <> 0 AND id % 11 = 0 AND NOT ({_PUB} IS TRUE)")
+def coverage_difference(spark, sf):
+    """Analysed rows without a page, and pages without a row."""
+    a = articles(spark, sf, False)
+    done = A.published(a).select(F.col("id").alias("doc_id"))
+    pages = done.filter("doc_id % 9 <> 0").unionByName(a.filter(f"id % 9 <> 0 AND id % 11 = 0 AND NOT coalesce({_PUB}, false)").select(F.col("id").alias("doc_id")))
+    return merge.symmetric_difference(done, pages, "doc_id")
+
+
+@query(f"""{_WITH} SELECT 'warning' AS level, 'blank_date' AS rule, CAST(id AS VARCHAR) AS key, 'date is blank' AS message FROM art WHERE id % 40 = 0 UNION ALL SELECT 'error', 'bad_date', CAST(id AS VARCHAR), 'date is malformed' FROM art WHERE id % 40 = 1
+UNION ALL SELECT 'error', 'blank_summary', CAST(id AS VARCHAR), 'summary is blank' FROM art WHERE id % 40 = 2 UNION ALL SELECT 'error', 'missing_page', CAST(id AS VARCHAR), 'article page is missing' FROM art WHERE id % 40 = 3""")
+def quality_findings(spark, sf):
+    """Data-quality rules on records with seeded violations."""
+    a = articles(spark, sf, False)
+    r = a.select("id", F.when(F.col("id") % 40 == 0, "").when(F.col("id") % 40 == 1, "2024-13-45").otherwise(F.col("published_date")).alias("date"), F.when(F.col("id") % 40 == 2, " ").otherwise(F.lit("text")).alias("summary"), F.concat(F.lit("articles/"), F.col("id").cast("string")).alias("article_path"))
+    return quality.record_rules(r, r.filter("id % 40 <> 3").select(F.col("article_path").alias("path")))
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(path, '^/[^/]+/') THEN split_part(path, '/', 2) ELSE '' END AS section, host, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*')) || regexp_replace(path, '/+$', '') AS canonical FROM (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)")
+def url_parts(spark, sf):
+    """Section, host and canonical form of URLs."""
+    return table(spark, sf, "pages").select("page_id", T.url_section(F.col("url")).alias("section"), T.url_host(F.col("url")).alias("host"), T.canonical_url(F.col("url")).alias("canonical"))
+
+
+_TOK = f"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s\\-'']', ' ', 'g'), '\\s+'), lambda t: length(t) > 2 AND NOT list_contains({_LIST([*C.STOPWORDS, *C.SENSATIONAL])}, t))"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS t FROM documents), b AS (SELECT DISTINCT item_id, unnest({_TOK}) AS t FROM benchmark), n AS (SELECT doc_id, item_id, count(*) AS overlap FROM a JOIN b USING (t) GROUP BY 1, 2)
+SELECT doc_id, item_id, overlap, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, item_id) AS INT) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, item_id) <= 3""")
+def token_overlap(spark, sf):
+    """For each document the three items that share most tokens."""
+    return scoring.overlap_scores(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("SELECT doc_id, length(text) AS input_tokens, CAST(floor(length(text) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS output_tokens, round(length(text) / 1e6 * 3.0 + length(text) * CAST(1.3 AS DOUBLE) / 1e6 * 15.0, 7) AS usd FROM documents")
+def cost_estimate(spark, sf):
+    """Cost of processing each text."""
+    c = table(spark, sf, "documents").select("doc_id", V.cost(F.length("text"), "large").alias("c"))
+    return c.select("doc_id", "c.input_tokens", "c.output_tokens", F.round("c.total_usd", 7).alias("usd"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS v FROM events WHERE props IS NOT NULL")
+def json_props(spark, sf):
+    """The first field of each JSON string."""
+    e = table(spark, sf, "events").filter("props IS NOT NULL")
+    key = F.element_at(F.json_object_keys("props"), 1)
+    return e.select("event_id", F.try_element_at(F.from_json("props", "map<string,string>"), key).alias("v"))
+
+
+@query("SELECT event_id, strftime(CASE WHEN dayofweek(CAST(ts AS DATE)) = 0 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) + CAST(6 - dayofweek(CAST(ts AS DATE)) AS INT) END, '%Y-%m-%d') AS week_ending FROM events")
+def week_ending(spark, sf):
+    """The Saturday that ends each event's week."""
+    return _iso(table(spark, sf, "events").select("event_id", D.week_ending(F.col("ts").cast("date")).alias("week_ending")))
+
+
+@query(f"{_WITH} SELECT source_slug, published_date, count(*) FILTER (WHERE relevance_score >= 0.5) AS visible, count(*) AS total FROM art GROUP BY 1, 2")
+def archive_counts(spark, sf):
+    """Visible and total articles of each source and day."""
+    return articles(spark, sf, False).groupBy("source_slug", "published_date").agg(F.count_if(F.col("relevance_score") >= 0.5).alias("visible"), F.count(F.lit(1)).alias("total"))
+
+
+@query(f"{_WITH} SELECT id, published_date, relevance_score FROM art WHERE is_significant AND NOT extraction_issue ORDER BY published_date DESC, relevance_score DESC, id LIMIT 6")
+def latest_flagged(spark, sf):
+    """The six newest flagged articles."""
+    return rollup.latest_flagged(articles(spark, sf, False), 6).select("id", "published_date", "relevance_score")
+
+
+@query("SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def turn_neighbours(spark, sf):
+    """Roles before and after each turn."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"))
+
+
+@query("""SELECT n_name AS nation, r_name AS region, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2""")
+def orders_by_nation(spark, sf):
+    """Facts through two dimensions."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_totalprice").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")), "o_custkey")
+    by = o.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n_orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return by.join(n, "n_nationkey").select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"), "n_orders", F.round(F.col("total").cast("double"), 2).alias("total"))
+
+
+@query()
+def page_parse(spark, sf):
+    """Articles parsed from raw pages."""
+    return P.parse(table(spark, sf, "pages"))
+
+
+@query()
+def page_links(spark, sf):
+    """Every link of every page, resolved."""
+    return P.anchors(table(spark, sf, "pages"))
+
+
+@query()
+def lint_findings(spark, sf):
+    """Editorial findings on every document."""
+    a = articles(spark, sf)
+    return a.select("id", F.explode(quality.lint_summary(F.col("title_original"), F.col("text_original"))).alias("finding"))
+
+
+@query()
+def daily_readout(spark, sf):
+    """Facts of the latest day's brief."""
+    return rollup.readout(rollup.daily_brief(articles(spark, sf, False)))
+
+
+@query()
+def sitemap(spark, sf):
+    """A sitemap element of each page."""
+    a = articles(spark, sf, False)
+    dates = a.select(F.col("published_date").alias("date")).distinct()
+    return sinks.sitemap_lines(sinks.sitemap_urls("https://example.org/", ["", "archive"], dates, A.published(a)))
