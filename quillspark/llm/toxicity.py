@@ -14,6 +14,7 @@ from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -55,21 +56,23 @@ def levels(stem: bytes, n: int) -> list[bytes]:
     return [stem] if stem[:1] == b"=" else [stem + b"#%d" % k for k in LEVELS if n >= k]
 
 
-class Stems(dict):
-    """The wanted stems of each word, remembered."""
+class Stems:
+    """Counts the wanted stems of a text in one pass of an automaton, without looking at other words."""
 
     def __init__(self, wanted: set[bytes]):
-        super().__init__()
-        self.wanted = wanted
+        self.automaton = ahocorasick.Automaton()
+        for x in wanted:
+            # bytes as code points; a whole word ends at a blank, a beginning anywhere
+            self.automaton.add_word(" " + x[1:].decode("latin-1") + (" " if x[:1] == b"=" else ""), x)
+        self.empty = not wanted
+        if wanted:
+            self.automaton.make_automaton()
 
-    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        found = self[word] = tuple(x for x in stems(word) if x in self.wanted)
-        return found
-
-    def counts(self, words: list[bytes]) -> Counter:
-        return Counter(chain.from_iterable(map(self.__getitem__, words)))
+    def counts(self, text: str | None) -> Counter:
+        if self.empty or not text:
+            return Counter()
+        line = " " + text.encode().translate(_TABLE).decode("latin-1") + " "
+        return Counter(x for _, x in self.automaton.iter(line))
 
 
 def terms_of(words: list[bytes]) -> set[bytes]:
@@ -78,38 +81,51 @@ def terms_of(words: list[bytes]) -> set[bytes]:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of examples with their largest weights."""
+    """Postings of unit vectors by term, in blocks of examples with their largest weights.
+
+    A block keeps the weights of all its examples term by term; with EXAMPLES and TERMS bounded,
+    so are the blocks, and a set of them is scored at once.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        blocks = -(-self.n // block)
-        self.most = np.zeros((n_terms, max(blocks, 1)))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
+        self.weights = np.zeros((max(1, -(-self.n // block)), n_terms, block))
         for i, v in enumerate(vectors):
             for t, w in v.items():
-                lists[t].append((i, w))
-                self.most[t, i // block] = max(self.most[t, i // block], w)
-        self.docs = [np.array([i for i, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.starts = [np.searchsorted(d, np.arange(blocks + 1) * block) for d in self.docs]
+                self.weights[i // block, t, i % block] = w
+        self.most = self.weights.max(2)
 
     def search(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
-        """The k examples of greatest similarity above zero, ties to the smaller index."""
+        """The k examples of greatest similarity above zero, ties to the smaller index.
+
+        The blocks of greatest bound are scored first; of the others only those whose bound
+        reaches the k-th similarity found, so that none that belongs is missed.
+        """
         if not query or not self.n:
             return []
-        terms = list(query)
-        bound = np.array([query[t] for t in terms]) @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t in terms:
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                score[self.docs[t][lo:hi] - b * self.block] += query[t] * self.weights[t][lo:hi]
-            hit = np.flatnonzero(score > 0)
-            best = sorted(best + [(-score[i], int(b * self.block + i)) for i in hit if b * self.block + i != without])[:k]
-        return [(i, -s) for s, i in best]
+        terms, q = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
+        bound = self.most[:, terms] @ q
+        first = np.argsort(-bound, kind="stable")[: k // self.block + 3]
+        scores = self._scores(first, terms, q, without)
+        least = np.partition(scores.ravel(), -k)[-k] if scores.size >= k else 0.0
+        bound[first] = -1
+        rest = np.flatnonzero(bound >= max(least - 1e-12, 1e-300))
+        at, found = first[:, None] * self.block + np.arange(self.block), scores
+        if len(rest):
+            at = np.concatenate([at, rest[:, None] * self.block + np.arange(self.block)])
+            found = np.concatenate([scores, self._scores(rest, terms, q, without)])
+        at, found = at.ravel(), found.ravel()
+        hit = np.flatnonzero(found >= max(least, 1e-300))
+        hit = hit[np.lexsort((at[hit], -found[hit]))[:k]]
+        return list(zip(at[hit].tolist(), found[hit].tolist()))
+
+    def _scores(self, blocks: np.ndarray, terms: np.ndarray, q: np.ndarray, without: int) -> np.ndarray:
+        out = np.zeros((len(blocks), self.block))
+        for t, w in zip(terms.tolist(), q.tolist()):  # in one order everywhere, so equal vectors score alike
+            out += w * self.weights[blocks, t]
+        if without >= 0:
+            out[blocks == without // self.block, without % self.block] = 0
+        return out
 
 
 @dataclass(frozen=True)
@@ -176,7 +192,7 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, dict
         memo = Examples(wanted, np.zeros(0), None, [], np.zeros(0), 0.0).stems()
         for b in slices(batches, most=8 << 20):
             for text in fill(b.column("text")).to_pylist():
-                for x, times in memo.counts(words_in(text)).items():
+                for x, times in memo.counts(text).items():
                     for t in levels(x, times):
                         if t in wanted:
                             df[wanted[t]] += 1
@@ -226,7 +242,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int
     def counted(batches):
         memo = bare.stems()
         for b in slices(batches):
-            got = [list(map(list, bare.vector(memo.counts(words_in(t))).items())) for t in fill(b.column("text")).to_pylist()]
+            got = [list(map(list, bare.vector(memo.counts(t)).items())) for t in fill(b.column("text")).to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array([[x[0] for x in g] for g in got], pa.list_(pa.int32())), pa.array([[x[1] for x in g] for g in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "t", "w"])
 
     found = sorted(rows.mapInArrow(counted, "doc_id long, toxic int, t array<int>, w array<double>").collect(), key=lambda r: r["doc_id"])  # a bounded sample
@@ -259,7 +275,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Examples) -> DataFrame:
         for b in slices(batches, most=8 << 20):
             scores, evidence = [], []
             for text in fill(b.column("text")).to_pylist():
-                v = m.vector(memo.counts(words_in(text)))
+                v = m.vector(memo.counts(text))
                 key = tuple(v.items())
                 if not key:
                     s, near = none, []
