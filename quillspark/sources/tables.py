@@ -19,10 +19,10 @@ EDITION = (
 
 
 def editions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Readable editions with file_name and file_date, and the names of files that are not."""
+    """Readable editions with file_name and file_date (those without a date are left out), and file_name and date of files that are not."""
     raw = spark.read.schema(EDITION).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     raw = raw.withColumn("file_name", F.col("_metadata.file_name")).withColumn("file_date", F.regexp_extract("file_name", r"(\d{4}-\d{2}-\d{2})\.json$", 1))
-    return raw.filter("_corrupt_record IS NULL").drop("_corrupt_record"), raw.filter("_corrupt_record IS NOT NULL").select("file_name")
+    return raw.filter("_corrupt_record IS NULL AND date IS NOT NULL").drop("_corrupt_record"), raw.filter("_corrupt_record IS NOT NULL").select("file_name", "date")
 
 
 def flat_terms(e: DataFrame) -> DataFrame:
