@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from .work import Workspace
 
-BOOKS, CODES, BEAM = 8, 64, 8
+BOOKS, CODES, BEAM = 16, 64, 4
 #: Rows that codebooks are fitted on, at most; every row is indexed.
 SAMPLE = 16_384
 #: Queries that are broadcast at a time, rows of a block, and candidates of a block that are ranked exactly.
-QUERY_BLOCK, ROW_BLOCK, RERANK = 2_048, 4_096, 64
+QUERY_BLOCK, ROW_BLOCK, RERANK = 2_048, 16_384, 1_024
 
 
 @dataclass(frozen=True)
@@ -100,6 +100,20 @@ def _matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions), fits
 
 
+def _blocks(batches, rows: int):
+    """Arrow batches put together to blocks of about so many rows."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def build(spark: SparkSession, ws: Workspace, rows: DataFrame, books: int = BOOKS, codes: int = CODES, sample: int = SAMPLE) -> tuple[Codebooks | None, int, DataFrame]:
     """Codebooks, dimensions and the index: vec_id, v, codes (binary) and norm of every usable row.
 
@@ -187,15 +201,13 @@ def search(spark: SparkSession, embeddings: DataFrame, queries: DataFrame, k: in
 
             def scan(batches, shared=shared):
                 books_, qid, q = shared.value
-                for b in batches:
+                for b in _blocks(batches, ROW_BLOCK):
                     x, _ = _matrix(b.column("v"), dimensions)
                     codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
                     ids, norm = b.column("vec_id").to_numpy(), b.column("norm").to_numpy()
-                    for at in range(0, len(x), ROW_BLOCK):
-                        s = slice(at, at + ROW_BLOCK)
-                        for t in range(0, len(q), 256):
-                            got = _block_best(books_, q[t : t + 256], qid[t : t + 256], x[s], ids[s], codes[s], norm[s], k, rerank)
-                            yield pa.record_batch([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["query_id", "vec_id", "score"])
+                    for t in range(0, len(q), 128):
+                        got = _block_best(books_, q[t : t + 128], qid[t : t + 128], x, ids, codes, norm, k, rerank)
+                        yield pa.record_batch([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["query_id", "vec_id", "score"])
 
             near = index.mapInArrow(scan, schema)
             near = ws.table("near", near) if blocks > 1 else near

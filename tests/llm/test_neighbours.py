@@ -38,3 +38,18 @@ def test_empty_and_single(spark):
     df = spark.createDataFrame([(100, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert search(spark, df, df, 3).count() == 0
     assert search(spark, df.limit(0), df.limit(0), 3).count() == 0
+
+
+def test_encoding_is_near_and_norms_are_those_of_the_sums():
+    from quillspark.llm.neighbours import fit
+
+    x = np.random.default_rng(2).normal(size=(400, 8))
+    books = fit(x, 4, 16)
+    codes, norm = books.encode(x)
+    sums = sum(books.words[m][codes[:, m]] for m in range(4))
+    assert np.allclose((sums * sums).sum(1), norm)
+    assert ((x - sums) ** 2).sum() < 0.3 * (x * x).sum()
+    wide, _ = books.encode(x, 16)
+    narrow, _ = books.encode(x, 1)
+    error = lambda c: ((x - sum(books.words[m][c[:, m]] for m in range(4))) ** 2).sum()
+    assert error(wide) <= error(narrow)
