@@ -54,23 +54,34 @@ def new_articles(batch: DataFrame, stored: DataFrame, order: str = "ord") -> Dat
     keyed = fresh.join(by_url, "url").join(by_hash, "content_hash")
     alone = keyed.filter("_u = 1 AND _h = 1").drop("_u", "_h")
     rest = keyed.filter("_u > 1 OR _h > 1").select(order, "url", "content_hash", "_u", "_h")
-    # A group of one URL, all of whose hashes are its own, keeps its first row, and so with hashes.
-    # Exact copies (both keys) are one row for the scan: the earliest decides and the others fall.
-    first = rest.groupBy("url", "content_hash").agg(F.min(order).alias(order))
-    labelled = _clusters(first, order)
+    # Where only hashes are shared, or only URLs, the first row of a group is the one that stays.
+    sides = []
+    for key, other in (("content_hash", "_u"), ("url", "_h")):
+        sides.append(rest.groupBy(key).agg(F.min(order).alias(order), F.max(other).alias("_m"), F.count(F.lit(1)).alias("_n")).filter("_m = 1 AND _n > 1"))
+    firsts = sides[0].select(order).unionByName(sides[1].select(order))
+    mixed = rest.join(sides[0].select("content_hash"), "content_hash", "left_anti").join(sides[1].select("url"), "url", "left_anti")
+    if mixed.limit(1).count():
+        firsts = firsts.unionByName(_scan_clusters(mixed, order))
+    return alone.unionByName(keyed.drop("_u", "_h").join(firsts, order, "left_semi"))
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+
+def _scan_clusters(rows: DataFrame, order: str) -> DataFrame:
+    """The orders that a greedy scan keeps, one cluster of shared keys at a time.
+
+    Exact copies (both keys) are one row for the scan: the earliest decides and the others fall.
+    """
+    labelled = _clusters(rows.groupBy("url", "content_hash").agg(F.min(order).alias(order)), order)
+
+    def scan(part: pd.DataFrame) -> pd.DataFrame:
         urls, hashes, kept = set(), set(), []
-        for o, u, h in rows.sort_values(order)[[order, "url", "content_hash"]].itertuples(index=False):
+        for o, u, h in part.sort_values(order)[[order, "url", "content_hash"]].itertuples(index=False):
             if u not in urls and h not in hashes:
                 urls.add(u)
                 hashes.add(h)
                 kept.append(o)
         return pd.DataFrame({order: kept})
 
-    kind = batch.schema[order].dataType.simpleString()
-    kept = labelled.groupBy("cluster").applyInPandas(scan, f"`{order}` {kind}")
-    return alone.unionByName(keyed.drop("_u", "_h").join(kept, order, "left_semi"))
+    return labelled.groupBy("cluster").applyInPandas(scan, f"`{order}` {rows.schema[order].dataType.simpleString()}")
 
 
 def _clusters(rows: DataFrame, order: str) -> DataFrame:
