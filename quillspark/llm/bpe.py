@@ -24,7 +24,7 @@ from .work import fill, prepare, slices, text_rows
 #: Characters of a chunk, and how far it reaches into the next.
 CHUNK, OVERLAP = 32_768, 512
 #: Pieces whose ids a worker remembers.
-CACHE = 150_000
+CACHE = 80_000
 
 
 def load_ranks(path: str) -> bytes:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes of an Arrow batch: long texts stay far below a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 #: Bytes of text that one step of numpy work takes at a time.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
