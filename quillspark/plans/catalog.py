@@ -329,10 +329,10 @@ kept AS (SELECT o.id, o.url, CASE WHEN w THEN l.passed_relevance ELSE o.passed_r
 fresh AS (SELECT (SELECT max(id) FROM origin) + row_number() OVER (ORDER BY id) AS id, url, passed_relevance, analyzed_at FROM loc WHERE url NOT IN (SELECT url FROM origin)), merged AS (SELECT * FROM kept UNION ALL SELECT * FROM fresh)"""
 
 
-@query(f"{_MERGE} SELECT CAST(id AS BIGINT) AS id, url, passed_relevance, analyzed_at FROM merged")
+@query(f"{_MERGE} SELECT CAST(id AS BIGINT) AS id, url, CAST(passed_relevance AS VARCHAR) AS passed_relevance, analyzed_at FROM merged")
 def three_way_merge(spark, sf):
     """Two diverged copies of a table put together again."""
-    return merge.three_way_merge(*_three(spark, sf)).select("id", "url", "passed_relevance", "analyzed_at")
+    return merge.three_way_merge(*_three(spark, sf)).select("id", "url", F.col("passed_relevance").cast("string").alias("passed_relevance"), "analyzed_at")
 
 
 @query(f"""{_MERGE} SELECT 'duplicate_urls' AS gate, (SELECT count(*) FROM (SELECT url FROM merged GROUP BY 1 HAVING count(*) > 1)) AS violations

@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -19,7 +20,7 @@ def duck():
 
 
 def rows(frame, columns):
-    plain = lambda v: None if v is None or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    plain = lambda v: None if pd.isna(v) else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted((tuple(plain(v) for v in r) for r in frame[columns].astype(object).values.tolist()), key=str)
 
 
