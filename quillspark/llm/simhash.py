@@ -215,9 +215,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, size: int = SHINGLE) -> DataF
     ws = Workspace(spark)
     found = ws.table("groups", groups(spark, docs, size).filter("doc_id IS NOT NULL"))
     kept = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("times")).filter("least = doc_id")
-    kept = ws.table("kept", kept.select(F.col("doc_id").alias("kept_id"), "times"))
+    kept = ws.table("kept", kept.select(F.col("doc_id").alias("__kept"), "times"))
     # one plan at every size: the kept ids grow with the input and are never broadcast
-    out = docs.join(kept.select("kept_id").hint("merge"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    out = docs.join(kept.select("__kept").hint("merge"), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
     if kept.filter("times > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id IS NULL"))
