@@ -48,11 +48,12 @@ def new_articles(batch: DataFrame, stored: DataFrame, order: str = "ord") -> Dat
     Rows whose URL and hash stand alone then pass at once. Only rows in conflict are scanned
     in order, one connected cluster of shared keys at a time.
     """
-    fresh = batch.join(stored.select("url").distinct(), "url", "left_anti").join(stored.select("content_hash").distinct(), "content_hash", "left_anti")
+    keys = batch.select(order, "url", "content_hash")
+    fresh = cut(keys.join(stored.select("url").distinct(), "url", "left_anti").join(stored.select("content_hash").distinct(), "content_hash", "left_anti"))
     by_url = fresh.groupBy("url").agg(F.count(F.lit(1)).alias("_u"))
     by_hash = fresh.groupBy("content_hash").agg(F.count(F.lit(1)).alias("_h"))
     keyed = fresh.join(by_url, "url").join(by_hash, "content_hash")
-    alone = keyed.filter("_u = 1 AND _h = 1").drop("_u", "_h")
+    alone = keyed.filter("_u = 1 AND _h = 1").select(order)
     rest = keyed.filter("_u > 1 OR _h > 1").select(order, "url", "content_hash", "_u", "_h")
     # Where only hashes are shared, or only URLs, the first row of a group is the one that stays.
     sides = []
@@ -62,7 +63,7 @@ def new_articles(batch: DataFrame, stored: DataFrame, order: str = "ord") -> Dat
     mixed = rest.join(sides[0].select("content_hash"), "content_hash", "left_anti").join(sides[1].select("url"), "url", "left_anti")
     if mixed.limit(1).count():
         firsts = firsts.unionByName(_scan_clusters(mixed, order))
-    return alone.unionByName(keyed.drop("_u", "_h").join(firsts, order, "left_semi"))
+    return batch.join(alone.unionByName(firsts), order, "left_semi")
 
 
 def _scan_clusters(rows: DataFrame, order: str) -> DataFrame:
