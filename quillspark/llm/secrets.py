@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +24,16 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Further contexts in which a value is judged by its guess cost.
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(pwd|pass|passphrase|passcode|pin|auth|credentials?|private_?key|access_?key|signing_?key|bearer)["']?\x20*[:=]\x20*["']?([^\s"']{6,})""", re.I | re.A)
+#: Contexts in which a whole value is judged by its guess cost: those of ASSIGN, further ones, and `Bearer <value>`.
+CONTEXT = re.compile(
+    r"""(?:(?:password|passwd|secret|token|api[_-]?key|(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|auth|authorization|credentials?|(?:private|access|signing)[_-]?key|bearer))["']?\x20*[:=]\x20*["']?(?:(?:bearer|basic|digest|token)\x20+)?"""
+    r"""|(?<![A-Za-z0-9])bearer\x20+["']?(?=[^\s"']*[0-9]))(?=[^\s"']{6})""",
+    re.I | re.A,
+)
+#: Where a value ends; what closes a clause or bracket around an unquoted one is not of it.
+END, CLOSING = re.compile(r"""[\s"']"""), ",;)]}>"
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "api")
-CONTEXT_HINTS = ("pwd", "pass", "pin", "auth", "credential", "key", "bearer")
+CONTEXT_HINTS = ("pwd", "pass", "pin", "auth", "credential", "key", "bearer", "secret", "token")
 #: log10 guesses from which a value in a credential context counts as a secret.
 LEAST_COST = 12.0
 
@@ -47,7 +55,8 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[1
 
 
 def _brute(c: str) -> float:
-    return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33)
+    # mixed case makes 52 letters: the doubling of both cases is laid on the upper one
+    return 1.0 if c.isdigit() else math.log10(104) if "A" <= c <= "Z" else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33)
 
 
 def _walks(a: str, b: str) -> bool:
@@ -58,6 +67,8 @@ def _walks(a: str, b: str) -> bool:
 @lru_cache(maxsize=100_000)
 def guess_cost(value: str) -> float:
     """Least log10 guesses over all segmentations; time is linear in the length."""
+    if value.isupper():  # of one case: as many as in lower case
+        value = value.lower()
     low, n = value.lower(), len(value)
     if len(low) != n:  # a letter whose lower case is longer
         low = value
@@ -98,11 +109,18 @@ def find_spans(text: str, least: float = LEAST_COST) -> list[tuple[int, int, str
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1, None) for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2, None) for m in HEX.finditer(text)]
-    if (":" in text or "=" in text) and any(h in low for h in CONTEXT_HINTS):
-        base = list(found)
+    if any(h in low for h in CONTEXT_HINTS):
+        base = sorted(x[:2] for x in found)
+        reach, upto = list(accumulate((x[1] for x in base), max)), 0
         for m in CONTEXT.finditer(text):
-            a, b = m.span(2)
-            if (cost := guess_cost(m[2])) >= least and not any(x[0] < b and a < x[1] for x in base):
+            if (a := m.end()) < upto:  # inside the value before
+                continue
+            b = upto = e.start() if (e := END.search(text, a)) else len(text)
+            if text[a - 1] not in "\"'":
+                b = a + len(text[a:b].rstrip(CLOSING))
+            within = bisect_right(base, (a, len(text)))
+            # a base span that ends before the value does leaves its rest in the text
+            if not (within and reach[within - 1] >= b) and (cost := guess_cost(text[a:b])) >= least:
                 found.append((a, b, 3, cost))
     return [(a, b, KINDS[k], c) for a, b, k, c in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
@@ -114,8 +132,8 @@ _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end"
 def scan(spark: SparkSession, docs: DataFrame, least: float = LEAST_COST) -> DataFrame:
     """doc_id and spans (kind, start, end in code points, guess cost) of every row.
 
-    Kinds assign, access and hex are the fixed patterns; guess holds values of further
-    credential contexts whose guess cost is at least `least`, where no base span lies.
+    Kinds assign, access and hex are the fixed patterns; guess holds whole values of credential
+    contexts whose guess cost is at least `least`, where no base span covers them.
     A null text is empty, without spans; rows with null or repeated doc_id each give a
     row; an empty table gives an empty result. Other columns are not read.
     """

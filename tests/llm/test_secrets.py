@@ -52,3 +52,28 @@ def test_redaction(spark):
     got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in redact(spark, df).collect())
     assert got == [(1, "a [SECRET] z", 12), (2, None, None), (3, "plain", 5)]
     assert not find_spans(got[0][1])
+
+
+def test_whole_values_of_every_context():
+    cases = [
+        ('password = "', "$9xK!2mQv#81ZtP&wL", '"'), ("password: ", "Xk9#2mQv81ZtPqR7vb", ""), ("token=", "%9aKx#2mQv81ZtPqR", " and"),
+        ('api-key: "', "x9K2mQv81ZtPqR7v", '"'), ("Authorization: Bearer ", "x9K2mQv81ZtPqR7v", ""), ("use Bearer ", "x9K2mQv81ZtPqR7v", "\n"),
+        ('secret: "', "x9K2mQ#v81ZtP!77kLp", '"'), ("(db_password=", "x9K2mQ#v81ZtP!77kLp", "), ok"), ("private-key: ", "x9K2mQ#v81ZtP!77kLp", ","),
+        ("pwd: ", "xKqZ2mQv", ""), ("pass: token: ", "Xk9#2mQv81ZtPqR7vb", ""),
+    ]
+    for before, value, after in cases:
+        text = "a " + before + value + after
+        at = len(before) + 2
+        assert any(k == "guess" and (a, b) == (at, at + len(value)) for a, b, k, _ in find_spans(text)), text
+    for text in ("password: changeme!2020!", "the bearer representatives came", "pwd = QWERTYUIOP", "token=#"):
+        assert not any(k == "guess" for _, _, k, _ in find_spans(text)), text
+    assert not any(k == "guess" for _, _, k, _ in find_spans('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'))
+
+
+def test_redaction_leaves_no_rest_of_a_value(spark):
+    df = spark.createDataFrame([(1, 'a secret: "x9K2mQ#v81ZtP!77kLp" z')], "doc_id long, text string")
+    assert [r["text"] for r in redact(spark, df).collect()] == ['a [SECRET]" z']
+
+
+def test_time_is_linear_in_nested_contexts():
+    assert len(find_spans("pwd=" * 20_000 + "x9K2mQ#v81ZtP!77kLp")) == 1
