@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are those whose presence separates the labelled examples (chi squared; of near copies
-among the examples one counts), weighted by their document frequency over the whole corpus. The examples are a bounded sample, so their
-index is broadcast; every document is scored against it. Blocks of postings carry their
+Terms are those whose presence best separates the labelled examples (chi squared; of near copies
+among the examples one counts), weighted by their document frequency over the whole corpus and,
+shrunken, by how well they separate. The examples are a bounded sample, so their index is broadcast; every document is scored against it. Blocks of postings carry their
 largest weight: a block whose bound cannot reach the k-th best similarity is skipped, which
 leaves the neighbours exact. Similarity-weighted votes are calibrated on the examples, each
 scored without itself.
@@ -26,9 +26,9 @@ from .work import fill, prepare, slices, text_rows
 
 #: Labelled examples of either class, terms, neighbours and postings in a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 4_096, 1_024, 12, 64
-#: Chi squared that a term has to reach (one degree of freedom), and its share of the strongest term's:
-#: words that stand in a few toxic examples by chance stay out.
-LEAST_CHI2, LEAST_SHARE = 30.0, 0.03
+#: Examples that a term has to stand in, and the chi squared (one degree of freedom) at which its weight is
+#: halved: words that stand in a few toxic examples by chance count little, at every number of examples.
+LEAST_DF, SHRINK = 2, 30.0
 THRESHOLD = 0.7
 #: Weight of the vote for the base rate, in units of similarity.
 BASE_VOTE = 0.25
@@ -142,7 +142,7 @@ class Examples:
     shift: float = 0.0
 
     def vector(self, counts: Counter) -> dict[int, float]:
-        """Unit TF-IDF vector over the terms: (1 + log tf) * idf."""
+        """Unit TF-IDF vector over the terms: (1 + log tf) * idf, the latter with the term's shrunken class weight."""
         tf = {self.terms[t]: n for x, n in counts.items() for t in levels(x, n) if t in self.terms}
         v = {t: (1 + np.log(n)) * self.idf[t] for t, n in sorted(tf.items())}
         norm = np.sqrt(sum(x * x for x in v.values()))
@@ -233,10 +233,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int
     good = F.col("df") - F.col("bad")
     top = F.pow(F.col("bad").cast("double") * n_good - good.cast("double") * n_bad, 2) * n_all
     chi2 = top / (F.col("df") * (n_all - F.col("df")) * float(max(n_bad, 1) * max(n_good, 1)))
-    picked = [] if not n_bad or not n_good else per_term.filter(F.col("df") < n_all).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(most_terms).collect()
-    terms = sorted(bytes(r["term"]) for r in picked if r["chi2"] >= LEAST_SHARE * picked[0]["chi2"])
+    picked = [] if not n_bad or not n_good else per_term.filter((F.col("df") < n_all) & (F.col("df") >= LEAST_DF)).withColumn("chi2", chi2).orderBy(F.desc("chi2"), "term").limit(most_terms).collect()
+    strength = {bytes(r["term"]): r["chi2"] for r in picked}
+    terms = sorted(strength)
     total, df = document_frequencies(docs, terms) if terms else (0, {})
-    idf = np.array([np.log((1 + total) / (1 + df[t])) + 1 for t in terms])
+    idf = np.array([(np.log((1 + total) / (1 + df[t])) + 1) * strength[t] / (strength[t] + SHRINK) for t in terms])
     bare = Examples({t: i for i, t in enumerate(terms)}, idf, BlockMaxIndex([], len(terms)), [], np.zeros(0), base)
 
     def counted(batches):

@@ -54,3 +54,14 @@ def test_held_out_examples_and_edges(spark):
     bare = train(spark, df, lab.limit(0))
     assert {r["score"] for r in score(spark, df, bare).collect()} == {next(iter(score(spark, df, bare).take(1)))["score"]}
     assert words_in("A-b é1_c") == [b"a", b"b", "é1".encode(), b"c"]
+
+
+def test_few_examples_give_terms(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choices([f"wort{k}" for k in range(400)], k=60) + (["dolt", "oaf"] if i % 8 == 0 else []))) for i in range(96)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = train(spark, df, spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(26)], "doc_id long, toxic int"))
+    assert {b"=dolt", b"=oaf"} <= set(model.terms)
+    got = {r["doc_id"]: r for r in score(spark, df, model).collect()}
+    bad, good = ([got[i]["score"] for i in range(26, 96) if (i % 8 == 0) == b] for b in (True, False))
+    assert min(bad) > np.quantile(good, 0.9) and all(got[i]["evidence"] for i in range(32, 96, 8))
