@@ -86,8 +86,8 @@ class BlockMaxIndex:
     def __init__(self, ptr: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = BLOCK):
         """ptr, terms, weights: the vectors one after another; terms ascend in each."""
         self.n, self.n_terms, self.block = len(ptr) - 1, n_terms, block
-        self.ptr, self.terms, self.weights = ptr, terms, weights
-        owner = np.repeat(np.arange(self.n), np.diff(ptr))
+        self.ptr, self.terms, self.weights = ptr, terms.astype(np.int32), weights
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ptr))
         order = np.argsort(terms, kind="stable")  # examples ascend in each term
         self.at = np.searchsorted(terms[order], np.arange(n_terms + 1))
         self.owner, self.posting = owner[order], weights[order]
@@ -284,9 +284,11 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
         has = np.flatnonzero(df)
         yield pa.record_batch([pa.array(has.astype(np.int32)), pa.array(df[has])], ["term", "df"])
 
-    rows = text_rows(docs).select("text").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    rows = text_rows(docs).select("text").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = np.zeros(len(terms) + 1, np.int64)
-    df[rows["term"].to_numpy(int)] = rows["df"].to_numpy()
+    for r in rows.toLocalIterator():
+        df[r["term"]] = r["df"]
+    shared.destroy()
     return int(df[-1]), df[:-1]
 
 
@@ -309,20 +311,23 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int
         for b in slices(batches):
             ptr, hashes, tf = bags(b.column("text"))
             least = least_shingles(b.column("text"))
-            lists = lambda at, x, kind: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x, kind))
+            cut = lambda x, kind: pa.array([x[i:j].astype(kind).tobytes() for i, j in zip(ptr, ptr[1:])], pa.binary())
             yield pa.record_batch(
-                [b.column("doc_id"), b.column("toxic"), b.column("tie"), lists(ptr, hashes.view(np.int64), pa.int64()), lists(ptr, tf, pa.int32()), lists(np.arange(b.num_rows + 1) * 4, least.view(np.int64).ravel(), pa.int64())],
+                [b.column("doc_id"), b.column("toxic"), b.column("tie"), cut(hashes, np.uint64), cut(tf, np.int32), pa.array([x.tobytes() for x in least], pa.binary())],
                 ["doc_id", "toxic", "tie", "words", "tf", "least"],
             )
 
     rows = text_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic").withColumn("tie", F.xxhash64("text"))
-    found = rows.mapInArrow(presence, "doc_id long, toxic int, tie long, words array<long>, tf array<int>, least array<long>").toPandas()  # a bounded sample
-    found = found.sort_values(["toxic", "doc_id", "tie"], ascending=[False, True, True], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
-    toxic = found["toxic"].to_numpy(float)
-    bag = [np.asarray(x, np.int64).view(np.uint64) for x in found["words"]]
-    ptr = np.cumsum([0, *map(len, bag)])
-    hashes, tf = (np.concatenate(x) if len(x) else np.zeros(0, kind) for x, kind in ((bag, np.uint64), ([np.asarray(t, np.int64) for t in found["tf"]], np.int64)))
-    least = np.array([np.asarray(x, np.int64) for x in found["least"]], np.int64).reshape(len(bag), 4)
+    # a bounded sample, as bytes, which stay small on the driver
+    found = rows.mapInArrow(presence, "doc_id long, toxic int, tie long, words binary, tf binary, least binary").collect()
+    found = sorted(found, key=lambda r: (-r["toxic"], r["doc_id"], r["tie"]))
+    found = [r for i, r in enumerate(found) if not i or r["doc_id"] != found[i - 1]["doc_id"]]
+    ids, toxic = np.array([r["doc_id"] for r in found], np.int64), np.array([r["toxic"] for r in found], float)
+    ptr = np.cumsum([0, *(len(r["words"]) // 8 for r in found)])
+    hashes, tf = (np.frombuffer(b"".join([r[c] for r in found]), kind) for c, kind in (("words", np.uint64), ("tf", np.int32)))
+    least = np.frombuffer(b"".join([r["least"] for r in found]), np.int64).reshape(len(found), 4)
+    del found
+    bag = [hashes[i:j] for i, j in zip(ptr, ptr[1:])]
     terms, strength = class_weights(ptr, hashes, toxic, first_copies(bag, least))
     total, df = document_frequencies(docs, terms) if len(terms) else (0, np.zeros(0))
     idf = (np.log((1 + total) / (1 + df)) + 1) * strength
@@ -330,9 +335,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int
     bare = start[1:] == start[:-1]
     bare_rate = toxic[bare].mean() if bare.any() else base
     index = BlockMaxIndex(start, number, weight, len(terms))
-    model = Examples(terms, idf, index, found["doc_id"].to_numpy(np.int64), toxic, min(base, bare_rate) if len(found) else base)
-    if len(found) >= 20 and 0 < toxic.sum():
-        votes = np.array([v for v, _, _ in model.votes(start, number, weight, np.arange(len(found)))])
+    model = Examples(terms, idf, index, ids, toxic, min(base, bare_rate))
+    if len(ids) >= 20 and 0 < toxic.sum():
+        votes = np.array([v for v, _, _ in model.votes(start, number, weight, np.arange(len(ids)))])
         slope, shift = _calibrate(votes, toxic)
         model = replace(model, slope=slope, shift=shift)
     return model
