@@ -3,8 +3,8 @@
 Codebooks span all dimensions: each is fitted to what the ones before leave over. A vector
 is the sum of one codeword of each book, found by beam search, and kept as its codes and the
 squared norm of that sum. A query's table of inner products with all codewords gives
-||q - x||^2 up to the query's norm from one look-up per code; in each block of rows the
-best are ranked again by the exact distance.
+||q - x||^2 up to the query's norm from one look-up per code. The RERANK rows of the whole
+table that score best so are ranked again by the exact distance.
 """
 
 from __future__ import annotations
@@ -18,17 +18,16 @@ from pyspark.sql import functions as F
 
 from .work import Workspace
 
-BOOKS, CODES, BEAM = 16, 64, 4
+BOOKS, CODES, BEAM = 24, 256, 4
 #: Rows that codebooks are fitted on, at most; every row is indexed.
 SAMPLE = 16_384
-#: Queries that are broadcast at a time, rows of a block, and candidates of a block that are ranked exactly.
-QUERY_BLOCK, ROW_BLOCK, RERANK = 2_048, 16_384, 1_024
+#: Queries that are broadcast at a time, rows of a block, and candidates of a query that are ranked exactly.
+QUERY_BLOCK, ROW_BLOCK, RERANK = 2_048, 16_384, 200
 
 
 @dataclass(frozen=True)
 class Codebooks:
     words: np.ndarray  # books x codes x dimensions
-    gram: np.ndarray  # inner products of all codewords
 
     @property
     def shape(self):
@@ -37,32 +36,30 @@ class Codebooks:
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes (rows x books) and squared norms of the sums, by beam search over the books."""
         m, k, _ = self.shape
-        n = len(x)
-        sums = x @ self.words.reshape(m * k, -1).T  # <x, c>
+        n, rows = len(x), np.arange(len(x))[:, None]
+        rest = x[:, None, :]  # what each path of the beam leaves over
         codes = np.zeros((n, 1, m), np.int64)
-        error = np.zeros((n, 1))  # ||x - sum||^2 - ||x||^2
-        cross = np.zeros((n, 1, m * k))  # <sum so far, c>
-        norms = np.diag(self.gram)
+        error = (x * x).sum(1)[:, None]
         for b in range(m):
-            at = slice(b * k, (b + 1) * k)
-            grown = error[:, :, None] - 2 * sums[:, None, at] + 2 * cross[:, :, at] + norms[at]
-            width = grown.shape[1]
-            flat = grown.reshape(n, width * k)
-            keep = min(beam, width * k)
-            best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep < width * k else np.tile(np.arange(width * k), (n, 1))
-            rows, parent, code = np.arange(n)[:, None], best // k, best % k
+            c = self.words[b]
+            flat = (error[:, :, None] - 2 * (rest @ c.T) + (c * c).sum(1)).reshape(n, -1)
+            keep = min(beam, flat.shape[1])
+            best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep < flat.shape[1] else np.tile(np.arange(keep), (n, 1))
+            parent, code = best // k, best % k
             error = flat[rows, best]
             codes = codes[rows, parent]
             codes[:, :, b] = code
-            cross = cross[rows, parent] + self.gram[b * k + code]
-        rows, win = np.arange(n), error.argmin(1)
-        codes = codes[rows, win]
-        flat_codes = codes + np.arange(m) * k
-        norm = self.gram[flat_codes[:, :, None], flat_codes[:, None, :]].sum((1, 2))
-        return codes.astype(np.uint8 if k <= 256 else np.int32), norm
+            rest = rest[rows, parent] - c[code]
+        win = error.argmin(1)
+        total = x - rest[rows[:, 0], win]
+        return codes[rows[:, 0], win].astype(code_type(k)), (total * total).sum(1)
 
 
-def fit(x: np.ndarray, books: int = BOOKS, codes: int = CODES, rounds: int = 8, seed: int = 5) -> Codebooks:
+def code_type(codes: int) -> type:
+    return np.uint8 if codes <= 256 else np.uint16 if codes <= 65_536 else np.uint32
+
+
+def fit(x: np.ndarray, books: int = BOOKS, codes: int = CODES, rounds: int = 5, seed: int = 5) -> Codebooks:
     """Residual k-means, one full-dimensional book after another."""
     rng, rest, words = np.random.default_rng(seed), x.astype(float).copy(), []
     for _ in range(books):
@@ -72,15 +69,15 @@ def fit(x: np.ndarray, books: int = BOOKS, codes: int = CODES, rounds: int = 8,
             near = ((c * c).sum(1) - 2 * rest @ c.T).argmin(1)
             count = np.bincount(near, minlength=k)
             total = np.zeros_like(c)
-            np.add.at(total, near, rest)
+            order = np.argsort(near, kind="stable")
+            heads = np.flatnonzero(np.diff(near[order], prepend=-1))
+            total[near[order][heads]] = np.add.reduceat(rest[order], heads)
             c[count > 0] = total[count > 0] / count[count > 0, None]
             c[count == 0] = rest[rng.choice(len(rest), int((count == 0).sum()))]
         near = ((c * c).sum(1) - 2 * rest @ c.T).argmin(1)
         rest -= c[near]
         words.append(np.concatenate([c, np.zeros((codes - k, x.shape[1]))]) if k < codes else c)
-    w = np.stack(words)
-    flat = w.reshape(books * codes, -1)
-    return Codebooks(w, flat @ flat.T)
+    return Codebooks(np.stack(words))
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -114,108 +111,111 @@ def _blocks(batches, rows: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def distinct(ws: Workspace, rows: DataFrame, k: int) -> DataFrame:
+    """vec_id (the least), v and ids (the k + 1 smallest, ascending) of every distinct vector.
+
+    The k + 1 smallest of a vector are picked before rows are exchanged, so copies by the
+    million send few rows; no query needs more of them.
+    """
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    ids = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    return ws.table("distinct", ids.select(F.col("ids")[0].alias("vec_id"), "v", "ids"))
+
+
 def build(spark: SparkSession, ws: Workspace, rows: DataFrame, books: int = BOOKS, codes: int = CODES, sample: int = SAMPLE) -> tuple[Codebooks | None, int, DataFrame]:
-    """Codebooks, dimensions and the index: vec_id, v, codes (binary) and norm of every usable row.
+    """Codebooks, dimensions and the index: vec_id, codes (binary) and norm of every row.
 
     Codebooks are fitted on the `sample` rows whose vec_id hashes lowest. Vectors of another
     number of dimensions than most of the sample have cannot be compared and take no part.
     """
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
-    if not len(chosen):
-        return None, 0, rows.withColumns({"codes": F.lit(None).cast("binary"), "norm": F.lit(None).cast("double")})
-    sizes = np.array([len(v) for v in chosen])
-    dimensions = int(np.bincount(sizes).argmax())
-    train = np.stack([v for v in chosen if len(v) == dimensions])
+    chosen = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()]
+    if not chosen:
+        return None, 0, rows.select("vec_id", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm"))
+    dimensions = int(np.bincount([len(v) for v in chosen]).argmax())
+    train = np.array([v for v in chosen if len(v) == dimensions])
     books_ = fit(train[np.lexsort(train.T)], books, codes)
     shared = spark.sparkContext.broadcast(books_)
 
     def encode(batches):
         for b in batches:
             x, fits = _matrix(b.column("v"), dimensions)
-            for at in range(0, len(x), 1024):
-                code, norm = shared.value.encode(x[at : at + 1024])
-                part = b.take(pa.array(fits[at : at + 1024]))
-                yield pa.record_batch([part.column("vec_id"), part.column("v"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm)], ["vec_id", "v", "codes", "norm"])
-
-    return books_, dimensions, ws.table("index", rows.mapInArrow(encode, "vec_id long, v array<double>, codes binary, norm double"))
+            for at in range(0, len(x), 512):
+                code, norm = shared.value.encode(x[at : at + 512])
+                yield pa.record_batch([b.column("vec_id").take(pa.array(fits[at : at + 512])), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm)], ["vec_id", "codes", "norm"])
 
+    return books_, dimensions, ws.table("index", rows.select("vec_id", "v").mapInArrow(encode, "vec_id long, codes binary, norm double"))
 
-def _block_best(books: Codebooks, q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, k: int, rerank: int):
-    """For each query the block's k nearest: look-up tables choose `rerank` rows, exact distances order them.
 
-    Rows with one vector share codes and score, so each distinct vector is looked up once and
-    stands for its k + 1 smallest ids.
-    """
-    order = np.lexsort((ids, *x.T[::-1]))
-    new = np.ones(len(x), bool)
-    new[1:] = (x[order][1:] != x[order][:-1]).any(1)
-    heads = np.flatnonzero(new)
-    ends = np.append(heads[1:], len(x))
-    rep = order[heads]
+def _look_up(books: Codebooks, q: np.ndarray, codes: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """||q - x||^2 - ||q||^2 of the sums that codes stand for (queries x rows)."""
     m, c, _ = books.shape
     table = (q @ books.words.reshape(m * c, -1).T).reshape(len(q), m, c)
-    near = np.empty((len(q), len(rep)))
-    near[:] = norm[rep]
+    out = np.repeat(norm[None], len(q), 0)
     for b in range(m):
-        near -= 2 * table[:, b, :][:, codes[rep, b]]
-    r = min(rerank, len(rep))
-    pick = np.argpartition(near, r - 1, axis=1)[:, :r] if r < len(rep) else np.tile(np.arange(len(rep)), (len(q), 1))
-    out_q, out_id, out_d = [], [], []
-    for i in range(len(q)):
-        p = pick[i]
-        d = x[rep[p]] - q[i]
-        d = np.sqrt((d * d).sum(1))
-        got = sorted((dist, int(v)) for dist, j in zip(d.tolist(), p) for v in ids[order[heads[j] : min(ends[j], heads[j] + k + 1)]] if v != qid[i])[:k] if len(p) <= 4 * k else None
-        if got is None:
-            cut = np.partition(d, min(len(d) - 1, k))[min(len(d) - 1, k)]
-            got = sorted((dist, int(v)) for dist, j in zip(d.tolist(), p) if dist <= cut for v in ids[order[heads[j] : min(ends[j], heads[j] + k + 1)]] if v != qid[i])[:k]
-        out_q += [int(qid[i])] * len(got)
-        out_d += [g[0] for g in got]
-        out_id += [g[1] for g in got]
-    return out_q, out_id, out_d
-
-
-def search(spark: SparkSession, embeddings: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK) -> DataFrame:
+        out -= 2 * table[:, b, :][:, codes[:, b]]
+    return out
+
+
+def candidates(index: DataFrame, books: Codebooks, qid: np.ndarray, q: np.ndarray, rerank: int) -> DataFrame:
+    """query_id, vec_id: of each query the `rerank` rows of the index that the look-up tables score nearest."""
+    shared = index.sparkSession.sparkContext.broadcast((books, qid, q))  # of bounded size
+
+    def scan(batches):
+        books_, qid, q = shared.value
+        ids, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for b in _blocks(batches, ROW_BLOCK):
+            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), code_type(books_.shape[1])).reshape(b.num_rows, -1)
+            own, norm = b.column("vec_id").to_numpy(), b.column("norm").to_numpy()
+            near_ids, near = np.empty((len(q), min(rerank, len(own))), np.int64), np.empty((len(q), min(rerank, len(own))))
+            for t in range(0, len(q), 64):
+                score = _look_up(books_, q[t : t + 64], codes, norm)
+                pick = np.argpartition(score, rerank - 1, axis=1)[:, :rerank] if rerank < len(own) else np.tile(np.arange(len(own)), (len(score), 1))
+                near_ids[t : t + 64], near[t : t + 64] = own[pick], np.take_along_axis(score, pick, 1)
+            ids, scores = np.concatenate([ids, near_ids], 1), np.concatenate([scores, near], 1)
+            if ids.shape[1] > rerank:
+                pick = np.argpartition(scores, rerank - 1, axis=1)[:, :rerank]
+                ids, scores = np.take_along_axis(ids, pick, 1), np.take_along_axis(scores, pick, 1)
+        for t in range(0, len(q) if ids.shape[1] else 0, 64):
+            n = len(qid[t : t + 64])
+            yield pa.record_batch([pa.array(np.repeat(qid[t : t + 64], ids.shape[1])), pa.array(ids[t : t + n].ravel()), pa.array(scores[t : t + n].ravel())], ["query_id", "vec_id", "score"])
+
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = index.mapInArrow(scan, "query_id long, vec_id long, score double")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rerank).select("query_id", "vec_id")
+
+
+def search(spark: SparkSession, embeddings: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK, books: int = BOOKS, codes: int = CODES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among all other rows.
 
     queries: rows of embeddings. Queries are broadcast in blocks of about QUERY_BLOCK, and each
-    block is held against all blocks of rows. Distances are exact, in double precision; ties
-    go to the smaller vec_id. Unusable vectors (null, zero, with null or non-finite components,
-    or of other dimensions than most) take no part; of rows that share a vec_id each counts,
-    but none is its own neighbour. Empty tables give no rows; other columns are not read.
+    block is held against the codes of all distinct vectors; `rerank` of them are ranked
+    exactly. Distances are in double precision; ties go to the smaller vec_id. Unusable
+    vectors (null, zero, with null or non-finite components, or of other dimensions than most)
+    take no part; of rows that share a vec_id each counts, but none is its own neighbour.
+    Empty tables give no rows; other columns are not read.
     """
     ws = Workspace(spark)
-    rows = usable(embeddings)
-    books, dimensions, index = build(spark, ws, rows)
-    schema = "query_id long, vec_id long, score double"
+    rows = distinct(ws, usable(embeddings), k)
+    books_, dimensions, index = build(spark, ws, rows, books, codes)
+    if books_ is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = usable(queries).filter(F.size("v") == dimensions).dropDuplicates(["vec_id"])
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = ws.table("queries", asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")))
     found = None
-    if books is not None:
-        asked = usable(queries).filter(F.size("v") == dimensions).dropDuplicates(["vec_id"])
-        blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-        asked = ws.table("queries", asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")))
-        for block in range(blocks):  # each of bounded size
-            part = sorted(asked.filter(F.col("block") == block).select("vec_id", "v").collect())
-            if not part:
-                continue
-            shared = spark.sparkContext.broadcast((books, np.array([r[0] for r in part]), np.array([r[1] for r in part])))
-
-            def scan(batches, shared=shared):
-                books_, qid, q = shared.value
-                for b in _blocks(batches, ROW_BLOCK):
-                    x, _ = _matrix(b.column("v"), dimensions)
-                    codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-                    ids, norm = b.column("vec_id").to_numpy(), b.column("norm").to_numpy()
-                    for t in range(0, len(q), 128):
-                        got = _block_best(books_, q[t : t + 128], qid[t : t + 128], x, ids, codes, norm, k, rerank)
-                        yield pa.record_batch([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-            near = index.mapInArrow(scan, schema)
-            near = ws.table("near", near) if blocks > 1 else near
+    for block in range(blocks):  # each of bounded size
+        part = sorted(asked.filter(F.col("block") == block).select("vec_id", "v").collect())
+        if part:
+            near = ws.table("near", candidates(index, books_, np.array([r[0] for r in part]), np.array([r[1] for r in part]), rerank))
             found = near if found is None else found.unionByName(near)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    pairs = found.join(rows, "vec_id").join(q, "query_id")
+    apart = F.zip_with("v", "q", lambda x, y: (x - y) * (x - y))
+    pairs = pairs.select("query_id", F.explode("ids").alias("vec_id"), F.sqrt(F.aggregate(apart, F.lit(0.0), lambda x, y: x + y)).alias("score")).filter("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

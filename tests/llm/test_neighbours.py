@@ -1,6 +1,6 @@
 import numpy as np
 
-from quillspark.llm.neighbours import search
+from quillspark.llm.neighbours import RERANK, op1_additive_quantisation, search
 
 
 def brute(vecs, k):
@@ -53,3 +53,36 @@ def test_encoding_is_near_and_norms_are_those_of_the_sums():
     narrow, _ = books.encode(x, 1)
     error = lambda c: ((x - sum(books.words[m][c[:, m]] for m in range(4))) ** 2).sum()
     assert error(wide) <= error(narrow)
+
+
+def test_recall_where_few_rows_are_ranked_exactly(spark):
+    """6,000 vectors without structure, 60 of them ranked exactly: the codes have to find the neighbours."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    for books, codes in ((10, 64), (6, 300)):  # one and two bytes a code
+        got = {}
+        for r in search(spark, df, df.filter("vec_id % 100 = 0"), 10, rerank=60, books=books, codes=codes).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = 0
+        for q in range(0, 6000, 100):
+            d = ((x - x[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+        assert hits >= 0.9 * 600, (books, hits)
+    assert RERANK < 600
+
+
+def test_query_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    got = op1_additive_quantisation(spark, "/root/testdata/sf0.01").collect()
+    hits = 0
+    for q in ids[ids % 100 == 0]:
+        mine = sorted(r for r in got if r["query_id"] == q)
+        assert [r["rank"] for r in mine] == list(range(1, 11))
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hits += len({r["vec_id"] for r in mine} & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+        assert all(abs(r["score"] - d[ids == r["vec_id"]][0]) < 1e-9 for r in mine)
+    assert hits >= 0.95 * 10 * (ids % 100 == 0).sum()
