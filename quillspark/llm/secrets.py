@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from functools import lru_cache
+from base64 import b64decode
 from itertools import accumulate
 
 import pyarrow as pa
@@ -48,10 +48,23 @@ WORDS = (
 ).split()
 # Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-RANK = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, RANK))
+#: Walks and repeats of more characters than this count only at this length, below it, or whole; values up to it are remembered.
+SPAN, REMEMBERED = 64, 100_000
 _PLACE = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
+#: A year, a year and month, or a date with the year first or last; each may be any part of a value.
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.A)
+DATE_SIZES = range(4, 11)
+
+
+def vocabulary_words(path: str) -> list[str]:
+    """The words of WORDS, then those of a rank file (base64 token and rank a line), most frequent first.
+
+    Words are tokens of three or more letters a-z, A-Z lower-cased, with or without a blank before.
+    """
+    with open(path, "rb") as f:
+        tokens = (b64decode(line.split()[0]).strip() for line in f if line.strip())
+        words = [t.decode().lower() for t in tokens if len(t) >= 3 and t.isascii() and t.isalpha()]
+    return list(dict.fromkeys([*WORDS, *words]))
 
 
 def _brute(c: str) -> float:
@@ -64,48 +77,84 @@ def _walks(a: str, b: str) -> bool:
     return bool(p and q) and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
-@lru_cache(maxsize=100_000)
-def guess_cost(value: str) -> float:
-    """Least log10 guesses over all segmentations; time is linear in the length."""
-    if value.isupper():  # of one case: as many as in lower case
-        value = value.lower()
-    low, n = value.lower(), len(value)
-    if len(low) != n:  # a letter whose lower case is longer
-        low = value
-    # how far a repeat of a block of 1 to 3 characters, and a walk, run on from each place
-    walk = [1] * (n + 1)
-    for i in range(n - 2, -1, -1):
-        if _walks(low[i], low[i + 1]):
-            walk[i] = walk[i + 1] + 1
-    best = [0.0] + [math.inf] * n
-    same = {k: [0] * (n + 1) for k in (1, 2, 3)}
-    for k, run in same.items():
-        for i in range(n - k - 1, -1, -1):
-            run[i] = run[i + 1] + 1 if low[i] == low[i + k] else 0
-    for i in range(n):
-        at = best[i]
-        put = lambda j, c, at=at: best.__setitem__(j, min(best[j], at + c))
-        put(i + 1, _brute(value[i]))
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            if (rank := RANK.get(low[i:j])) is not None:
-                put(j, rank + (0.3 if value[i:j] != low[i:j] else 0.0) + 0.3)
-        for m in DATE.finditer(value, i, min(n, i + 10)):
-            if m.start() == i:
-                put(m.end(), math.log10(365 * 119) if m.end() - i > 4 else math.log10(119))
-            break
+class Guesser:
+    """Guess costs of values by a ranked list of words; remembers the costs of short values."""
+
+    def __init__(self, words=WORDS):
+        self.rank = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(words)))}
+        self.longest = max(map(len, self.rank), default=0)
+        self.known: dict[str, float] = {}
+
+    def cost(self, value: str) -> float:
+        if (got := self.known.get(value)) is None:
+            got = self.least(value)
+            if len(value) <= SPAN:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[value] = got
+        return got
+
+    def spans(self, value: str):
+        """(start, end, log10 guesses) of every span that may be part of a segmentation, by start.
+
+        Every single character, word, date, and every part of a keyboard walk (three keys or
+        more) or of a repeated block of one to three characters (twice or more), up to SPAN
+        characters long or running to its end.
+        """
+        if value.isupper():  # of one case: as many as in lower case
+            value = value.lower()
+        low, n = value.lower(), len(value)
+        if len(low) != n:  # a letter whose lower case is longer
+            low = value
+        walk = [1] * (n + 1)
+        for i in range(n - 2, -1, -1):
+            if _walks(low[i], low[i + 1]):
+                walk[i] = walk[i + 1] + 1
+        same = {k: [0] * (n + 1) for k in (1, 2, 3)}
         for k, run in same.items():
-            if run[i] >= 2 * k:
-                put(i + run[i] + k, sum(map(_brute, value[i : i + k])) + math.log10((run[i] + k) / k))
-        if walk[i] >= 3:
-            put(i + walk[i], math.log10(47) + 0.6 * (walk[i] - 1))
-    return best[n]
+            for i in range(n - k - 1, -1, -1):
+                run[i] = run[i + 1] + 1 if low[i] == low[i + k] else 0
+        for i in range(n):
+            yield i, i + 1, _brute(value[i])
+            for j in range(i + 3, min(n, i + self.longest) + 1):
+                if (rank := self.rank.get(low[i:j])) is not None:
+                    yield i, j, rank + (0.3 if value[i:j] != low[i:j] else 0.0) + 0.3
+            if value[i] in "0123":
+                for j in range(i + DATE_SIZES.start, min(n, i + DATE_SIZES.stop - 1) + 1):
+                    if DATE.fullmatch(value, i, j):
+                        yield i, j, math.log10(365 * 119) if j - i > 4 else math.log10(119)
+            for k, run in same.items():
+                whole = run[i] + k
+                if whole >= 2 * k:
+                    block = sum(map(_brute, value[i : i + k]))
+                    for size in {*range(2 * k, min(whole, SPAN) + 1), whole}:
+                        yield i, i + size, block + math.log10(size / k)
+            if walk[i] >= 3:
+                for size in {*range(3, min(walk[i], SPAN) + 1), walk[i]}:
+                    yield i, i + size, math.log10(47) + 0.6 * (size - 1)
+
+    def least(self, value: str) -> float:
+        """Least log10 guesses over all segmentations into spans; time is linear in the length."""
+        best = [0.0] + [math.inf] * len(value)
+        for i, j, cost in self.spans(value):  # by start: best[i] is final
+            if best[i] + cost < best[j]:
+                best[j] = best[i] + cost
+        return best[len(value)]
+
+
+_COMMON = Guesser()
 
 
-def find_spans(text: str, least: float = LEAST_COST) -> list[tuple[int, int, str, float | None]]:
+def guess_cost(value: str) -> float:
+    """Least log10 guesses by the words of WORDS alone."""
+    return _COMMON.cost(value)
+
+
+def find_spans(text: str, least: float = LEAST_COST, guesser: Guesser = _COMMON) -> list[tuple[int, int, str, float | None]]:
     """(start, end, kind, cost) of all secrets in a text, by start, then kind as listed."""
     low, found = text.lower(), []
     if any(h in low for h in ASSIGN_HINTS):
-        found += [(m.start(), m.end(), 0, guess_cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), m.end(), 0, guesser.cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1, None) for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2, None) for m in HEX.finditer(text)]
@@ -120,7 +169,7 @@ def find_spans(text: str, least: float = LEAST_COST) -> list[tuple[int, int, str
                 b = a + len(text[a:b].rstrip(CLOSING))
             within = bisect_right(base, (a, len(text)))
             # a base span that ends before the value does leaves its rest in the text
-            if not (within and reach[within - 1] >= b) and (cost := guess_cost(text[a:b])) >= least:
+            if not (within and reach[within - 1] >= b) and (cost := guesser.cost(text[a:b])) >= least:
                 found.append((a, b, 3, cost))
     return [(a, b, KINDS[k], c) for a, b, k, c in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
@@ -129,35 +178,39 @@ SPANS = "array<struct<kind:string,start:int,end:int,cost:double>>"
 _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64())]))
 
 
-def scan(spark: SparkSession, docs: DataFrame, least: float = LEAST_COST) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, least: float = LEAST_COST, words=WORDS) -> DataFrame:
     """doc_id and spans (kind, start, end in code points, guess cost) of every row.
 
     Kinds assign, access and hex are the fixed patterns; guess holds whole values of credential
-    contexts whose guess cost is at least `least`, where no base span covers them.
-    A null text is empty, without spans; rows with null or repeated doc_id each give a
+    contexts whose guess cost by the ranked `words` is at least `least`, where no base span
+    covers them. A null text is empty, without spans; rows with null or repeated doc_id each give a
     row; an empty table gives an empty result. Other columns are not read.
     """
     prepare(spark)
+    shared = spark.sparkContext.broadcast(tuple(words))  # a vocabulary is of fixed size
 
     def run(batches):
+        guesser = Guesser(shared.value)
         for b in slices(batches, most=8 << 20):
-            spans = [[{"kind": k, "start": s, "end": e, "cost": c} for s, e, k, c in find_spans(t, least)] for t in fill(b.column("text")).to_pylist()]
+            spans = [[{"kind": k, "start": s, "end": e, "cost": c} for s, e, k, c in find_spans(t, least, guesser)] for t in fill(b.column("text")).to_pylist()]
             yield pa.record_batch([b.column("doc_id"), pa.array(spans, _TYPE)], ["doc_id", "spans"])
 
     return text_rows(docs).mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 
-def redact(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]", least: float = LEAST_COST) -> DataFrame:
+def redact(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]", least: float = LEAST_COST, words=WORDS) -> DataFrame:
     """The rows with every secret span of `text` replaced by a mark, and n_chars set anew.
 
     All columns of docs stay, in their order; a null text stays null. Overlapping spans are
-    joined before they are replaced.
+    joined before they are replaced. Each row is judged for itself, repeated ones alike; an
+    empty table gives an empty result.
     """
     prepare(spark)
+    shared = spark.sparkContext.broadcast(tuple(words))
     at, counted = docs.columns.index("text"), "n_chars" in docs.columns
 
-    def cut(text):
-        if text is None or not (spans := find_spans(text, least)):
+    def cut(text, guesser):
+        if text is None or not (spans := find_spans(text, least, guesser)):
             return text
         out, upto = [], 0
         for a, b, *_ in spans:
@@ -167,8 +220,9 @@ def redact(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]", least:
         return "".join([*out, text[upto:]])
 
     def run(batches):
+        guesser = Guesser(shared.value)
         for b in slices(batches, most=8 << 20):
-            yield b.set_column(at, b.schema.field(at), pa.array([cut(t) for t in b.column(at).to_pylist()], b.schema.field(at).type))
+            yield b.set_column(at, b.schema.field(at), pa.array([cut(t, guesser) for t in b.column(at).to_pylist()], b.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if counted else out
@@ -176,7 +230,10 @@ def redact(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]", least:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
-    found = scan(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    import public_tokenizers
+
+    words = vocabulary_words(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = scan(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), words=words)
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(written(F.filter("spans", lambda x: x["kind"] != "guess")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

@@ -1,7 +1,10 @@
+import hashlib
+import itertools
+import math
 import random
 import re
 
-from quillspark.llm.secrets import find_spans, guess_cost, redact, scan
+from quillspark.llm.secrets import Guesser, find_spans, guess_cost, op5_secret_scan, redact, scan, vocabulary_words
 
 
 def base(text):
@@ -33,18 +36,63 @@ def test_guess_costs():
     assert guess_cost("aaaaaaaaaaaaaaaa") < 4 and guess_cost("2024-05-17") < 5.5 and guess_cost("") == 0
     assert guess_cost("abcabcabcabc") < guess_cost("abcdzfkqmvbx")
 
-    def brute(v):
-        from quillspark.llm import secrets as S
 
-        best = sum(map(S._brute, v))
-        for i in range(len(v)):
-            for j in range(i + 3, len(v) + 1):
-                if v[i:j] in S.RANK:
-                    best = min(best, sum(map(S._brute, v[:i])) + S.RANK[v[i:j]] + 0.3 + sum(map(S._brute, v[j:])))
-        return best
+def test_guess_cost_is_least_over_all_segmentations():
+    """Every cut of short values, each part priced by itself."""
+    from quillspark.llm import secrets as S
+
+    def part(v, low):
+        found = [sum(map(S._brute, v))]  # brute force, a character at a time
+        if low in S.Guesser().rank and len(v) >= 3:
+            found.append(S.Guesser().rank[low] + 0.3 + 0.3 * (v != low))
+        if re.fullmatch(r"(19|20)\d\d", v):
+            found.append(math.log10(119))
+        if re.fullmatch(r"(19|20)\d\d[-/.]?(0[1-9]|1[0-2])([-/.]?(0[1-9]|[12]\d|3[01]))?|(0[1-9]|[12]\d|3[01])[-/.]?(0[1-9]|1[0-2])[-/.]?(19|20)\d\d", v):
+            found.append(math.log10(365 * 119))
+        for k in (1, 2, 3):
+            if len(v) >= 2 * k and all(low[i] == low[i - k] for i in range(k, len(v))):
+                found.append(sum(map(S._brute, v[:k])) + math.log10(len(v) / k))
+        if len(v) >= 3 and all(S._walks(x, y) for x, y in zip(low, low[1:])):
+            found.append(math.log10(47) + 0.6 * (len(v) - 1))
+        return min(found)
 
-    for v in ("zpasswordz", "k#secretQ", "mmfootballz9"):
-        assert guess_cost(v) <= brute(v) + 1e-9
+    def brute(v):
+        n = len(v)
+        return min(sum(part(v[a:b], v[a:b].lower()) for a, b in zip((0, *cut), (*cut, n))) for r in range(n) for cut in itertools.combinations(range(1, n), r))
+
+    rng = random.Random(5)
+    bits = ["asdf", "qwe", "hello", "Pass", "2019", "12", "aa", "abab", "x", "Z", "#", "1", "dfg", "0520", "lo", "key"]
+    values = ["asdfghello", "aaab", "20190512", "1231234"] + ["".join(rng.choices(bits, k=4))[:11] for _ in range(60)]
+    for v in values:
+        if not v.isupper():
+            assert abs(guess_cost(v) - brute(v)) < 1e-9, v
+    assert guess_cost("asdfghello") < 5.5
+
+
+def test_long_values_take_linear_time():
+    assert guess_cost("a" * 50_000) < 8 and guess_cost("qwer" * 10_000) > 100
+    g = Guesser()
+    g.cost("x9" * 200)
+    assert not g.known
+
+
+def test_words_of_a_vocabulary():
+    import public_tokenizers
+
+    words = vocabulary_words(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert len(words) > 10_000 and words[0] == "password" and len(set(words)) == len(words)
+    assert Guesser(words).cost("investigationmeeting") < guess_cost("investigationmeeting") / 2
+
+
+def test_query_columns(spark):
+    rows = op5_secret_scan(spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = base(texts[r["doc_id"]])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("guess")] == want
 
 
 def test_redaction(spark):
