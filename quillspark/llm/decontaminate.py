@@ -1,25 +1,27 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The automaton is compiled once on the driver from the normalised items (its size is that
-of the benchmark, and checked) and broadcast. Every document streams its words through it:
-the state holds the longest suffix that occurs in some item, so ten matched words are a
-window of an item. Items of fewer words count whole.
+Automata are compiled on the driver from the normalised items, each from MAX_WORDS words or
+little more, which bounds its size, and broadcast one after another. Every document streams
+its words through each: the state holds the longest suffix that occurs in some item, so ten
+matched words are a window of an item. Items of fewer words count whole. With several
+automata each is a pass over the documents that adds to what the passes before found.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import fill, prepare, slices, text_rows
+from .work import Workspace, fill, slices
 
 WINDOW = 10
-#: Words of all items that one automaton may hold; larger benchmarks are searched in several passes.
-MAX_WORDS = 2_000_000
+#: Words of all items after which an automaton is closed; it has two states a word and three edges at most.
+MAX_WORDS = 200_000
 
 # bytes that are words after A-Z became a-z; all others become spaces
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -31,7 +33,10 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """All runs of words of a set of items; a state knows the items in which its run occurs."""
+    """All runs of words of a set of items; a state knows the items in which its last `window` words occur.
+
+    It is built from one dictionary for each state, then kept as flat arrays.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
@@ -52,31 +57,50 @@ class SuffixAutomaton:
                 own.append((last, k))
             if len(words) < window:
                 short[last].append((len(words), k))
-        n = len(self.link)
-        # items by state, from long runs up to their suffixes; only those of `window` words or more are asked for
-        holds: list[set[int]] = [set() for _ in range(n)]
+        n, length, link = len(self.link), self.length, self.link
+        by_length = sorted(range(1, n), key=length.__getitem__)
+        # the state of each state's last `window` words, and the items in which that run occurs
+        at_window = [0] * n
+        for s in by_length:
+            if length[s] >= window:
+                at_window[s] = at_window[link[s]] if length[link[s]] >= window else s
+        holds: dict[int, set[int]] = defaultdict(set)
         for state, k in own:
-            holds[state].add(k)
-        for s in sorted(range(1, n), key=self.length.__getitem__, reverse=True):
-            if self.length[s] >= window and (up := self.link[s]) > 0 and self.length[up] >= window:
-                holds[up] |= holds[s]
-        by_length = sorted(range(1, n), key=self.length.__getitem__)
-        # the state of each state's last `window` words, and the short items that end at it
-        self.at_window, self.short = [0] * n, [()] * n
+            if at_window[state]:
+                holds[at_window[state]].add(k)
+        # an occurrence of a longer run is one of the window at its end, so its items are there already
+        self.short: dict[int, tuple[tuple[int, int], ...]] = {}
         whole: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for state, found in short.items():
             for size, k in found:
                 s = state
-                while self.link[s] > 0 and self.length[self.link[s]] >= size:
-                    s = self.link[s]
+                while link[s] > 0 and length[link[s]] >= size:
+                    s = link[s]
                 whole[s].append((size, k))
-        for s in by_length:
-            up = self.link[s]
-            if self.length[s] >= window:
-                self.at_window[s] = self.at_window[up] if self.length[up] >= window else s
-            self.short[s] = (*(self.short[up] if up > 0 else ()), *whole.get(s, ()))
-        self.holds = [frozenset(h) for h in holds]
-        self.any_short = bool(short)
+        if whole:  # a state ends with the short items of its suffixes too
+            for s in by_length:
+                if mine := (*self.short.get(link[s], ()), *whole.get(s, ())):
+                    self.short[s] = mine
+        self.at_window = np.array(at_window, np.int32)
+        heads = sorted(holds)
+        self.held = dict(zip(heads, range(len(heads))))
+        self.held_at = np.cumsum([0, *(len(holds[s]) for s in heads)])
+        self.held_items = np.array([k for s in heads for k in sorted(holds[s])], np.int32)
+        self.edges = len(self.ids) + 1  # an edge's number is state * edges + word
+        self.edge = np.array([s * self.edges + c for s, move in enumerate(self.next) for c in move], np.int64)
+        self.to = np.array([t for move in self.next for t in move.values()], np.int32)
+        self.link, self.length = np.array(link, np.int32), np.array(length, np.int32)
+        self.next = None
+        self._open = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_open": None}
+
+    def _lists(self):
+        """The flat arrays as one dictionary and lists, made once in a worker."""
+        if self._open is None:
+            self._open = dict(zip(self.edge.tolist(), self.to.tolist())), self.link.tolist(), self.length.tolist(), self.at_window.tolist()
+        return self._open
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -112,34 +136,36 @@ class SuffixAutomaton:
 
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans [start, end) of words inside windows, joined and in order; items with windows there."""
-        nxt, link, length, window, short = self.next, self.link, self.length, self.window, self.short
+        edges, (go, link, length, at_window), window, short = self.edges, self._lists(), self.window, self.short
         state = size = 0
         ends: list[tuple[int, int]] = []
         seen: set[int] = set()
+        items: set[int] = set()
         for i, c in enumerate(map(self.ids.get, words)):
             if c is None:
                 state = size = 0
                 continue
-            move = nxt[state]
-            if c in move:
-                state, size = move[c], size + 1
+            to = go.get(state * edges + c)
+            if to is not None:
+                state, size = to, size + 1
             else:
-                while state and c not in nxt[state]:
+                while to is None and state:
                     state = link[state]
+                    to = go.get(state * edges + c)
                 size = length[state]
-                if c in nxt[state]:
-                    state, size = nxt[state][c], size + 1
+                if to is not None:
+                    state, size = to, size + 1
             if size >= window:
                 ends.append((i + 1 - window, i + 1))
-                seen.add(state)
-            if short[state]:
-                for n, k in short[state]:
+                seen.add(at_window[state])
+            if short and (here := short.get(state)):
+                for n, k in here:
                     if n <= size:
                         ends.append((i + 1 - n, i + 1))
-                        seen.add(-1 - k)
-        items: set[int] = set()
+                        items.add(k)
         for s in seen:
-            items |= {-1 - s} if s < 0 else self.holds[self.at_window[s]]
+            h = self.held[s]
+            items.update(self.held_items[self.held_at[h] : self.held_at[h + 1]].tolist())
         return _joined(ends), items
 
 
@@ -153,73 +179,107 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, most: int = MAX_WORDS) -> list[SuffixAutomaton]:
-    """Automata over all items, each of at most about `most` words. item_ids are compared as strings."""
-    out, part, size = [], [], 0
+def automata(benchmark: DataFrame, window: int = WINDOW, most: int = MAX_WORDS) -> Iterator[tuple[SuffixAutomaton, bool]]:
+    """Automata over all items, each closed at `most` words, and whether it is the last. item_ids are compared as strings.
+
+    One at a time is on the driver, with the items of the next.
+    """
+    part, size, ready = [], 0, None
     for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
+        if size >= most:
+            if ready is not None:
+                yield ready, False
+            ready, part, size = SuffixAutomaton(part, window), [], 0
         words = normal_words(r["text"])
         part.append((r["item_id"] if r["item_id"] is not None else "", words))
         size += len(words)
-        if size >= most:
-            out.append(SuffixAutomaton(part, window))
-            part, size = [], 0
-    if part or not out:
-        out.append(SuffixAutomaton(part, window))
-    return out
+    if ready is not None:
+        yield ready, False
+    yield SuffixAutomaton(part, window), True
 
 
-def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _search(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, window: int, most: int, named: bool, last_step, schema: str) -> DataFrame:
+    """last_step of each batch and its rows' joined spans and item names (if `named`), after a pass for each automaton.
+
+    rows: text and any other columns. Passes before the last keep what they found in two more
+    columns of a working table, so that no worker ever holds two automata.
+    """
+    ws, spans_, items_ = Workspace(spark), "__spans", "__items"
+    while {spans_, items_} & set(rows.columns):
+        spans_, items_ = spans_ + "_", items_ + "_"
+    columns, at = rows.columns, rows.columns.index("text")
+    kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{spans_}` {_SPANS}, `{items_}` array<string>"
+    for turn, (automaton, last) in enumerate(automata(benchmark, window, most)):
+        shared = spark.sparkContext.broadcast(automaton)
+
+        def run(batches, shared=shared, last=last, turn=turn):
+            a = shared.value
+            for b in slices(batches, "text", 8 << 20):
+                before = b.select([spans_, items_]).to_pylist() if turn else [None] * b.num_rows
+                spans, items = [], []
+                for text, more in zip(fill(b.column(at)).to_pylist(), before):
+                    found, k = a.match(normal_words(text))
+                    names = {a.names[i] for i in k} if named else set()
+                    if more:
+                        found = _joined([*found, *((x["start"], x["end"]) for x in more[spans_])])
+                        names |= set(more[items_])
+                    spans.append(found)
+                    items.append(sorted(names))
+                own = b.select(columns)
+                if last:
+                    yield last_step(own, spans, items)
+                else:
+                    told = pa.array([[{"start": x, "end": y} for x, y in f] for f in spans], kinds[0])
+                    yield pa.record_batch([*own.columns, told, pa.array(items, kinds[1])], [*columns, spans_, items_])
+
+        rows = rows.mapInArrow(run, schema if last else kept)
+        if not last:
+            rows = ws.table(f"pass{turn}", rows)
+            ws.drop(f"pass{turn - 1}")
+            shared.destroy()
+    return rows
+
+
+def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MAX_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, spans (start, end in words), items (sorted strings) of every row.
 
     Null or wordless texts have no words; wordless items have no windows; items that share
     an item_id count once; empty tables give no rows or no hits. Other columns are not read.
     """
-    prepare(spark)
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window)]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches):
-        parts = [s.value for s in shared]
-        for b in slices(batches, most=8 << 20):
-            n_words, n_hit, spans, items = [], [], [], []
-            for text in fill(b.column("text")).to_pylist():
-                words = normal_words(text)
-                found, names = [], set()
-                for a in parts:
-                    s, k = a.match(words)
-                    found += s
-                    names |= {a.names[i] for i in k}
-                found = _joined(found)
-                n_words.append(len(words))
-                n_hit.append(sum(e - s for s, e in found))
-                spans.append([{"start": s, "end": e} for s, e in found])
-                items.append(sorted(names))
-            yield pa.record_batch([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
-
-    return text_rows(docs).mapInArrow(run, "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>")
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
+    def told(b, spans, items):
+        n_words = [len(normal_words(t)) for t in b.column("text").to_pylist()]
+        n_hit = [sum(e - s for s, e in found) for found in spans]
+        spans = pa.array([[{"start": s, "end": e} for s, e in found] for found in spans], kind)
+        return pa.record_batch([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), spans, pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _search(spark, rows, benchmark, window, most, True, told, f"doc_id long, n_words long, n_hit long, spans {_SPANS}, items array<string>")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, most: int = MAX_WORDS) -> DataFrame:
     """Cut matched spans out of the texts; documents more than `coverage` of whose words are hit go.
 
     A span runs from its first matched word to the end of its last, so the punctuation
-    between goes too. All columns stay; n_chars is set anew; a null text stays null.
+    between goes too. All columns stay; n_chars is set anew; a null text stays null. Rows are
+    judged one by one, repeated ones alike; an empty table gives an empty result, an empty
+    benchmark changes nothing.
     """
-    prepare(spark)
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window)]
     at = docs.columns.index("text")
 
-    def clean(text, parts):
-        if not text:
-            return text
-        words = normal_words(text)
-        found = _joined([s for a in parts for s in a.match(words)[0]])
+    def clean(text, found):
         if not found:
             return text
-        if sum(e - s for s, e in found) > coverage * len(words):
-            return None
         raw = text.encode()
-        inside = np.frombuffer(raw.translate(_TABLE), np.uint8) != 0x20
+        spaced = raw.translate(_TABLE)
+        if sum(e - s for s, e in found) > coverage * len(spaced.split()):
+            return None
+        inside = np.frombuffer(spaced, np.uint8) != 0x20
         edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         out, upto = [], 0
@@ -228,15 +288,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
             upto = int(end[e - 1])
         return b"".join([*out, raw[upto:]]).decode()
 
-    def run(batches):
-        parts = [s.value for s in shared]
-        for b in slices(batches, most=8 << 20):
-            before = b.column(at).to_pylist()
-            after = [clean(t, parts) for t in before]
-            keep = pa.array([y is not None or x is None for x, y in zip(before, after)])
-            yield b.set_column(at, b.schema.field(at), pa.array(after, b.schema.field(at).type)).filter(keep)
+    def cut(b, spans, _):
+        before = b.column(at).to_pylist()
+        after = [clean(t, f) for t, f in zip(before, spans)]
+        keep = pa.array([y is not None or x is None for x, y in zip(before, after)], pa.bool_())
+        return b.set_column(at, b.schema.field(at), pa.array(after, b.schema.field(at).type)).filter(keep)
 
-    out = docs.mapInArrow(run, docs.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    out = _search(spark, docs, benchmark, window, most, False, cut, schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -1,6 +1,6 @@
 import random
 
-from quillspark.llm.decontaminate import SuffixAutomaton, decontaminate, find_contamination, normal_words
+from quillspark.llm.decontaminate import SuffixAutomaton, automata, decontaminate, find_contamination, normal_words
 
 
 def brute(words, items, window):
@@ -40,3 +40,28 @@ def test_operator_and_cut(spark):
     assert find_contamination(spark, df.limit(0), bench).count() == 0
     assert {r["n_hit"] for r in find_contamination(spark, df, bench.limit(0)).collect()} == {0}
     assert normal_words("A_b é9") == [b"a", b"b", "é9".encode()]
+
+
+def test_several_automata_give_what_one_gives(spark):
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(30)]
+    items = [(f"i{k:02}", " ".join(rng.choices(vocab, k=rng.choice([0, 3, 12, 14])))) for k in range(24)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = [" ".join(rng.choices(vocab, k=15) + rng.choice(items)[1].split() + rng.choice(items)[1].split() + rng.choices(vocab, k=rng.randint(0, 9))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in enumerate(texts)] + [(None, None, 7, "y")], "doc_id long, text string, __spans int, items string")
+    sizes = [(len(a.names), last) for a, last in automata(bench, 10, 60)]
+    assert len(sizes) >= 3 and [x for _, x in sizes] == [False] * (len(sizes) - 1) + [True] and sum(n for n, _ in sizes) == sum(bool(t) for _, t in items)
+    one, many = (sorted(map(str, find_contamination(spark, docs, bench, most=m).collect())) for m in (10**6, 60))
+    assert one == many and any("n_hit=0" not in x for x in one)
+    one, many = (sorted(map(str, decontaminate(spark, docs, bench, most=m).collect())) for m in (10**6, 60))
+    assert one == many
+
+
+def test_an_automaton_is_of_bounded_size():
+    import pickle
+
+    rng = random.Random(9)
+    items = [(str(k), [b"w%d" % rng.randrange(3000) for _ in range(50)]) for k in range(100)]
+    a = SuffixAutomaton(items)
+    assert len(a.link) <= 2 * 5000 and len(a.edge) <= 3 * 5000
+    assert len(pickle.dumps(a)) < 60 * 5000
