@@ -2,11 +2,12 @@
 
 A window of 20 words is covered by its anchor, the six-word phrase in it whose hash is
 least; equal windows have equal anchors, so only phrases that recur can lie in a recurring
-passage. Per document the distinct anchors are counted over the corpus. Documents that hold
-recurring ones are streamed through Aho-Corasick automata of those phrases, one automaton
-for each shard of documents and holding just the phrases that can occur there, which locate
-every occurrence by its text. The windows around them are confirmed by 128-bit hashes of
-their words and compared with their first occurrence; the rest is removed.
+passage. Per document the distinct anchors are counted over the corpus. Each recurring phrase
+goes, with one place where it stands, to the shards of documents that hold it. A shard
+compiles an Aho-Corasick automaton of the texts of its phrases and streams all its documents
+through it: the automaton's hits alone tell where the phrases occur. The windows around them
+are confirmed by 128-bit hashes of their words and compared with their first occurrence; the
+rest is removed.
 """
 
 from __future__ import annotations
@@ -90,33 +91,28 @@ class Words:
         return np.flatnonzero((_slide(known, self.window - self.phrase + 1, np.minimum) == self.least) & self.valid)
 
 
-def _anchor_lists(words: Words) -> pa.ListArray:
-    """Hashes of each document's anchors; a phrase that recurs inside the document stands twice."""
+def _anchor_lists(words: Words) -> tuple[pa.ListArray, pa.ListArray]:
+    """Hashes of each document's anchors and where in it they stand first; a phrase that recurs inside the document stands twice."""
     at = words.anchors()
     doc, gram = words.doc[at], words.grams[at]
-    order = np.lexsort((gram, doc))
-    doc, gram = doc[order], gram[order]
+    order = np.lexsort((at, gram, doc))
+    doc, gram, at = doc[order], gram[order], at[order]
     same = np.zeros(len(doc), bool)
     same[1:] = (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1])
     third = np.zeros(len(doc), bool)
     third[1:] = same[1:] & same[:-1]
-    doc, gram = doc[~third], gram[~third]
-    ends = np.searchsorted(doc, np.arange(len(words.count) + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(gram.view(np.int64)))
+    doc, gram, at = doc[~third], gram[~third], at[~third]
+    ends = pa.array(np.searchsorted(doc, np.arange(len(words.count) + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(gram.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array((at - words.first[doc]).astype(np.int32)))
 
 
-def locate(words: Words, wanted: list[np.ndarray]) -> np.ndarray:
+def locate(words: Words, wanted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Where phrases begin that recur: one automaton of the shard's phrases, every document streamed through it.
 
-    wanted: for each document, the hashes of its recurring anchors.
+    wanted: for each document, the hashes of its recurring anchors and one place of each in it
+    (of a document with the same doc_id, if the hash there is another).
     """
     hit = np.zeros(len(words.grams), bool)
-    sizes = [len(w) for w in wanted]
-    if not sum(sizes):
-        return hit
-    at = words.anchors()
-    at = at[np.isin(words.grams[at], np.concatenate(wanted).view(np.uint64))]
-    _, one = np.unique(words.grams[at], return_index=True)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     texts: dict[int, list[str]] = {}
 
@@ -126,10 +122,15 @@ def locate(words: Words, wanted: list[np.ndarray]) -> np.ndarray:
             texts[d] = [w for w in texts[d] if w]
         return texts[d]
 
-    for i in at[one].tolist():
-        d = int(words.doc[i])
-        k = i - int(words.first[d])
-        automaton.add_word(" " + " ".join(text(d)[k : k + words.phrase]) + " ")
+    compiled = set()
+    for d, (phrases, places) in enumerate(wanted):
+        for phrase, k in zip(phrases.tolist(), places.tolist()):
+            if phrase in compiled or k + words.phrase > words.count[d] or words.grams[words.first[d] + k].view(np.int64) != phrase:
+                continue
+            compiled.add(phrase)
+            automaton.add_word(" " + " ".join(text(d)[k : k + words.phrase]) + " ")
+    if not compiled:
+        return hit
     automaton.make_automaton()
     for d in range(len(wanted)):
         if words.count[d] < words.window:
@@ -147,21 +148,22 @@ _SPACES = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256
 
 
 def recurring_anchors(ws: Workspace, docs: DataFrame, window: int, phrase: int) -> tuple[DataFrame, DataFrame]:
-    """d and its recurring anchors (phrases), and d, seq1 of later documents with the words of an earlier one."""
+    """d, its recurring anchors (phrases) and places of them, and d, seq1 of later documents with the words of an earlier one."""
 
     def find(batches):
         for b in slices(batches):
             w = Words(b.column("text"), window, phrase)
             one, two = w.whole()
-            yield pa.record_batch([b.column("d"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(w.count), _anchor_lists(w)], ["d", "seq1", "seq2", "n_words", "phrases"])
+            yield pa.record_batch([b.column("d"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(w.count), *_anchor_lists(w)], ["d", "seq1", "seq2", "n_words", "phrases", "places"])
 
-    table = ws.table("anchors", docs.mapInArrow(find, "d long, seq1 long, seq2 long, n_words long, phrases array<long>"))
+    table = ws.table("anchors", docs.mapInArrow(find, "d long, seq1 long, seq2 long, n_words long, phrases array<long>, places array<int>"))
     long = table.filter(F.col("n_words") >= window)
-    first = long.groupBy("seq1", "seq2", "n_words").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    first = ws.table("firsts", long.groupBy("seq1", "seq2", "n_words").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    # both sides are plain tables, so a text with very many copies can be dealt to several tasks
     copies = ws.table("copies", long.select("d", "seq1", "seq2", "n_words").join(first, ["seq1", "seq2", "n_words"]).filter("d > first").select("d", "seq1").distinct())
-    own = table.select("d", "seq1", "phrases").join(copies, ["d", "seq1"], "left_anti").select("d", F.explode("phrases").alias("phrase"))
+    own = table.select("d", "seq1", "phrases", "places").join(copies, ["d", "seq1"], "left_anti").select("d", F.explode(F.arrays_zip("phrases", "places")).alias("p")).select("d", "p.phrases", "p.places").toDF("d", "phrase", "place")
     often = own.groupBy("phrase").count().filter("count > 1").select("phrase")
-    found = own.join(often, "phrase").groupBy("d").agg(F.collect_set("phrase").alias("phrases"))
+    found = own.join(often, "phrase").groupBy("d").agg(F.collect_list(F.struct("phrase", "place")).alias("p")).select("d", F.col("p.phrase").alias("phrases"), F.col("p.place").alias("places"))
     return ws.table("recurring", found), copies
 
 
@@ -171,7 +173,7 @@ def later_windows(ws: Workspace, docs: DataFrame, recurring: DataFrame, window:
     def find(batches):
         for b in slices(batches):
             w = Words(b.column("text"), window, phrase)
-            wanted = [v.values.to_numpy() for v in b.column("phrases")]
+            wanted = [(v.values.to_numpy(), x.values.to_numpy()) for v, x in zip(b.column("phrases"), b.column("places"))]
             at = w.candidates(locate(w, wanted))
             if not len(at):
                 continue
@@ -190,7 +192,7 @@ def later_windows(ws: Workspace, docs: DataFrame, recurring: DataFrame, window:
             again[order] = ~tie
             yield pa.record_batch([pa.array(one), pa.array(two), pa.array(d), pa.array(start.astype(np.int32)), pa.array(again)], ["w1", "w2", "d", "start", "again"])
 
-    with_phrases = docs.join(recurring, "d").select("d", "text", "phrases")
+    with_phrases = docs.join(recurring, "d").select("d", "text", "phrases", "places")
     windows = ws.table("windows", with_phrases.mapInArrow(find, "w1 long, w2 long, d long, start int, again boolean"))
     open_ = windows.filter("NOT again").select("w1", "w2", "d", "start")
     first = open_.groupBy("w1", "w2").agg(F.min(F.struct("d", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("w1", "w2", "first")
@@ -214,6 +216,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, p
     texts = rows.select("d", "text")
     recurring, copies = recurring_anchors(ws, texts, window, phrase)
     ws.drop("anchors")
+    ws.drop("firsts")
     cuts = later_windows(ws, texts, recurring, window, phrase)
     ws.drop("windows")
     ws.drop("recurring")

@@ -64,4 +64,4 @@ def test_an_automaton_is_of_bounded_size():
     items = [(str(k), [b"w%d" % rng.randrange(3000) for _ in range(50)]) for k in range(100)]
     a = SuffixAutomaton(items)
     assert len(a.link) <= 2 * 5000 and len(a.edge) <= 3 * 5000
-    assert len(pickle.dumps(a)) < 60 * 5000
+    assert len(pickle.dumps(a)) < 100 * 5000
