@@ -10,6 +10,8 @@ are splitters too, where each takes its slot.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +22,8 @@ from .work import Workspace
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 #: Probes for each open splitter in a round.
 PROBES = 64
+#: Rows of a piece, about: each is sorted in one task.
+PIECE = 1_000_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -87,11 +91,13 @@ def splitters(keys: DataFrame, cuts: int, tolerance: float, weight: str) -> tupl
     lo, hi = [(LOW, LOW)] * cuts, [(HIGH, HIGH)] * cuts
     near: list[tuple[float, tuple[int, int]]] = [(float("inf"), (HIGH, HIGH))] * cuts
     done, rounds = [False] * cuts, 0
-    while not all(done) and rounds < 64:
+    while not all(done):
         probes = sorted({p for i in range(cuts) if not done[i] for p in _between(lo[i], hi[i], PROBES if rounds else PROBES * cuts)})
         if not probes:
             break
         rounds += 1
+        if rounds > 130:  # each round narrows every open interval; two 64-bit keys take no more
+            raise RuntimeError("splitters did not settle")
         size, rows = histogram(keys, probes)
         weights = size if weight == "bytes" else rows
         total, upto = int(weights.sum()), np.cumsum(weights)[:-1]
@@ -112,38 +118,38 @@ def splitters(keys: DataFrame, cuts: int, tolerance: float, weight: str) -> tupl
     return found, rounds
 
 
-def histogram_sort(spark: SparkSession, docs: DataFrame, shards: int = 8, tolerance: float = 0.005, fine: int = 8) -> DataFrame:
+def histogram_sort(spark: SparkSession, docs: DataFrame, shards: int = 8, tolerance: float = 0.005, piece: int = PIECE) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row.
 
     Shards hold equal bytes within `tolerance` of one shard each side, or as near as rows
     let them; slots count from 0 without gaps inside a shard, by (key, doc_id). Equal texts
     stand together and are only parted where a border must fall among them. A null text is
     empty; a null doc_id sorts first; repeated rows take slots of their own; an empty table
-    gives an empty result. Other columns are not read.
+    gives an empty result. Other columns are not read, and texts are not exchanged: join the
+    result with the documents to write the shards.
     """
     ws = Workspace(spark)
     keys = ws.table("keys", keyed(docs))
     outer, _ = splitters(keys, shards - 1, tolerance, "bytes")
+    # pieces of about `piece` rows, eight to a shard at least
+    fine = max(8, -(-keys.count() // (shards * piece)))
     inner, _ = splitters(keys, shards * fine - 1, 0.1, "rows")
     borders = sorted({*outer, *inner})
+    _, rows = histogram(keys, borders)
+    heads = np.array([0, *(bisect_left(borders, o) + 1 for o in outer)])
+    shard_of = np.searchsorted(heads, np.arange(len(rows)), side="right") - 1
+    # slots before each piece in its shard
+    before = np.cumsum(rows) - rows
+    before = before - before[np.minimum(heads, len(rows) - 1)][shard_of]
 
     def place(batches):
-        heads = np.array([0, *(borders.index(o) + 1 for o in outer)])
         for b in batches:
             at = _below(b.column("key").to_numpy(), b.column("part").to_numpy(), borders)
-            shard = np.searchsorted(heads, at, side="right") - 1
-            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "size", "text_crc32", "key", "part")), pa.array(at, pa.int32()), pa.array(shard, pa.int32())], ["doc_id", "size", "text_crc32", "key", "part", "piece", "shard"])
+            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "size", "text_crc32", "key", "part")), pa.array(at, pa.int32()), pa.array(shard_of[at], pa.int32()), pa.array(before[at], pa.int64())], ["doc_id", "size", "text_crc32", "key", "part", "piece", "shard", "before"])
 
-    placed = keys.mapInArrow(place, "doc_id long, size long, text_crc32 long, key long, part long, piece int, shard int")
-    _, rows = histogram(keys, borders)
-    first, base, starts = [0, *(borders.index(o) + 1 for o in outer)], 0, []
-    for i, n in enumerate(rows):
-        base = 0 if i in first else base
-        starts.append(base)
-        base += int(n)
-    offset = F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), F.col("piece") + 1)
+    placed = keys.mapInArrow(place, "doc_id long, size long, text_crc32 long, key long, part long, piece int, shard int, before long")
     order = Window.partitionBy("piece").orderBy("key", "part", "size", "text_crc32")
-    return placed.withColumn("slot", offset + F.row_number().over(order) - 1).select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
+    return placed.withColumn("slot", F.col("before") + F.row_number().over(order) - 1).select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def op8_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

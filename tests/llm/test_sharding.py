@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from quillspark.llm.sharding import histogram_sort
+from quillspark.llm.sharding import histogram_sort, keyed, op8_histogram_sharding
 
 
 def check(rows, got, shards, slack):
@@ -38,3 +38,35 @@ def test_few_and_no_rows(spark):
     same = spark.createDataFrame([(1, "a")] * 20, "doc_id long, text string")
     got = histogram_sort(spark, same).collect()
     assert len({(r["shard"], r["slot"]) for r in got}) == 20
+
+
+def test_against_a_sort_of_all_rows(spark):
+    """Shards and slots are those of one sort of all rows, cut where the bytes before come nearest to equal shares."""
+    rng = random.Random(17)
+    rows = [(rng.randrange(400), rng.choice(["", "a", "hot text " * 9, "x" * rng.randint(1, 600)])) for _ in range(1300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    every = sorted((r["key"], r["part"], r["size"], r["text_crc32"]) for r in keyed(df).collect())
+    sizes = [r[2] for r in every]
+    total, tolerance = sum(sizes), 0.005
+    for piece in (10**6, 13):  # eight pieces a shard, and many more
+        got = {}
+        for r in histogram_sort(spark, df, tolerance=tolerance, piece=piece).collect():
+            got.setdefault(r["shard"], []).append((r["slot"], r["doc_id"], r["size"], r["text_crc32"]))
+        at = 0
+        for s in range(8):
+            part = sorted(got.get(s, []))
+            assert [x[0] for x in part] == list(range(len(part)))
+            assert [x[1:] for x in part] == [x[1:] for x in every[at : at + len(part)]]
+            at += len(part)
+            want = total * (s + 1) / 8
+            # rows with one key and doc_id stay together
+            edges = [sum(sizes[:i]) for i in range(len(every) + 1) if i in (0, len(every)) or every[i][:2] != every[i - 1][:2]]
+            assert abs(sum(sizes[:at]) - want) <= max(tolerance * total / 8, min(abs(e - want) for e in edges)) + 1e-9
+        assert at == len(every)
+
+
+def test_query_columns(spark):
+    rows = op8_histogram_sharding(spark, "/root/testdata/sf0.01").collect()
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    check(docs, rows, 8, 0.01 * sum(r["size"] for r in rows) / 8 + max(r["size"] for r in rows))
+    assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
