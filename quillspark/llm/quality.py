@@ -4,8 +4,11 @@ A logistic model over dense text features minimises the non-negative unbiased ri
 
     prior * R(positives as 1) + max(0, R(unlabelled as 0) - prior * R(positives as 0)),
 
-from trusted positives, unlabelled web text and a class prior estimated from the labels
-that may be learnt from. The fit uses bounded samples; every document is scored.
+from trusted positives and unlabelled web text. The class prior is estimated from the two
+alone: among the texts that a first model finds most like the positives nearly all are
+positive, so there the unlabelled share over the positives' share is the prior. Negative
+labels are never used, so labels need not be a fair sample of the web text. The fit uses
+bounded samples; every document is scored.
 """
 
 from __future__ import annotations
@@ -32,8 +35,11 @@ class Model:
     weights: np.ndarray
     prior: float
 
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return _expand((x - self.mean) / self.scale) @ self.weights
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(_expand((x - self.mean) / self.scale) @ self.weights)
+        return _sigmoid(self.logit(x))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -46,8 +52,11 @@ def _expand(z: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(z), 1)), z, z * z / 4], axis=1)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Minimise the non-negative risk with Adam; when its unlabelled part falls below zero, that part is stepped back."""
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.02, decay: float = 1e-4, seed: int = 7, floor: bool = True) -> Model:
+    """Minimise the non-negative risk with Adam; when its unlabelled part falls below zero, that part is stepped back.
+
+    Without `floor` the rows count as what they are, positive or unlabelled, half and half.
+    """
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-6
     p, u = _expand((positive - mean) / scale), _expand((unlabelled - mean) / scale)
@@ -62,8 +71,8 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
             sa, sb = _sigmoid(za), _sigmoid(zb)
             # logistic loss: log(1+exp(-z)) for label 1, log(1+exp(z)) for label 0
             negative = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
-            g_neg = b.T @ sb / len(b) - prior * (a.T @ sa) / len(a)
-            g = prior * (a.T @ (sa - 1)) / len(a) + g_neg if negative >= 0 else -g_neg
+            g_neg = b.T @ sb / len(b) - floor * prior * (a.T @ sa) / len(a)
+            g = prior * (a.T @ (sa - 1)) / len(a) + g_neg if negative >= 0 or not floor else -g_neg
             g = g + decay * w
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -71,6 +80,29 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     return Model(mean, scale, w, prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.25, sure: float = 1.0) -> float:
+    """The share of positives among the unlabelled, from the two samples alone.
+
+    A logistic model parts positives from unlabelled rows. For the rows above any bar the
+    share of the unlabelled over that of the positives is the prior at least, and the prior
+    where no negative gets above it; the least of these ratios over bars that `least` of the
+    positives reach is taken, each with `sure` standard errors added, so that chance in one of
+    many bars does not pull it down.
+    """
+    split = np.arange(len(positive)) % 2, np.arange(len(unlabelled)) % 2
+    ratios = []
+    for half in (0, 1):  # bars are set on rows that the model was not fitted on
+        model = fit_nnpu(positive[split[0] == half], unlabelled[split[1] == half], 0.5, epochs=20, floor=False)
+        p, u = (np.sort(model.logit(x[s != half])) for x, s in zip((positive, unlabelled), split))
+        if not len(p) or not len(u):
+            return 0.5
+        bars = np.unique(p[: int(len(p) * (1 - least)) + 1])
+        above_p, above_u = (1 - np.searchsorted(x, bars) / len(x) for x in (p, u))
+        error = np.sqrt(above_u * (1 - above_u) / len(u) + (above_u / above_p) ** 2 * above_p * (1 - above_p) / len(p)) / above_p
+        ratios.append(float((above_u / above_p + sure * error).min()))
+    return min(0.99, max(0.01, float(np.mean(ratios))))
+
+
 def learnable(labels: DataFrame, modulus: int, held_out: int) -> DataFrame:
     """Labels of rows that may be learnt from: crc32(doc_id as text) mod `modulus` is not `held_out`."""
     return labels.filter(F.crc32(F.col("doc_id").cast("string")) % modulus != held_out)
@@ -102,13 +134,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: in
     """Fit on at most `positives` documents of quality 1 and `unlabelled` documents without a label.
 
     labels: doc_id and quality, of rows that may be learnt from; null qualities count as no
-    label, and of conflicting ones the least. The prior is the share of quality 1 among them.
-    Without a positive or an unlabelled document the model gives every text the prior.
+    label, and of conflicting ones the least. Only quality 1 is learnt from; the prior comes
+    from estimate_prior(). Without a positive or an unlabelled document the model gives every
+    text one half.
     """
     prepare(spark)
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n, good = known.agg(F.count(F.lit(1)), F.sum((F.col("quality") == 1).cast("long"))).first()
-    prior = min(0.99, max(0.01, good / n)) if n else 0.5
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
     one = sample(known.filter("quality = 1").select("doc_id"), positives).withColumn("kind", F.lit(1))
     none = sample(ids.join(labels.filter("quality IS NOT NULL").select("doc_id"), "doc_id", "left_anti").distinct(), unlabelled).withColumn("kind", F.lit(0))
@@ -117,12 +148,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: in
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(NAMES))
     p, u = x[rows["kind"] == 1], x[rows["kind"] == 0]
     if not len(p) or not len(u):
-        w = np.zeros(2 * len(NAMES) + 1)
-        w[0] = np.log(prior / (1 - prior))
-        return Model(np.zeros(len(NAMES)), np.ones(len(NAMES)), w, prior)
+        return Model(np.zeros(len(NAMES)), np.ones(len(NAMES)), np.zeros(2 * len(NAMES) + 1), 0.5)
     # rows arrive in no fixed order; the fit does not depend on it
     order = lambda a: a[np.lexsort(a.T)]
-    return fit_nnpu(order(p), order(u), prior)
+    p, u = order(p), order(u)
+    return fit_nnpu(p, u, estimate_prior(p, u))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, *more: str) -> DataFrame:
@@ -138,7 +168,11 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, *more: str) -> Dat
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with their columns, that score at least `threshold`."""
+    """The rows of docs, with their columns, that score at least `threshold`.
+
+    Every row is judged by its text alone, a null text as an empty one; repeated rows alike;
+    an empty table gives an empty result.
+    """
     prepare(spark)
     at = docs.columns.index("text")
 

@@ -1,6 +1,6 @@
 import random
 
-from quillspark.llm.quality import keep_good, learnable, score, train
+from quillspark.llm.quality import estimate_prior, keep_good, learnable, op10_quality_classifier, score, train
 
 
 def is_good(i):
@@ -45,3 +45,38 @@ def test_without_labels_or_documents(spark):
     assert score(spark, df, train(spark, df, none)).first()["score"] == 0.5
     one = spark.createDataFrame([(1, 1), (1, None), (2, 0)], "doc_id long, quality int")
     assert abs(score(spark, df, train(spark, df, one)).first()["score"] - 0.5) < 1e-9
+
+
+def test_prior_and_fit_without_negative_labels(spark):
+    docs, labels = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string, kind int")
+    true = sum(is_good(i) for i, _, _ in docs) / len(docs)
+    # only some of the good are labelled, none of the bad: the labels' own share would be 1
+    biased = spark.createDataFrame([(i, q) for i, q in labels if q and i % 4 == 1], "doc_id long, quality int")
+    model = train(spark, df, biased)
+    unlabelled = [i for i, _, _ in docs if not (is_good(i) and i % 4 == 1)]
+    assert abs(model.prior - sum(map(is_good, unlabelled)) / len(unlabelled)) < 0.12 and true < 1
+    got = {r["doc_id"]: r["score"] for r in score(spark, df, model).collect()}
+    assert sum((got[i] >= 0.3) != is_good(i) for i, _, _ in docs) <= 18
+
+
+def test_prior_of_known_mixtures():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    draw = lambda n, good: rng.normal(size=(n, 3)) + (np.array([2.5, 0, 0]) if good else 0)
+    for true in (0.2, 0.5, 0.8):
+        n = int(4000 * true)
+        got = estimate_prior(draw(3000, True), np.concatenate([draw(n, True), draw(4000 - n, False)]))
+        assert abs(got - true) < 0.06, (true, got)
+
+
+def test_query_columns_and_held_out_accuracy(spark):
+    import zlib
+
+    rows = {r["doc_id"]: r for r in op10_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality IS NOT NULL").collect()
+    out = [r for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    assert all(rows[r["doc_id"]]["held_out"] for r in out) and all(r["predicted"] == int(r["score"] >= 0.3) for r in rows.values())
+    assert sum(rows[r["doc_id"]]["predicted"] == r["quality"] for r in out) >= 0.95 * len(out) > 0
