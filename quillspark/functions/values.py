@@ -9,7 +9,8 @@ from .. import constants as C
 
 
 def clamp01(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    """x held to 0 to 1; null stays null, so a row without a score never looks rejected."""
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def half_even(x: Column, places: int = 0) -> Column:

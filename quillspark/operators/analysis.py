@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import bounded
 from ..session import cut
 
 
@@ -54,6 +55,7 @@ def stage(df: DataFrame, call: Callable[[str, str], Any], inputs: tuple[str, str
 
     kept = [f for f in df.schema.fields if f.name not in {*names, "error", "fatal"}]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(" ".join(o.split(":", 1)) for o in outputs.split(";")), "error string", "fatal boolean"])
+    bounded(df.sparkSession)
     return df.select(*(f.name for f in kept)).mapInPandas(run, schema)
 
 

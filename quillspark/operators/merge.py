@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 ANALYSIS = ("relevance_score", "relevance_reasoning", "passed_relevance", "title_english", "text_english", "summary_english", "analyzed_at", "is_significant", "significance_reasoning", "model_id", "prompt_version")
 
 
@@ -12,10 +14,12 @@ def next_ids(rows: DataFrame, taken: DataFrame, order: str, column: str = "id")
     """rows with ids above the greatest taken, dense, in order.
 
     Numbers are given inside range partitions and shifted by the counts of those before, so
-    no single task sees all rows.
+    no single task sees all rows. The ranged rows are written first: a lost executor cannot
+    deal them out anew after they are counted.
     """
     top = taken.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
-    spread = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).persist()
+    spread = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    spread = cut(spread)
     counts = {r["_part"]: r["n"] for r in spread.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     start, before = {}, top
     for p in sorted(counts):
@@ -83,6 +87,12 @@ def remap(rows: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     return rows.join(m, rows[column] == m["_old"], "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
 
 
+def orphan_links(links: DataFrame, articles: DataFrame, categories: DataFrame) -> DataFrame:
+    """gate, violations: links (article_id, category_id) whose article or category is not there."""
+    lost = lambda key, df, name: links.join(df.select(F.col("id").alias(key)), key, "left_anti").agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("gate"), "violations")
+    return lost("article_id", articles, "links_without_article").unionByName(lost("category_id", categories, "links_without_category"))
+
+
 def gates(base: DataFrame, origin: DataFrame, local: DataFrame, merged: DataFrame) -> DataFrame:
     """gate and violations; a merge is sound if all are 0."""
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("gate"), "violations")

@@ -63,7 +63,7 @@ def articles(spark: SparkSession, sf: str, text: bool = True) -> DataFrame:
         F.when((F.col("quality") == 1) & (i % 3 != 0), F.date_format(day, "yyyy-MM-dd")).alias("analyzed_at"),
         F.array_distinct(F.array(_pick(CATS, i % 14), _pick(CATS, F.floor(i / 7) % 14))).alias("categories"), i.alias("ord"),
     )
-    summary = F.left("text_original", F.lit(200))
+    summary = F.col("text_original")
     out = out.withColumns({"title_english": F.col("title_original"), "summary_english": summary, "extraction_issue": A.extraction_issue(summary), "source_name": F.upper("source_slug")})
     return out if text else out.drop("text_original")
 
@@ -76,7 +76,7 @@ SELECT d.doc_id AS id, source AS source_slug, upper(source) AS source_name, lang
   CAST(d.doc_id % 101 AS DOUBLE) / 100.0 AS relevance_score,
   CASE WHEN quality = 1 AND d.doc_id % 3 <> 0 THEN strftime(DATE '2024-01-01' + CAST(d.doc_id % 30 AS INT), '%Y-%m-%d') END AS analyzed_at,
   CASE WHEN d.doc_id % 14 = (d.doc_id // 7) % 14 THEN [{_LIST(CATS)}[CAST(d.doc_id % 14 AS INT) + 1]] ELSE [{_LIST(CATS)}[CAST(d.doc_id % 14 AS INT) + 1], {_LIST(CATS)}[CAST((d.doc_id // 7) % 14 AS INT) + 1]] END AS categories,
-  d.doc_id AS ord, left(text, 200) AS summary_english, regexp_matches(lower(left(text, 200)), '{"|".join(C.EXTRACTION_SIGNALS)}') AS extraction_issue
+  d.doc_id AS ord, text AS summary_english, regexp_matches(lower(text), '{"|".join(C.EXTRACTION_SIGNALS)}') AS extraction_issue
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
 _WITH = f"WITH art AS ({ART})"
@@ -285,7 +285,7 @@ def edition_index(spark, sf):
     return _iso(rollup.edition_index(o.select(F.col("o_orderdate").cast("date").alias("date")).distinct())).fillna(0, ["gap_days"])
 
 
-@query(f"""{_WITH}, new AS (SELECT id FROM art WHERE id % 25 = 3), pend AS (SELECT id FROM art WHERE passed_relevance AND analyzed_at IS NULL AND id NOT IN (SELECT id FROM new) AND id % 50 = 0),
+@query(f"""{_WITH}, new AS (SELECT id FROM art WHERE id % 25 = 3), pend AS (SELECT id FROM art WHERE passed_relevance AND analyzed_at IS NULL AND id NOT IN (SELECT id FROM new)),
 uns AS (SELECT id, published_date >= '2024-01-16' AS live FROM art WHERE passed_relevance IS NULL AND id NOT IN (SELECT id FROM new)),
 b AS (SELECT id, 1 AS tier, 0 AS rank FROM pend UNION ALL SELECT id, 2, CASE WHEN live THEN 0 ELSE 1 END FROM uns), s AS (SELECT (SELECT count(*) FROM new) AS nn, (SELECT count(*) FROM b) AS nb),
 q AS (SELECT nn, nb, least(nn, 55 - least(nb, 16)) AS tn FROM s),
@@ -296,10 +296,10 @@ def analysis_queue(spark, sf):
     a = articles(spark, sf, False)
     new = a.filter("id % 25 = 3").select("id", "ord")
     uns = A.unscored(a).select("id", (F.col("published_date") >= "2024-01-16").alias("live"))
-    return schedule.analysis_queue(new, A.pending(a).filter("id % 50 = 0").select("id"), uns)[0]
+    return schedule.analysis_queue(new, A.pending(a).select("id"), uns)[0]
 
 
-@query(f"""{_WITH} SELECT id FROM art WHERE {_PUB} AND contains(lower(title_original || ' ' || title_original || ' ' || left(text_original, 200)), 'the') AND published_date BETWEEN '2024-01-03' AND '2024-01-25' AND list_has_any(categories, ['taiwan', 'nuclear', 'doctrine'])""")
+@query(f"""{_WITH} SELECT id FROM art WHERE {_PUB} AND contains(lower(title_original || ' ' || title_original || ' ' || text_original), 'the') AND published_date BETWEEN '2024-01-03' AND '2024-01-25' AND list_has_any(categories, ['taiwan', 'nuclear', 'doctrine'])""")
 def archive_search(spark, sf):
     """Text, date and category filters of the archive together."""
     a = A.published(articles(spark, sf, False)).select("id", F.col("title_english").alias("title_en"), F.col("title_original").alias("title_zh"), F.col("summary_english").alias("summary"), F.col("published_date").alias("date"), "is_significant", "categories")
@@ -346,12 +346,12 @@ def merge_gates(spark, sf):
     return merge.gates(base, origin, local, merge.three_way_merge(base, origin, local))
 
 
-@query(f"{_WITH} SELECT id AS doc_id, 'left' AS side FROM art WHERE {_PUB} AND id % 9 = 0 UNION ALL SELECT id, 'right' FROM art WHERE id % 9 <> 0 AND id % 11 = 0 AND NOT ({_PUB} IS TRUE)")
+@query(f"{_WITH} SELECT id AS doc_id, 'left' AS side FROM art WHERE {_PUB} AND id % 9 = 0 UNION ALL SELECT id, 'right' FROM art WHERE id % 9 <> 0 AND NOT ({_PUB} IS TRUE)")
 def coverage_difference(spark, sf):
     """Analysed rows without a page, and pages without a row."""
     a = articles(spark, sf, False)
     done = A.published(a).select(F.col("id").alias("doc_id"))
-    pages = done.filter("doc_id % 9 <> 0").unionByName(a.filter(f"id % 9 <> 0 AND id % 11 = 0 AND NOT coalesce({_PUB}, false)").select(F.col("id").alias("doc_id")))
+    pages = a.filter("id % 9 <> 0").select(F.col("id").alias("doc_id"))  # all rows but those have a page
     return merge.symmetric_difference(done, pages, "doc_id")
 
 
@@ -441,22 +441,131 @@ def page_links(spark, sf):
     return P.anchors(table(spark, sf, "pages"))
 
 
-@query()
+_PLAIN = "list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g'), ' +'), lambda w: w <> '')"
+_QUOTE = lambda x: "'" + x.replace("'", "''") + "'"
+_OPENER = "CASE " + " ".join(f"WHEN starts_with(lower(s), {_QUOTE(o)}) THEN {_QUOTE('banned opener: ' + o)}" for o in C.BANNED_OPENERS) + " END"
+_PHRASES = ", ".join([f"CASE WHEN contains(lower(s), {_QUOTE(p)}) THEN {_QUOTE(kind + p)} END" for kind, ps in (("banned phrase: ", C.BANNED_PHRASES), ("crutch construction: ", C.CRUTCHES)) for p in ps])
+
+
+@query(rf"""{_WITH}, n AS (SELECT id, title_original AS t, {_NORM.format('text_original')} AS s FROM art),
+c AS (SELECT *, list_filter(string_split(regexp_replace(s, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS sent, length(s) - length(replace(s, ' ', '')) + 1 AS words, {_PLAIN.format('t')} AS head, {_PLAIN.format('s')} AS plain FROM n)
+SELECT id, finding FROM (SELECT id, unnest(CASE WHEN s = '' THEN ['empty summary'] ELSE [{_OPENER}, {_PHRASES},
+  CASE WHEN len(sent) > {C.MAX_SENTENCES} THEN len(sent) || ' sentences (max {C.MAX_SENTENCES})' END, CASE WHEN words > {C.MAX_WORDS} THEN words || ' words' END,
+  CASE WHEN len(head) >= 8 AND plain[1:len(head)] = head THEN 'summary opens by restating the headline' END, CASE WHEN length(sent[1]) > {C.EXCERPT} THEN 'first sentence exceeds the card excerpt' END] END) AS finding FROM c) WHERE finding IS NOT NULL""")
 def lint_findings(spark, sf):
     """Editorial findings on every document."""
     a = articles(spark, sf)
     return a.select("id", F.explode(quality.lint_summary(F.col("title_original"), F.col("text_original"))).alias("finding"))
 
 
-@query()
+_LEAD = "list_sort(list_transform(range(1, len(categories) + 1), lambda i: {p: list_transform(categories, lambda c: " + _PRIO + ")[i], i: i, c: categories[i]}))[1].c"
+_TOP3 = lambda where: f"coalesce((SELECT string_agg(label, ', ' ORDER BY n DESC, category) FROM (SELECT category, count(*) AS n, {_LABEL} AS label FROM (SELECT unnest(categories) AS category FROM clean{where}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)), '')"
+
+
+@query(f"""{_WITH}, clean AS (SELECT * FROM (SELECT *, {_BRIEF} AS k FROM art WHERE published_date = (SELECT max(published_date) FROM art)) WHERE NOT extraction_issue),
+top AS (SELECT trim(CASE WHEN title_original = '' THEN 'Untitled' ELSE title_original END) AS t, {_LEAD} AS lead FROM clean ORDER BY is_significant DESC, k LIMIT 1),
+f AS (SELECT count(*) AS n_clean, count(*) FILTER (WHERE is_significant) AS n_flagged, count(DISTINCT nullif(source_name, '')) AS n_sources, max(source_name) AS a FROM clean)
+SELECT CASE WHEN n_clean = 0 THEN 'empty' WHEN n_flagged > 0 THEN 'flagged' ELSE 'routine' END AS kind, n_clean, n_flagged,
+  coalesce((SELECT CASE WHEN length(t) <= 110 THEN t ELSE regexp_replace(regexp_replace(left(t, 110), ' [^ ]*$', ''), '[ ,;:]+$', '') || '…' END FROM top), '') AS lead_title, coalesce((SELECT lead FROM top), '') AS lead_category,
+  CASE WHEN n_sources = 1 THEN a END AS sole_source, {_TOP3('')} AS dominant, {_TOP3(' WHERE is_significant')} AS flagged_labels, {_TOP3(' WHERE NOT is_significant')} AS routine_labels FROM f""")
 def daily_readout(spark, sf):
     """Facts of the latest day's brief."""
     return rollup.readout(rollup.daily_brief(articles(spark, sf, False)))
 
 
-@query()
+@query(f"""{_WITH} SELECT 0 AS tier, 0 AS n, '<url><loc>https://example.org/</loc></url>' AS value UNION ALL SELECT 0, 1, '<url><loc>https://example.org/archive</loc></url>'
+UNION ALL SELECT DISTINCT 1, CAST(published_date AS DATE) - DATE '1970-01-01', '<url><loc>https://example.org/editions/' || published_date || '.html</loc></url>' FROM art
+UNION ALL SELECT 2, id, '<url><loc>https://example.org/articles/' || id || '.html</loc></url>' FROM art WHERE {_PUB}""")
 def sitemap(spark, sf):
     """A sitemap element of each page."""
     a = articles(spark, sf, False)
     dates = a.select(F.col("published_date").alias("date")).distinct()
     return sinks.sitemap_lines(sinks.sitemap_urls("https://example.org/", ["", "archive"], dates, A.published(a)))
+
+
+_BARE = r"regexp_replace(coalesce({0}, ''), '[\s\x1c-\x1f]+', '', 'g')"
+_ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+@query(rf"""SELECT doc_id, len(list_filter(string_split(regexp_replace(trim(text, ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS n_sentences,
+  CASE WHEN {_NORM.format('text')} = '' THEN 0 ELSE length({_NORM.format('text')}) - length(replace({_NORM.format('text')}, ' ', '')) + 1 END AS n_words,
+  sha1(left({_BARE.format('text')}, 200)) AS body_hash, len(list_filter(string_split(text, ','), lambda x: x <> '')) AS n_fields, sha1({_ESC.format('text')}) AS escaped,
+  CASE WHEN length(text) > 240 THEN left(text, 237) || '…' ELSE text END AS capped, CASE WHEN contains(text, '.') THEN length(left(text, strpos(text, '.') - 1)) - length(replace(left(text, strpos(text, '.') - 1), chr(10), '')) + 1 END AS first_line,
+  CASE WHEN starts_with(text, 'The ') THEN trim(substr(text, 5), ' ') WHEN starts_with(text, 'Es ') THEN trim(substr(text, 4), ' ') ELSE text END AS unprefixed FROM documents""")
+def text_functions(spark, sf):
+    """Sentences, words, fingerprints, escapes, caps and prefixes of whole texts."""
+    x = F.col("text")
+    return table(spark, sf, "documents").select(
+        "doc_id", F.size(T.sentences(x)).alias("n_sentences"), T.word_count(x).alias("n_words"), T.body_hash(x).alias("body_hash"), F.size(T.csv_array(x)).alias("n_fields"), F.sha1(T.escape_html(x)).alias("escaped"),
+        T.capped(x).alias("capped"), T.first_line_with(x, r"\.").alias("first_line"), T.strip_first_prefix(x, ["The ", "Es "]).alias("unprefixed"),
+    )
+
+
+_STRIPPED = "replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+
+
+@query(rf"""SELECT page_id, len(ps) AS n, sha1(array_to_string(ps, chr(10) || chr(10))) AS paragraphs FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), lambda x: {_NORM.format(_STRIPPED)}), lambda p: p <> '') AS ps FROM pages)""")
+def page_paragraphs(spark, sf):
+    """Stripped paragraphs of every page."""
+    p = table(spark, sf, "pages").select("page_id", T.paragraphs(F.col("html")).alias("t"))
+    return p.select("page_id", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n\n"))).alias("n"), F.sha1("t").alias("paragraphs"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 45 AS INT) AS e FROM orders)
+SELECT o_orderkey, strftime(s, '%-d %B %Y') AS long_form, strftime(s, '%Y-%-m-%d') IS NOT NULL AS valid, strftime(s, '%Y-%m-%d') AS from_slash, strftime(s, '%Y-%m-%d') AS leading, strftime(s - 6, '%Y-%m-%d') AS week_start,
+  CAST(CASE WHEN o_orderkey % 3 = 1 THEN 1 ELSE greatest(1, e - s + 1) END AS INT) AS days,
+  CASE WHEN s = e THEN strftime(s, '%-d %B %Y') WHEN strftime(s, '%Y-%m') = strftime(e, '%Y-%m') THEN strftime(s, '%-d') || '–' || strftime(e, '%-d %B %Y')
+    WHEN year(s) = year(e) THEN strftime(s, '%-d %B') || ' – ' || strftime(e, '%-d %B %Y') ELSE strftime(s, '%-d %B %Y') || ' – ' || strftime(e, '%-d %B %Y') END AS coverage FROM o""")
+def date_functions(spark, sf):
+    """Every order's date in the forms that editions use, and the span to a later one."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("s")).withColumn("e", F.expr("date_add(s, CAST(o_orderkey % 45 AS INT))"))
+    s, e = F.date_format("s", "yyyy-MM-dd"), F.date_format("e", "yyyy-MM-dd")
+    return _iso(o.select(
+        "o_orderkey", D.long_form(s).alias("long_form"), D.strict(s).isNotNull().alias("valid"), D.slash_date(F.date_format("s", "yyyy/M/d")).alias("from_slash"), D.leading_iso(F.concat(F.lit(" "), s, F.lit("T10:00"))).alias("leading"),
+        D.week_start(F.col("s")).alias("week_start"), D.days_covered(F.when(F.col("o_orderkey") % 3 == 1, 1).when(F.col("o_orderkey") % 3 == 0, 0), s, e).alias("days"), D.coverage(s, e).alias("coverage"),
+    ))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS fenced, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS embedded FROM events WHERE props IS NOT NULL")
+def reply_fields(spark, sf):
+    """The first field of replies in code fences and inside other words."""
+    e, kind = table(spark, sf, "events").filter("props IS NOT NULL"), "map<string,string>"
+    key = F.element_at(F.json_object_keys("props"), 1)
+    fenced, embedded = F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.concat(F.lit("Here it is: "), "props", F.lit(" Done."))
+    return e.select("event_id", F.try_element_at(V.reply_json(fenced, kind), key).alias("fenced"), F.try_element_at(V.reply_json(embedded, kind), key).alias("embedded"))
+
+
+@query(f"""{_WITH} SELECT id, CAST(greatest(0, least(1, relevance_score * 3 - 1)) AS DOUBLE) AS clamped, coalesce(passed_relevance, false) AND title_original <> '' AND trim(regexp_replace(text_original, '[\\s\\x1c-\\x1f]+', ' ', 'g')) <> '' AS publishable,
+  coalesce(analyzed_at >= '2024-01-11', false) AS live, {_LEAD} AS lead FROM art""")
+def article_flags(spark, sf):
+    """Held scores, publishable and live marks, and the leading category of every article."""
+    a = articles(spark, sf)
+    today = F.lit("2024-01-25").cast("date")
+    return a.select("id", V.clamp01(F.col("relevance_score") * 3 - 1).alias("clamped"), A.publishable().alias("publishable"), A.live(F.col("analyzed_at"), today).alias("live"), V.lead_category(F.col("categories")).alias("lead"))
+
+
+@query("""WITH e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'F' AND extract(day FROM o_orderdate) IN (1, 8, 15, 22)), t AS (SELECT strftime(d, '%Y-%m-%d') AS date, extract(day FROM d) AS k FROM e)
+SELECT 'error' AS level, 'articles_json' AS rule, 'articles.json' AS key, 'not a list' AS message UNION ALL SELECT 'error', 'no_body', date, 'no prose at all' FROM t WHERE ends_with(date, '-01-01')
+UNION ALL SELECT 'error', 'companion', date, 'companion text is missing' FROM t WHERE k = 22 UNION ALL SELECT 'error', 'unlinked', 'archive.html:' || date, 'the page does not link the edition' FROM t WHERE k = 1
+UNION ALL SELECT 'error', 'unlinked', 'terms.html:' || date, 'the page does not link the edition' FROM t WHERE k = 15 UNION ALL SELECT 'error', 'feed_count', 'feed.xml', 'entries and editions differ'
+UNION ALL SELECT 'error', 'unlinked', 'feed.xml:' || date, 'the page does not link the edition' FROM t WHERE k = 8""")
+def site_findings(spark, sf):
+    """Rules of a built site whose pages lack some editions."""
+    o = table(spark, sf, "orders").filter("o_orderstatus = 'F' AND day(o_orderdate) IN (1, 8, 15, 22)")
+    e = o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).distinct()
+    link = F.concat(F.lit("<entry>editions/"), "date", F.lit(".html"))
+    page = lambda path, without: e.filter(~F.col("date").endswith(without)).agg(F.array_join(F.collect_list(link), " ").alias("value")).select(F.lit(path).alias("path"), "value")
+    files = page("index.html", "-none").unionByName(page("archive.html", "-01")).unionByName(page("terms.html", "-15")).unionByName(page("feed.xml", "-08"))
+    files = files.unionByName(spark.createDataFrame([("articles.json", "{}")], "path string, value string")).unionByName(e.filter("date NOT LIKE '%-22'").select(F.concat(F.lit("editions/"), "date", F.lit(".txt")).alias("path"), F.lit("text").alias("value")))
+    body = F.when(F.col("date").endswith("-01-01"), " ").otherwise("prose")
+    return quality.site_rules(files, e.select("date", *(body.alias(f) for f in C.PROSE_FIELDS)))
+
+
+@query(f"""{_WITH} SELECT 'links_without_article' AS gate, CAST(sum(len(categories)) AS BIGINT) AS violations FROM art WHERE NOT ({_PUB} IS TRUE)
+UNION ALL SELECT 'links_without_category', count(*) FROM (SELECT unnest(categories) AS c FROM art) WHERE c = '{CATS[0]}'""")
+def link_gates(spark, sf):
+    """Category links whose article or category is missing."""
+    a = articles(spark, sf, False)
+    cats = spark.createDataFrame([(i, c) for i, c in enumerate(CATS)], "id long, slug string")
+    links = a.select(F.col("id").alias("article_id"), F.explode("categories").alias("slug")).join(cats, "slug").select("article_id", F.col("id").alias("category_id"))
+    return merge.orphan_links(links, A.published(a), cats.filter("id > 0"))

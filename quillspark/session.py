@@ -17,6 +17,12 @@ def build(app: str = "quillspark", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python, so that pages of any size fit a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint; only a local session may go without a folder for it."""
     sc = df.sparkSession.sparkContext

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -81,6 +83,7 @@ def anchors(pages: DataFrame) -> DataFrame:
             rows = [(p, i, urljoin(u or "", href), text) for p, u, h in zip(b["page_id"], b["url"], b["html"]) for i, (href, text) in enumerate(x for x in _Walk.of(h).anchors if x[0])]
             yield pd.DataFrame(rows, columns=["page_id", "n", "href", "text"])
 
+    bounded(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, n int, href string, text string")
 
 
@@ -118,6 +121,7 @@ def parse(pages: DataFrame, source: str = "web", content: str = "", least: int =
                     rows.append((url, source, title, text, m[0] if m else fallback))
             yield pd.DataFrame(rows, columns=["url", "source_slug", "title_original", "text_original", "published_date"])
 
+    bounded(pages.sparkSession)
     return pages.select("url", "html").mapInPandas(run, "url string, source_slug string, title_original string, text_original string, published_date string")
 
 

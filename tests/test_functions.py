@@ -103,3 +103,10 @@ def test_images(spark):
     assert [r[0] for r in values(spark, rows, v=V.license_allowed(F.col("x0"), F.col("x1")))] == [True, False, True, False, False]
     s = values(spark, [("CC0", 1600, 900)], v=scoring.image_score(F.col("x0"), F.col("x1"), F.col("x2"), F.lit(7), F.lit(True), F.lit(False)))
     assert s == [(15.5,)]
+
+
+def test_held_scores_keep_nulls(spark):
+    from quillspark.functions import values as V
+
+    df = spark.createDataFrame([(1, -0.5), (2, 0.25), (3, 7.0), (4, None)], "id int, x double")
+    assert [r["y"] for r in df.select("id", V.clamp01(F.col("x")).alias("y")).orderBy("id").collect()] == [0.0, 0.25, 1.0, None]
