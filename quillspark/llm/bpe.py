@@ -2,8 +2,10 @@
 
 A long text is cut into overlapping chunks that are pre-tokenised in parallel. The split
 pattern looks only ahead, so from any place where two chunks agree on a boundary they agree
-until the earlier one ends; that is where they are stitched. The pieces between are then
-encoded in parallel and their ids put together again. A text of one chunk takes one step.
+until the earlier one ends; that is where they are stitched. Only the boundaries inside the
+overlaps are brought together for that; each chunk is then encoded between its two stitches,
+again in parallel. A text in which two neighbours agree nowhere (a match longer than the
+overlap) is stitched as a whole. A text of one chunk takes one step.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import fill, prepare, slices, text_rows
+from .work import Workspace, fill, prepare, slices, text_rows
 
 #: Characters of a chunk, and how far it reaches into the next.
 CHUNK, OVERLAP = 32_768, 512
@@ -111,7 +113,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str, chu
     null or repeated doc_id each give a row; an empty table gives an empty result. Other
     columns are not read.
     """
-    prepare(spark)
+    ws = Workspace(spark)
     shared = spark.sparkContext.broadcast(ranks)
     rows = text_rows(docs)
 
@@ -125,11 +127,34 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str, chu
                 ends.append(ends[-1] + len(ids[-1]))
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(ids))], ["doc_id", "ids"])
 
+    def chunks(batches):
+        for b in slices(batches):
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                for c in range(0, -(-len(text) // chunk), 64):
+                    bodies = [text[i * chunk : (i + 1) * chunk + overlap] for i in range(c, min(c + 64, -(-len(text) // chunk)))]
+                    yield pa.record_batch([pa.array([key] * len(bodies)), pa.array(range(c, c + len(bodies)), pa.int32()), pa.array(bodies)], ["key", "c", "body"])
+
     def split(batches):
         enc = encoder(shared, pattern)
         for b in slices(batches, "body"):
-            found = pa.array([enc.starts(t) for t in b.column("body").to_pylist()], pa.list_(pa.int32()))
-            yield b.append_column("starts", found)
+            found = [enc.starts(t) for t in b.column("body").to_pylist()]
+            head = [x[: bisect_left(x, overlap)] for x in found]
+            # the last characters of a chunk that goes on may belong to a longer match, such as 'll
+            top = [len(t) - 4 * (len(t) == chunk + overlap) for t in b.column("body").to_pylist()]
+            tail = [[s - chunk for s in x[bisect_left(x, chunk) : bisect_left(x, end)]] for x, end in zip(found, top)]
+            kind = pa.list_(pa.int32())
+            yield pa.record_batch([*b.columns, pa.array(found, kind), pa.array(head, kind), pa.array(tail, kind)], [*b.schema.names, "starts", "head", "tail"])
+
+    def between(batches):
+        """Ids of each chunk from its stitch with the one before to that with the next."""
+        enc = encoder(shared, pattern)
+        for b in slices(batches, "body"):
+            ids = []
+            for body, starts, lo, hi in zip(*(b.column(c).to_pylist() for c in ("body", "starts", "lo", "hi"))):
+                hi = len(body) if hi is None else hi
+                cut = [*starts[bisect_left(starts, lo) : bisect_left(starts, hi)], hi]
+                ids.append(list(enc.encode(body[x:y] for x, y in zip(cut, cut[1:]))))
+            yield pa.record_batch([b.column("key"), b.column("c"), pa.array(ids, pa.list_(pa.int32()))], ["key", "c", "ids"])
 
     def join(batches):
         enc = encoder(shared, pattern)
@@ -137,24 +162,25 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str, chu
             for r in b.to_pylist():
                 parts = sorted(r["parts"], key=lambda p: p["c"])
                 pieces = stitch([(p["body"], p["starts"]) for p in parts], chunk, enc.pattern)
-                for c, p in enumerate(pieces):
-                    yield pa.record_batch([pa.array([r["doc_id"]], pa.int64()), pa.array([r["key"]]), pa.array([r["times"]], pa.int64()), pa.array([c], pa.int32()), pa.array([p], pa.list_(pa.string()))], ["doc_id", "key", "times", "c", "pieces"])
-
-    def merge(batches):
-        enc = encoder(shared, pattern)
-        for b in batches:
-            ids = pa.array([list(enc.encode(p)) for p in b.column("pieces").to_pylist()], pa.list_(pa.int32()))
-            yield b.drop_columns(["pieces"]).append_column("ids", ids)
+                ids = [list(enc.encode(p)) for p in pieces]
+                yield pa.record_batch([pa.array([r["key"]] * len(ids)), pa.array(range(len(ids)), pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["key", "c", "ids"])
 
     short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, "doc_id long, ids array<int>")
-    long = rows.filter(F.length("text") > chunk).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times"))
-    chunks = long.select("doc_id", F.sha2("text", 256).alias("key"), "times", F.length("text").alias("n"), "text").select("doc_id", "key", "times", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("c"), "text")
-    chunks = chunks.select("doc_id", "key", "times", "c", F.substring("text", F.col("c") * chunk + 1, F.lit(chunk + overlap)).alias("body"))
-    cut = chunks.repartition("key", "c").mapInArrow(split, "doc_id long, key string, times long, c int, body string, starts array<int>")
-    whole_docs = cut.groupBy("doc_id", "key", "times").agg(F.collect_list(F.struct("c", "body", "starts")).alias("parts"))
-    pieces = whole_docs.mapInArrow(join, "doc_id long, key string, times long, c int, pieces array<string>")
-    ids = pieces.repartition("key", "c").mapInArrow(merge, "doc_id long, key string, times long, c int, ids array<int>")
-    back = ids.groupBy("doc_id", "key", "times").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("parts"))
+    long = rows.filter(F.length("text") > chunk).withColumn("key", F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256))
+    names = ws.table("names", long.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("times")))
+    one = long.select("key", "text").dropDuplicates(["key"])
+    parts = one.mapInArrow(chunks, "key string, c int, body string").repartition("key", "c")
+    parts = ws.table("parts", parts.mapInArrow(split, "key string, c int, body string, starts array<int>, head array<int>, tail array<int>"))
+    # the stitch before each chunk: the first boundary that both sides of an overlap have
+    ends = parts.select("key", "c", "head", "tail").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c", "head", "tail"))).alias("p"))
+    first = lambda x, i: F.when(i == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.element_at("p", F.greatest(i, F.lit(1)))["tail"], x["head"])))
+    ends = ws.table("ends", ends.select("key", F.transform("p", first).alias("lo")))
+    agreed = F.forall("lo", lambda x: x.isNotNull())
+    at = ends.filter(agreed).select("key", "lo", F.posexplode("lo").alias("c", "from")).select("key", "c", F.col("from").alias("lo"), (F.try_element_at("lo", F.col("c") + 2) + chunk).alias("hi"))
+    ids = parts.select("key", "c", "body", "starts").join(at, ["key", "c"]).mapInArrow(between, "key string, c int, ids array<int>")
+    odd = parts.join(ends.filter(~agreed).select("key"), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("c", "body", "starts")).alias("parts"))
+    ids = ids.unionByName(odd.mapInArrow(join, "key string, c int, ids array<int>"))
+    back = ids.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("parts")).join(names, "key")
     back = back.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).select("doc_id", "ids")
     return short.unionByName(back)
 

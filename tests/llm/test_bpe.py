@@ -43,3 +43,34 @@ def test_digests_and_empty_table(spark):
     assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert row["decoded_sha256"] == hashlib.sha256(b"some words").hexdigest() and row["n_tokens"] == len(ids)
     assert digests(spark, docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_small_chunks_of_all_kinds_of_text(spark):
+    """Stitches in the overlap, stitches of the whole text, and contractions that a chunk's end cuts."""
+    rng = random.Random(14)
+    parts = ["a", "b", "é", " ", "  ", "\n", "\n\n", "12", "'s", "'ll", "we've", "!!", "word", "\t", "''", "x" * 30, " " * 25, "中文", "😀"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(5, 90)))) for i in range(250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(i, tuple(WHOLE.encode_ordinary(t))) for i, t in rows]
+    for chunk, overlap in ((24, 12), (40, 20), (16, 6)):
+        assert sorted((r[0], tuple(r[1])) for r in encode(spark, df, RANKS, public_tokenizers.PATTERN, chunk, overlap).collect()) == want, chunk
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    text = " ".join(rng.choices(["word", "zwölf", "中文", "can't", "1234", "x" * 50, "\n\n"], k=250_000))
+    df = spark.createDataFrame([(1, text), (2, "y" * 40_000 + " " * 40_000 + text[:70_000])], "doc_id long, text string")
+    got = {r[0]: r[1] for r in encode(spark, df, RANKS, public_tokenizers.PATTERN).collect()}
+    assert got[1] == WHOLE.encode_ordinary(text) and got[2] == WHOLE.encode_ordinary("y" * 40_000 + " " * 40_000 + text[:70_000])
+
+
+def test_query_against_the_library(spark):
+    from quillspark.llm.bpe import op6_bpe_round_trip
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op6_bpe_round_trip(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = WHOLE.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
