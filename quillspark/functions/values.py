@@ -56,3 +56,9 @@ def license_allowed(short: Column, field: Column) -> Column:
     deny = "|".join([*(rf"\b{w}\b" for w in C.REJECTED_LICENSE_WORDS), *C.REJECTED_LICENSES])
     allow = "|".join(x.replace(".", r"\.") for x in C.ALLOWED_LICENSES)
     return (F.trim(blob) != "") & ~blob.rlike(deny) & blob.rlike(allow)
+
+
+def resized(width: Column, height: Column, most: int) -> Column:
+    """struct<width, height> after an image wider than `most` shrinks to it in proportion, heights cut to whole pixels."""
+    wide = width > most
+    return F.struct(F.when(wide, F.lit(most)).otherwise(width).cast("int").alias("width"), F.when(wide, F.floor(height * most / width)).otherwise(height).cast("int").alias("height"))

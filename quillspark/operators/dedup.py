@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +44,8 @@ def new_articles(batch: DataFrame, stored: DataFrame, order: str = "ord") -> Dat
     """Rows of the batch that are new by URL and by content hash, as a greedy scan in order keeps them.
 
     Rows that the store has go first: their keys keep out nothing that the store wouldn't.
-    Rows whose URL and hash stand alone then pass at once. Only rows in conflict are scanned
-    in order, one connected cluster of shared keys at a time.
+    Rows whose URL and hash stand alone then pass at once. Only rows whose URLs and hashes
+    conflict crosswise need rounds.
     """
     keys = batch.select(order, "url", "content_hash")
     fresh = cut(keys.join(stored.select("url").distinct(), "url", "left_anti").join(stored.select("content_hash").distinct(), "content_hash", "left_anti"))
@@ -61,43 +60,27 @@ def new_articles(batch: DataFrame, stored: DataFrame, order: str = "ord") -> Dat
         sides.append(rest.groupBy(key).agg(F.min(order).alias(order), F.max(other).alias("_m"), F.count(F.lit(1)).alias("_n")).filter("_m = 1 AND _n > 1"))
     firsts = sides[0].select(order).unionByName(sides[1].select(order))
     mixed = rest.join(sides[0].select("content_hash"), "content_hash", "left_anti").join(sides[1].select("url"), "url", "left_anti")
-    if mixed.limit(1).count():
-        firsts = firsts.unionByName(_scan_clusters(mixed, order))
-    return batch.join(alone.unionByName(firsts), order, "left_semi")
+    return batch.join(alone.unionByName(firsts).unionByName(_greedy(mixed, order)), order, "left_semi")
 
 
-def _scan_clusters(rows: DataFrame, order: str) -> DataFrame:
-    """The orders that a greedy scan keeps, one cluster of shared keys at a time.
+def _greedy(rows: DataFrame, order: str) -> DataFrame:
+    """The orders that a greedy scan keeps, in rounds.
 
-    Exact copies (both keys) are one row for the scan: the earliest decides and the others fall.
+    A row that is first of all with its URL and of all with its hash stays, whatever comes
+    later; what shares a key with it goes, and the next round looks at the rest. A round is
+    two aggregations and joins, so no cluster of rows has to fit a task. Exact copies (both
+    keys) are one row: the earliest.
     """
-    labelled = _clusters(rows.groupBy("url", "content_hash").agg(F.min(order).alias(order)), order)
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        urls, hashes, kept = set(), set(), []
-        for o, u, h in part.sort_values(order)[[order, "url", "content_hash"]].itertuples(index=False):
-            if u not in urls and h not in hashes:
-                urls.add(u)
-                hashes.add(h)
-                kept.append(o)
-        return pd.DataFrame({order: kept})
-
-    return labelled.groupBy("cluster").applyInPandas(scan, f"`{order}` {rows.schema[order].dataType.simpleString()}")
-
-
-def _clusters(rows: DataFrame, order: str) -> DataFrame:
-    """With cluster: the least order among rows that chains of equal URLs or hashes connect."""
-    now = cut(rows.withColumn("cluster", F.col(order)))
-    while True:
-        step = now
+    left = cut(rows.groupBy("url", "content_hash").agg(F.min(order).alias(order)))
+    kept = left.select(order).limit(0)
+    while left.limit(1).count():
         for key in ("url", "content_hash"):
-            least = step.groupBy(key).agg(F.min("cluster").alias("_c"))
-            step = step.join(least, key).withColumn("cluster", F.col("_c")).drop("_c")
-        step = cut(step)
-        moved = step.join(now.select(order, F.col("cluster").alias("_was")), order).filter("cluster <> _was").limit(1).count()
-        now = step
-        if not moved:
-            return now
+            left = left.join(left.groupBy(key).agg(F.min(order).alias(f"_{key}")), key)
+        left = cut(left)
+        now = left.filter((F.col("_url") == F.col(order)) & (F.col("_content_hash") == F.col(order)))
+        kept = kept.unionByName(now.select(order))
+        left = cut(left.select(order, "url", "content_hash").join(now.select("url"), "url", "left_anti").join(now.select("content_hash"), "content_hash", "left_anti"))
+    return kept
 
 
 def ordered_distinct(array_col):

@@ -130,6 +130,17 @@ def by_edition(entries: DataFrame, editions: DataFrame, route: str, without: str
     return editions.join(first, "date")
 
 
+def previous_image(editions: DataFrame) -> DataFrame:
+    """Editions (date, image) with the image of the edition before, null for the first. Editions are one a week, so one task orders them."""
+    return editions.withColumn("previous_image", F.lag("image").over(Window.orderBy("date")))
+
+
+def without_previous(candidates: DataFrame, editions: DataFrame) -> DataFrame:
+    """Candidates (date, image) that the edition before theirs did not use."""
+    used = previous_image(editions).filter("previous_image IS NOT NULL").select("date", F.col("previous_image").alias("image"))
+    return candidates.join(used, ["date", "image"], "left_anti")
+
+
 def first_acceptable(candidates: DataFrame, key: str, width: int = 800, height: int = 400) -> DataFrame:
     """The first candidate (by url_rank, then rank) of each key that is large enough."""
     large = candidates.filter((F.col("width") >= width) & (F.col("height") >= height))

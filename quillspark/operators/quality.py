@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import dates as D
 from ..functions import text as T
+from . import editions as E
 
 
 def _findings(*checks: Column) -> Column:
@@ -129,6 +130,59 @@ def site_rules(files: DataFrame, editions: DataFrame, pages=("index.html", "arch
     return reduce(DataFrame.unionByName, found)
 
 
+# Markup of editorial images on published pages, and patterns that templates gave up.
+ASSET_REF = r"""[^"'()\s]*assets/editorial/[^"'()\s]+"""
+ASSET_TAG = r"""<[^>]*data-editorial-id="([^"]+)"[^>]*>"""
+ASSET_LABEL = r"""aria-label="[^"]+\""""
+RETIRED = ('class="lead-figure"', "hero-figure", "issue-cover-thumb", 'class="cover-figure"', "entry-thumb")
+
+
+def resolved(path: Column, ref: Column) -> Column:
+    """A reference on the page at path as a path from the root; steps above the root end at it."""
+    parts = F.split(F.concat(F.regexp_extract(path, "^(?:.*/)?", 0), ref), "/")
+    step = lambda at, p: F.when(p.isin("", "."), at).when(p == "..", F.when(F.size(at) > 1, F.slice(at, F.lit(1), F.size(at) - 1)).otherwise(F.array().cast("array<string>"))).otherwise(F.array_append(at, p))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def asset_rules(manifest: DataFrame, site: DataFrame, built: DataFrame, pages: DataFrame) -> DataFrame:
+    """Editorial images: manifest entries (id, file, source_page, treatment, match), files (path) of the site and of the built folder, built pages (path, value).
+
+    Derivatives that an entry needs are on both sides and its file is built; what pages refer
+    to is there; an element names an entry, links its source, has a label and stands on a page
+    that says "not evidence"; an article's page shows one of the entry's URLs; no page has a
+    pattern that was given up.
+    """
+    told = lambda rule, key, message: [F.lit("error").alias("level"), F.lit(rule).alias("rule"), key.alias("key"), F.lit(message).alias("message")]
+    routes = F.coalesce(F.col("match.routes"), F.array().cast("array<string>"))
+    needed = manifest.select("id", F.explode(E.required_kinds(routes, F.coalesce("treatment", F.lit("")))).alias("kind")).select(F.concat(F.lit("assets/editorial/derivatives/"), E.derivative_name(F.col("id"), F.col("kind"))).alias("path"))
+    files = manifest.filter((F.size(routes) > 0) & ~_blank("file")).select(F.concat(F.lit("assets/editorial/"), "file").alias("path"))
+    lost = lambda df, there, rule, message: df.distinct().join(there.select("path"), "path", "left_anti").select(*told(rule, F.col("path"), message))
+    refs = pages.select(F.col("path").alias("page"), F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(ASSET_REF), 0))).alias("ref"))
+    refs = refs.withColumn("path", resolved(F.col("page"), F.col("ref"))).join(built.select("path"), "path", "left_anti")
+    tags = pages.select("path", "value", F.explode(F.arrays_zip(F.regexp_extract_all("value", F.lit(ASSET_TAG), 0).alias("tag"), F.regexp_extract_all("value", F.lit(ASSET_TAG), 1).alias("id"))).alias("t"))
+    entries = manifest.select(F.col("id").alias("entry"), F.coalesce("source_page", F.lit("")).alias("source_page"), F.coalesce("match.article_urls", F.array().cast("array<string>")).alias("urls"))
+    seen = tags.join(entries, F.col("t.id") == F.col("entry"), "left")
+    at = F.concat_ws(":", "path", "t.id")
+    bad = lambda cond, rule, message: F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(message).alias("message")))
+    known = F.col("entry").isNotNull()
+    found = _findings(
+        bad(~known, "asset_unknown", "element is not in the manifest"),
+        bad(known & ~F.contains("value", F.col("source_page")), "asset_credit", "no link to the source"),
+        bad(known & ~F.col("t.tag").rlike(ASSET_LABEL), "asset_label", "no label"),
+        bad(known & ~F.contains(F.lower("value"), F.lit("not evidence")), "asset_context", "the page does not say that it is not evidence"),
+        bad(known & F.col("path").startswith("article/") & (F.size("urls") > 0) & ~F.exists("urls", lambda u: F.contains("value", u)), "asset_article", "none of the entry's URLs is on the page"),
+    )
+    retired = pages.select("path", F.explode(F.array(*map(F.lit, RETIRED))).alias("p"), "value").filter(F.contains("value", F.col("p")))
+    return reduce(DataFrame.unionByName, [
+        lost(needed, site, "derivative_site", "a derivative is missing on the site's side"),
+        lost(needed, built, "derivative_built", "a derivative is missing in the build"),
+        lost(files, built, "asset_file", "the image is missing in the build"),
+        refs.select(*told("asset_ref", F.concat_ws(":", "page", "ref"), "refers to a missing asset")),
+        seen.select(F.explode(found).alias("f"), at.alias("key")).select(F.lit("error").alias("level"), "f.rule", "key", "f.message"),
+        retired.select(*told("asset_retired", F.concat_ws(":", "path", "p"), "a pattern that was given up")),
+    ])
+
+
 def pairing(a: DataFrame, b: DataFrame, key: str, rule: str, level: str = "error") -> DataFrame:
     """Keys that only one side has."""
     left, right = a.select(key).distinct(), b.select(key).distinct()

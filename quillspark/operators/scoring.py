@@ -14,14 +14,25 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def overlap_scores(texts: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
-    """For each text (doc_id, text) the k items (item_id, text) that share most distinct tokens, by an inverted join.
+#: Token rows of the items up to which their index is broadcast, and the parts of a hot token beyond.
+BROADCAST_ROWS, SALTS = 500_000, 32
 
-    Only pairs that share a token meet; items are few and their rare tokens decide. Ties go to the smaller item_id.
+
+def overlap_scores(texts: DataFrame, items: DataFrame, k: int = 3, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """For each text (doc_id, text) the k items (item_id, text) that share most distinct tokens, by an inverted index of the items.
+
+    Only pairs that share a token meet. An index of bounded size goes to the texts, whose
+    tokens then need no exchange; a larger one is joined by token and a part of the doc_ids,
+    so that a common token is spread over many tasks. Ties go to the smaller item_id.
     """
     a = texts.select("doc_id", F.explode(F.array_distinct(T.without(T.tokens(F.col("text"))))).alias("token"))
     b = items.select("item_id", F.explode(F.array_distinct(T.without(T.tokens(F.col("text"))))).alias("token"))
-    n = a.join(b, "token").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("overlap"))
+    if b.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        met = a.join(F.broadcast(b), "token")
+    else:
+        salted = a.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+        met = salted.join(b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["token", "_salt"])
+    n = met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("overlap"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("overlap"), "item_id"))
     return n.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -15,8 +15,9 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import articles as A
-from ..operators import dedup, merge, quality, rollup, schedule, scoring
+from ..operators import dedup, editions, merge, quality, rollup, schedule, scoring
 from ..sources import pages as P
+from ..sources import tables as S
 from . import sinks
 
 CATS = tuple(C.CATEGORY_LABELS)
@@ -569,3 +570,173 @@ def link_gates(spark, sf):
     cats = spark.createDataFrame([(i, c) for i, c in enumerate(CATS)], "id long, slug string")
     links = a.select(F.col("id").alias("article_id"), F.explode("categories").alias("slug")).join(cats, "slug").select("article_id", F.col("id").alias("category_id"))
     return merge.orphan_links(links, A.published(a), cats.filter("id > 0"))
+
+
+#: Runs of the collector: the first 20 are in the base, origin added 4 of its own, local 10.
+_RUNS = {"base": 20, "origin": 24, "local": 30}
+
+
+def _reconciled(spark, sf):
+    sides = dict(zip(("base", "origin", "local"), _three(spark, sf)))
+    at = articles(spark, sf, False).select("url", "id", "categories")
+    cats = spark.createDataFrame([(i, c) for i, c in enumerate(CATS)], "category_id long, slug string")
+    given = {}
+    for name, side in sides.items():
+        rows = side.join(at.select("url", (F.col("id") % 30).alias("scrape_run_id"), "categories"), "url")
+        linked = rows.filter("id % 5 <> 0") if name == "origin" else rows
+        links = linked.select(F.col("id").alias("article_id"), F.explode("categories").alias("slug")).join(cats, "slug").select("article_id", "category_id")
+        runs = spark.range(_RUNS[name]).select("id", F.concat(F.lit("run "), F.col("id").cast("string")).alias("started_at"))
+        given[name] = {"articles": rows.drop("categories"), "links": links, "runs": runs}
+    return merge.reconcile(given["base"], given["origin"], given["local"], ("passed_relevance", "analyzed_at"))
+
+
+_WON = "(l.analyzed_at IS NOT NULL AND o.analyzed_at IS NULL) OR (l.passed_relevance IS NOT NULL AND o.passed_relevance IS NULL)"
+_RUN = "CASE WHEN a.id % 30 >= 20 THEN a.id % 30 + 4 ELSE a.id % 30 END"
+_SLUG = f"CAST(list_position({_LIST(CATS)}, c) - 1 AS BIGINT)"
+
+
+@query(f"""{_MERGE} SELECT 'scrape_runs_remapped' AS counter, CAST(10 AS BIGINT) AS n UNION ALL SELECT 'articles_inserted', count(*) FROM fresh
+UNION ALL SELECT 'categories_for_new_rows', CAST(coalesce(sum(len(a.categories)), 0) AS BIGINT) FROM fresh JOIN art a USING (url)
+UNION ALL SELECT 'analysis_backfilled', count(*) FROM loc l JOIN origin o USING (url) WHERE {_WON}
+UNION ALL SELECT 'categories_for_shared_rows', CAST(coalesce(sum(len(a.categories)), 0) AS BIGINT) FROM loc l JOIN origin o USING (url) JOIN art a USING (url) WHERE ({_WON}) AND o.id % 5 = 0""")
+def reconcile_report(spark, sf):
+    """What a reconciliation of two diverged stores did."""
+    return _reconciled(spark, sf)[1]
+
+
+@query(f"""{_MERGE} SELECT CAST(k.id AS BIGINT) AS id, url, a.id % 30 AS scrape_run_id, k.analyzed_at FROM kept k JOIN art a USING (url)
+UNION ALL SELECT CAST(f.id AS BIGINT), url, {_RUN}, f.analyzed_at FROM fresh f JOIN art a USING (url)""")
+def reconciled_articles(spark, sf):
+    """Articles of both stores with new ids of articles and runs."""
+    return _reconciled(spark, sf)[0]["articles"].select("id", "url", "scrape_run_id", "analyzed_at")
+
+
+@query(f"""{_MERGE}, k AS (SELECT o.id, a.categories FROM origin o JOIN art a USING (url) LEFT JOIN loc l USING (url) WHERE o.id % 5 <> 0 OR coalesce({_WON}, false) UNION ALL SELECT f.id, a.categories FROM fresh f JOIN art a USING (url))
+SELECT article_id, {_SLUG} AS category_id FROM (SELECT CAST(id AS BIGINT) AS article_id, unnest(categories) AS c FROM k)""")
+def reconciled_links(spark, sf):
+    """Category links of both stores, under the merged ids."""
+    return _reconciled(spark, sf)[0]["links"].select("article_id", "category_id")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, 'assets/editorial/' AS d, 'article/' || p_partkey || '.html' AS page FROM part), n AS (SELECT k, d || 'derivatives/e' || k || CASE WHEN k % 3 = 1 THEN '-duo-navy.jpg' WHEN k % 2 = 0 THEN '-dither-ink.png' ELSE '-duo-paper.jpg' END AS path FROM p WHERE k % 3 <> 2)
+SELECT 'error' AS level, 'derivative_site' AS rule, path AS key, 'a derivative is missing on the site''s side' AS message FROM n WHERE k % 10 = 0 UNION ALL SELECT 'error', 'derivative_built', path, 'a derivative is missing in the build' FROM n WHERE k % 10 = 1
+UNION ALL SELECT 'error', 'asset_file', d || 'e' || k || '.jpg', 'the image is missing in the build' FROM p WHERE k % 10 = 2 AND k % 3 <> 2 UNION ALL SELECT 'error', 'asset_ref', page || ':../' || d || 'e' || k || '.jpg', 'refers to a missing asset' FROM p WHERE k % 10 = 2
+UNION ALL SELECT 'error', 'asset_unknown', page || ':x' || k, 'element is not in the manifest' FROM p WHERE k % 10 = 3 UNION ALL SELECT 'error', 'asset_credit', page || ':e' || k, 'no link to the source' FROM p WHERE k % 10 = 4
+UNION ALL SELECT 'error', 'asset_label', page || ':e' || k, 'no label' FROM p WHERE k % 10 = 5 UNION ALL SELECT 'error', 'asset_context', page || ':e' || k, 'the page does not say that it is not evidence' FROM p WHERE k % 10 = 6
+UNION ALL SELECT 'error', 'asset_article', page || ':e' || k, 'none of the entry''s URLs is on the page' FROM p WHERE k % 10 = 7 UNION ALL SELECT 'error', 'asset_retired', page || ':hero-figure', 'a pattern that was given up' FROM p WHERE k % 10 = 8""")
+def asset_findings(spark, sf):
+    """Rules of editorial images, with seeded violations."""
+    k = F.col("p_partkey")
+    name, kind = F.concat(F.lit("e"), k.cast("string")), k % 10
+    words = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    url = F.concat(F.lit("https://u.example/"), k.cast("string"), F.lit(";"))
+    m = table(spark, sf, "part").select(
+        k, kind.alias("kind"), name.alias("id"), F.concat(name, F.lit(".jpg")).alias("file"), F.concat(F.lit("https://s.example/"), k.cast("string"), F.lit(";")).alias("source_page"), F.when(k % 2 == 0, "dither").otherwise("veil").alias("treatment"),
+        F.struct(F.when(k % 3 == 0, words("home")).when(k % 3 == 1, words("pw-post")).otherwise(words()).alias("routes"), F.array(url).alias("article_urls")).alias("match"),
+    )
+    needed = m.withColumn("derived", F.explode(editions.required_kinds(F.col("match.routes"), F.col("treatment"))))
+    needed = needed.select("kind", F.concat(F.lit("assets/editorial/derivatives/"), editions.derivative_name(F.col("id"), F.col("derived"))).alias("path"))
+    built = needed.filter("kind <> 1").select("path").unionByName(m.filter("kind <> 2").select(F.concat(F.lit("assets/editorial/"), "file").alias("path")))
+    some = lambda but, text: F.when(F.col("kind") == but, "").otherwise(text)
+    tag = F.concat(F.lit('<div data-editorial-id="'), F.when(F.col("kind") == 3, "x").otherwise("e"), k.cast("string"), F.lit('" aria-label="'), some(5, F.lit("veil")), F.lit('">'))
+    value = F.concat(tag, F.lit('<img src="../assets/editorial/'), "file", F.lit('">'), some(4, F.col("source_page")), some(6, F.lit(" Not Evidence ")), some(7, url), F.when(F.col("kind") == 8, "hero-figure").otherwise(""))
+    pages = m.select(F.concat(F.lit("article/"), k.cast("string"), F.lit(".html")).alias("path"), value.alias("value"))
+    return quality.asset_rules(m.drop("kind"), needed.filter("kind <> 0").select("path"), built, pages)
+
+
+@query("""WITH e AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderstatus = 'F' AND extract(day FROM o_orderdate) IN (1, 8, 15, 22)), i AS (SELECT date, 'img' || (CAST(substr(date, 6, 2) AS INT) % 2) AS image FROM e), p AS (SELECT date, lag(image) OVER (ORDER BY date) AS before FROM i)
+SELECT date, image FROM p, (VALUES ('img0'), ('img1')) c(image) WHERE before IS NULL OR before <> image""")
+def cover_candidates(spark, sf):
+    """Cover images of each edition, without the one of the edition before."""
+    o = table(spark, sf, "orders").filter("o_orderstatus = 'F' AND day(o_orderdate) IN (1, 8, 15, 22)")
+    e = o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).distinct().withColumn("image", F.concat(F.lit("img"), F.expr("cast(month(cast(date AS date)) % 2 AS string)")))
+    return editions.without_previous(e.select("date", F.explode(F.array(F.lit("img0"), F.lit("img1"))).alias("image")), e)
+
+
+@query("""SELECT p_partkey, CAST(least(p_size * 60, 1600) AS INT) AS width, CAST(CASE WHEN p_size * 60 > 1600 THEN floor((p_partkey % 2000 + 1) * 1600 / (p_size * 60)) ELSE p_partkey % 2000 + 1 END AS INT) AS height,
+  CASE WHEN p_partkey % 5 = 0 THEN 'license' WHEN p_size * 60 < 800 OR p_partkey % 2000 + 1 < 500 THEN 'resolution' END AS rejection FROM part""")
+def image_sizes(spark, sf):
+    """Sizes after shrinking, and why an image is rejected."""
+    w, h = F.col("p_size") * 60, F.col("p_partkey") % 2000 + 1
+    licence = F.when(F.col("p_partkey") % 5 == 0, "CC BY-NC 4.0").otherwise("CC BY 4.0")
+    size = V.resized(w, h, 1600)
+    return table(spark, sf, "part").select("p_partkey", size["width"].alias("width"), size["height"].alias("height"), scoring.image_rejection(licence, F.lit(""), w, h).alias("rejection"))
+
+
+@query(f"{_WITH} SELECT id FROM art WHERE passed_relevance AND (id % 4 = 0 OR title_english = '')")
+def untranslated(spark, sf):
+    """Rows that passed but have no English title."""
+    a = articles(spark, sf)
+    return A.stuck(a.withColumn("title_english", F.when(F.col("id") % 4 != 0, F.col("title_english")))).select("id")
+
+
+_LABEL = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.CATEGORY_LABELS.items()) + " ELSE c END"
+
+
+@query(f"""{_WITH} SELECT id, array_to_string(list_transform(categories, lambda c: {_LABEL}), '|') || '|other' AS labels, strftime(CAST(published_date AS DATE), '%-d %B %Y') AS date_fmt, extraction_issue,
+  array_to_string(categories, ',') AS valid, 'cache/' || source_slug || '/' || published_date || '/' || left(sha256(url), 16) || '.html' AS path,
+  array_to_string(list_filter(categories, lambda c: c <> '{CATS[0]}'), ',') || CASE WHEN categories = ['{CATS[0]}'] THEN '' ELSE ',' END || 'new' AS replaced FROM art""")
+def article_display(spark, sf):
+    """Labels, dates, valid categories and cache paths of every article, and its categories with one put in another's place."""
+    a = articles(spark, sf).withColumn("category_slugs", F.concat(F.array_join("categories", ","), F.lit(",other")))
+    shown = A.display(a.drop("categories"))
+    return shown.select(
+        "id", F.array_join("category_labels", "|").alias("labels"), "date_fmt", "extraction_issue", F.array_join(A.whitelist(F.col("categories")), ",").alias("valid"),
+        P.cache_path(F.col("source_slug"), F.col("published_date"), F.col("url")).alias("path"),
+        F.array_join(dedup.replace_tagged(A.whitelist(dedup.ordered_distinct(F.concat("categories", "categories"))), lambda c: c == CATS[0], F.lit("new")), ",").alias("replaced"),
+    )
+
+
+def _entries(spark, sf):
+    """Manifest entries: each names the article of its number and an edition of the month."""
+    k = F.col("p_partkey")
+    url = articles(spark, sf, False).select("id", "url")
+    named = table(spark, sf, "part").select(k, F.concat(F.lit("e"), k.cast("string")).alias("id"), k.alias("n"), F.floor(k / 2).alias("article")).join(url.select(F.col("id").alias("article"), "url"), "article")
+    routes = F.when(F.col("n") % 3 == 0, F.array(F.lit("home"))).otherwise(F.array(F.lit("article"), F.lit("pw-post")))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n") % 28).cast("int")), "yyyy-MM-dd")
+    return named.select("id", "n", F.struct(F.array("url").alias("article_urls"), F.array(day).alias("editions"), routes.alias("routes")).alias("match"))
+
+
+@query("SELECT p_partkey // 2 AS id, 'e' || min(p_partkey) AS entry_id FROM part WHERE p_partkey % 3 <> 0 AND p_partkey // 2 IN (SELECT doc_id FROM documents) GROUP BY 1")
+def manifest_by_article(spark, sf):
+    """The first manifest entry of each article for a route."""
+    return S.match_manifest(_entries(spark, sf), articles(spark, sf, False).select("id", "url"), "article").select("id", "entry_id")
+
+
+@query("SELECT strftime(DATE '2024-01-01' + CAST(p_partkey % 28 AS INT), '%Y-%m-%d') AS date, 'e' || min(p_partkey) AS entry_id FROM part WHERE p_partkey % 3 = 0 AND p_partkey <> 30 AND p_partkey // 2 IN (SELECT doc_id FROM documents) GROUP BY 1")
+def manifest_by_edition(spark, sf):
+    """The first manifest entry of each edition date for a route, one entry left out."""
+    days = spark.range(28).select(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("date"))
+    return editions.by_edition(_entries(spark, sf), days, "home", "e30")
+
+
+@query(f"{_WITH} SELECT id, CASE WHEN id % 3 <> 0 THEN title_original END AS title_zh FROM art")
+def trail_titles(spark, sf):
+    """Original titles put beside trail entries by URL."""
+    a = articles(spark, sf)
+    return S.fill_titles(a.select("id", "url"), a.filter("id % 3 <> 0")).select("id", "title_zh")
+
+
+@query(f"{_WITH} SELECT id, 'articles/' || id || '.html' AS path FROM art WHERE NOT ({_PUB} IS TRUE)")
+def orphan_pages(spark, sf):
+    """Pages on disk whose article is not published."""
+    a = articles(spark, sf, False)
+    return sinks.orphans(a.select("id", F.concat(F.lit("articles/"), F.col("id").cast("string"), F.lit(".html")).alias("path")), A.published(a))
+
+
+@query(f"""{_WITH} SELECT id AS date, concat_ws(chr(10) || chr(10), nullif(title_original, ''), CASE WHEN lang <> '' THEN lang END, CASE WHEN id % 2 = 0 THEN 'Signal: ' || url END, nullif(split_part(text_original, chr(10) || chr(10), 1), ''),
+  'What stood out' || chr(10) || source_slug, CASE WHEN id % 3 = 0 THEN 'What comes next' || chr(10) || published_date END) AS post FROM art""")
+def plain_posts(spark, sf):
+    """Plain-text posts of the fields that are not empty."""
+    e = articles(spark, sf).select(
+        F.col("id").alias("date"), F.col("title_original").alias("title"), F.col("lang").alias("dek"), F.when(F.col("id") % 2 == 0, F.col("url")).alias("signal"), F.col("text_original").alias("opening_note"),
+        F.col("source_slug").alias("what_stood_out"), F.lit("").alias("why_it_matters"), F.when(F.col("id") % 3 == 0, F.col("published_date")).alias("what_im_watching_next"),
+    )
+    return sinks.plain_post(e)
+
+
+@query(f"""{_WITH}, n AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM art WHERE {_PUB})
+SELECT n, '[' || n || '] ' || title_english || chr(10) || 'Source: ' || source_name || ' | Date: ' || published_date || ' | Score: ' || printf('%.2f', relevance_score) || chr(10) || summary_english AS block FROM n""")
+def prompt_blocks(spark, sf):
+    """Numbered text blocks of published articles."""
+    return sinks.prompt_block(A.published(articles(spark, sf)))

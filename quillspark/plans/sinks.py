@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from ..operators.merge import next_ids
 
 
 def write_records(records: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -85,6 +86,7 @@ def plain_post(e: DataFrame) -> DataFrame:
 
 
 def prompt_block(df: DataFrame) -> DataFrame:
-    """n and a text block of each article, in order of id."""
-    n = F.row_number().over(Window.orderBy("id"))
-    return df.select(n.alias("n"), F.format_string("[%d] %s\nSource: %s | Date: %s | Score: %.2f\n%s", n, F.coalesce("title_english", F.lit("")), F.coalesce("source_name", F.lit("")), F.coalesce("published_date", F.lit("")), F.coalesce("relevance_score", F.lit(0.0)), F.coalesce("summary_english", F.lit(""))).alias("block"))
+    """n (from 1) and a text block of each article, in order of id; numbers are dealt inside ranges of ids, so no task sees all rows."""
+    n = F.col("n")
+    numbered = next_ids(df, df.select(F.lit(0).cast("long").alias("n")).limit(0), "id", "n")
+    return numbered.select("n", F.format_string("[%d] %s\nSource: %s | Date: %s | Score: %.2f\n%s", n, F.coalesce("title_english", F.lit("")), F.coalesce("source_name", F.lit("")), F.coalesce("published_date", F.lit("")), F.coalesce("relevance_score", F.lit(0.0)), F.coalesce("summary_english", F.lit(""))).alias("block"))

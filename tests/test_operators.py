@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import analysis, articles, dedup, merge, quality, rollup, schedule
+from quillspark.functions import values
+from quillspark.operators import analysis, articles, dedup, merge, quality, rollup, schedule, scoring
 from quillspark.plans import sinks
 from quillspark.sources import pages, tables
 from quillspark.streaming import incremental
@@ -241,3 +242,49 @@ def test_sinks(spark, tmp_path):
 def test_sources(spark):
     found, errors = articles.collect_sources({"a": lambda: articles.empty_source(spark), "b": lambda: 1 / 0}, ["a", "b", "c"])
     assert found.count() == 0 and len(errors) == 2
+
+
+def test_greedy_rounds_follow_chains(spark):
+    chain = [(i, f"u{i // 2}", f"h{(i + 1) // 2}") for i in range(9)]
+    assert kept(spark, chain) == greedy(chain)
+    copies = [(i, "u1", "h1") for i in range(20)] + [(30 + i, f"v{i}", "h1") for i in range(20)] + [(60 + i, "v3", f"g{i}") for i in range(5)]
+    assert kept(spark, copies) == greedy(copies)
+
+
+def test_overlap_does_not_depend_on_the_join(spark):
+    rng = random.Random(3)
+    some = lambda n: " ".join(rng.choices(["common", "alpha", "beta", "gamma", "delta", "omega"], k=n))
+    texts = spark.createDataFrame([(i, some(5)) for i in range(30)] + [(99, None), (98, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, some(3)) for i in range(8)], "item_id long, text string")
+    got = [sorted(map(tuple, scoring.overlap_scores(texts, items, 3, limit).select("doc_id", "item_id", "overlap", "rank").collect())) for limit in (1000, 0)]
+    assert got[0] == got[1]
+    want = []
+    for d, t in texts.collect():
+        shared = sorted((-len(set((t or "").split()) & set(x.split())), i) for i, x in items.collect())
+        want += [(d, i, -n, r + 1) for r, (n, i) in enumerate([s for s in shared if s[0]][:3])]
+    assert got[0] == sorted(want)
+
+
+def test_published_side(spark):
+    rows = lambda xs: spark.createDataFrame(xs, "id long, url string")
+    ours, theirs = rows([(1, "a"), (2, None), (2, None)]), rows([(1, "a"), (3, "c")])
+    assert merge.published_side(ours, theirs, rows([(2, None), (1, "a"), (2, None)]).repartition(3)) == "a"
+    assert merge.published_side(ours, theirs, theirs.select("url", "id")) == "b"
+    for other in ([(1, "a"), (2, None)], [(1, "a"), (2, ""), (2, None)], []):
+        with pytest.raises(ValueError):
+            merge.published_side(ours, theirs, rows(other))
+    assert merge.published_side(rows([]), theirs, rows([])) == "a"
+
+
+def test_paths_and_sizes(spark):
+    df = spark.createDataFrame([("a/b/c.html", "../../x/y.png"), ("a/b/c.html", "./y.png"), ("c.html", "x//y.png"), ("c.html", "../y.png")], "path string, ref string")
+    assert [r[0] for r in df.select(quality.resolved(F.col("path"), F.col("ref"))).collect()] == ["x/y.png", "a/b/y.png", "x/y.png", "y.png"]
+    sizes = spark.createDataFrame([(3200, 1001), (1600, 900), (1601, 900)], "w int, h int").select(values.resized(F.col("w"), F.col("h"), 1600).alias("s")).select("s.*")
+    assert [tuple(r) for r in sizes.collect()] == [(1600, 500), (1600, 900), (1600, 899)]
+
+
+def test_asset_rules_on_empty_tables(spark):
+    manifest = spark.createDataFrame([], "id string, file string, source_page string, treatment string, match struct<article_urls:array<string>,routes:array<string>>")
+    none = spark.createDataFrame([], "path string")
+    pages = spark.createDataFrame([("a.html", None), ("b.html", '<i data-editorial-id="e1">')], "path string, value string")
+    assert [(r["rule"], r["key"]) for r in quality.asset_rules(manifest, none, none, pages).collect()] == [("asset_unknown", "b.html:e1")]
