@@ -35,6 +35,19 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
+#: Second-level labels under which a country registers names, as in co.uk.
+SECOND = "(?:ac|co|com|edu|gov|net|org)[.][a-z]{2}"
+ADDRESS = r"^[0-9]+(?:[.][0-9]+){3}\z"
+DOMAIN, SUFFIX = rf"(?:^|[.])([^.]*[.](?:{SECOND}|[^.]*))\z", rf"(?:^|[.])({SECOND}|[^.]*)\z"
+
+
+def registered(host: Column) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, without user, port and closing dot; an IPv4 address is both."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"^(?s:.*)@", ""), r"[.]?(?::[0-9]*)?\z", "")
+    part = lambda p: F.when(bare.rlike(ADDRESS), bare).otherwise(F.coalesce(F.nullif(F.regexp_extract(bare, p, 1), F.lit("")), bare))
+    return part(DOMAIN), part(SUFFIX)
+
+
 def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits, as struct<rule, verdict>; null if none does."""
     if len(rules) > MAX_RULES:
@@ -74,7 +87,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES, z: float = Z, floo
         known = outcomes.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.min(F.col("good").cast("long")).alias("known"))
         seen, label = rows.join(known, "page_id", "left"), F.col("known")
     hosts = seen.groupBy("host").agg(F.count(label).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("good"))
-    hosts = ws.table("hosts", hosts.withColumn("domain", F.regexp_extract("host", r"[^.]*\.?[^.]*$", 0)).withColumn("suffix", F.regexp_extract("host", "[^.]*$", 0)))
+    domain, suffix = registered(F.col("host"))
+    hosts = ws.table("hosts", hosts.withColumns({"domain": domain, "suffix": suffix}))
     n, good = hosts.agg(F.sum("n"), F.sum("good")).first()
     share = min(0.999, max(0.001, good / n)) if n else 0.5
     post = lambda s: (F.col("good") + s * F.col("above")) / (F.col("n") + s)
@@ -126,8 +140,11 @@ WITH raw AS (
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts
 ), v AS (
   SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS y FROM r
+), bare AS (
+  SELECT host, count(y) AS n, coalesce(sum(y), 0) AS good, regexp_replace(regexp_replace(host, '^(?s:.*)@', ''), '[.]?(?::[0-9]*)?\\z', '') AS x FROM v GROUP BY host
 ), hosts AS (
-  SELECT host, regexp_extract(host, '[^.]*[.]?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(y) AS n, coalesce(sum(y), 0) AS good FROM v GROUP BY host
+  SELECT host, n, good, CASE WHEN regexp_matches(x, '{ADDRESS}') THEN x ELSE coalesce(nullif(regexp_extract(x, '{DOMAIN}', 1), ''), x) END AS domain,
+    CASE WHEN regexp_matches(x, '{ADDRESS}') THEN x ELSE coalesce(nullif(regexp_extract(x, '{SUFFIX}', 1), ''), x) END AS suffix FROM bare
 ), share AS (
   SELECT CASE WHEN sum(n) > 0 THEN least(0.999, greatest(0.001, sum(good) / sum(n))) ELSE 0.5 END AS m FROM hosts
 ), suffixes AS (

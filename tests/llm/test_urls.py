@@ -1,4 +1,10 @@
-from quillspark.llm.urls import judge
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm.urls import OP4_SQL, judge, op4_host_reputation, registered
 
 
 def test_rules_and_reputation(spark):
@@ -25,3 +31,35 @@ def test_given_outcomes(spark):
     known = spark.createDataFrame([(i, i % 2) for i in range(60)], "page_id long, good int")
     got = {r["page_id"]: r["verdict"] for r in judge(spark, df, rules=(), outcomes=known).collect()}
     assert got[61] == "allow" and got[62] == "block"
+
+
+def test_registered_domains(spark):
+    want = {
+        "a.b.example.com": ("example.com", "com"), "example.com": ("example.com", "com"), "com": ("com", "com"), "": ("", ""), "u@h.net:8": ("h.net", "net"), "a@b@www.x.co.uk.": ("x.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "co.uk"), "10.0.12.7:80": ("10.0.12.7", "10.0.12.7"), "[::1]:80": ("[::1]", "[::1]"), "x.com.:443": ("x.com", "com"), "a..b": (".b", "b"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", *registered(F.col("host"))).collect()} == want
+
+
+def test_users_and_ports_share_a_domain(spark):
+    df = spark.createDataFrame([(i, f"http://{'u@' if i % 2 else ''}x{i}.bad.net:{i}/") for i in range(90)] + [(100 + i, f"http://good{i}.org/") for i in range(90)], "page_id long, url string")
+    known = spark.createDataFrame([(i, int(i >= 100)) for i in [*range(80), *range(100, 180)]], "page_id long, good int")
+    got = {r["page_id"]: r["verdict"] for r in judge(spark, df, rules=(), outcomes=known).collect()}
+    assert {got[i] for i in range(80, 90)} == {"block"} and {got[i] for i in range(180, 190)} == {"allow"}
+
+
+@pytest.mark.parametrize("rows", ["given", "odd"])
+def test_query_against_its_sql(spark, tmp_path, rows):
+    sf = "/root/testdata/sf0.001"
+    if rows == "odd":
+        sf = str(tmp_path)
+        urls = [None, "", "x", "://", "http://", "http://u@a.x.com:1/de/1", "http://b.x.com/fr/", "http://10.0.0.1:8/", "http://ü.co.uk/de/", "http://A.EXAMPLE.ORG./en/1", "http://a.b\n/x", "http://b.x.com./fr/2"] * 5
+        spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{sf}/pages.parquet")
+    elif not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet{'/*.parquet' if rows == 'odd' else ''}')")
+    got = op4_host_reputation(spark, sf).select("page_id", "host", "path", "rule", "verdict").collect()
+    want = c.execute(f"SELECT page_id, host, path, rule, verdict FROM ({OP4_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
