@@ -61,3 +61,21 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     """Count and a digest of a set of edges."""
     n, x = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
     return n, x
+
+
+def one_of_each(ws: Workspace, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs of one text of each root: that of the smallest doc_id.
+
+    found: doc_id, node (xxhash64 of the text, null as empty) and root of every row with a
+    doc_id. One of equal rows stays; rows without a doc_id all stay.
+    """
+    found = found.groupBy("doc_id", "node").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("times"))
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "node", "times")).alias("k"))
+    kept = ws.table("kept", kept.select(F.col("k.doc_id").alias("__kept"), F.col("k.node").alias("__node"), "k.times"))
+    # one plan at every size: the kept ids grow with the input and are never broadcast
+    node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    same = (F.col("doc_id").cast("long") == F.col("__kept")) & (node == F.col("__node"))
+    out = docs.join(kept.select("__kept", "__node").hint("merge"), same, "left_semi")
+    if kept.filter("times > 1").limit(1).count():
+        out = out.withColumn("__text", node).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return out.unionByName(docs.filter("doc_id IS NULL"))

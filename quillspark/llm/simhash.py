@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components, forest
+from .graph import components, forest, one_of_each
 from .work import Workspace, fill, slices, text_rows
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -46,8 +46,9 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
     return [digest(body[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
 
 
-def fingerprints(spark: SparkSession, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every row; wordless texts have zero."""
+def fingerprints(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, node: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a long) of every row; wordless texts have zero. With node also a hash of the text."""
+    more = ["node"] if node else []
 
     def run(batches):
         for b in slices(batches):
@@ -60,9 +61,10 @@ def fingerprints(spark: SparkSession, docs: DataFrame, size: int = SHINGLE) -> D
                 bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
                 ones = np.add.reduceat(bits, np.cumsum(count)[has] - count[has], axis=0, dtype=np.int32)
                 out[has] = np.packbits(2 * ones > count[has][:, None], axis=1).view(">u8").ravel()
-            yield pa.record_batch([b.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(out.view(np.int64)), *(b.column(c) for c in more)], ["doc_id", "fp", *more])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = text_rows(docs).withColumn("node", F.xxhash64("text")) if node else text_rows(docs)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", node long" * node)
 
 
 def _byte(place: int):
@@ -187,40 +189,39 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) ^ np.int64(-(1 << 63))
 
 
-def groups(spark: SparkSession, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def groups(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, node: bool = False) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every row.
 
+    With node also a hash of the text and root, a fingerprint that names the component: where
+    rows of one doc_id lie in several components, their component_id may be the same.
+
     Null, empty and wordless texts have fingerprint zero and are linked like any other. Rows
     with null doc_id take no part: their component_id is null. Rows that share a doc_id all
     count, each with its own fingerprint. An empty table gives an empty result; other columns
     are not read.
     """
     ws = Workspace(spark)
-    rows = ws.table("fingerprints", fingerprints(spark, docs, size))
+    rows = ws.table("fingerprints", fingerprints(spark, docs, size, node))
     nodes = rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = ws.table("nodes", nodes)
     roots = components(ws, links(ws, nodes.select("fp")))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = ws.table("named", named)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "root").select("fp", "component_id")
-    return rows.join(of, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    more = ["node", "root"] if node else []
+    of = named.join(ids, "root").select("fp", "component_id", *more[1:])
+    return rows.join(of, "fp", "left").select("doc_id", "fp", *more, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs, with their columns, of one document of each group: the smallest doc_id.
+    """The rows of docs, with their columns, of one text of each group: that of the smallest doc_id.
 
-    Of rows that share that doc_id one stays; rows without a doc_id all stay.
+    Texts that share a doc_id are judged each for itself, and one of equal rows stays; rows
+    without a doc_id all stay.
     """
     ws = Workspace(spark)
-    found = ws.table("groups", groups(spark, docs, size).filter("doc_id IS NOT NULL"))
-    kept = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("times")).filter("least = doc_id")
-    kept = ws.table("kept", kept.select(F.col("doc_id").alias("__kept"), "times"))
-    # one plan at every size: the kept ids grow with the input and are never broadcast
-    out = docs.join(kept.select("__kept").hint("merge"), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    if kept.filter("times > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id IS NULL"))
+    found = groups(spark, docs, size, node=True).filter("doc_id IS NOT NULL")
+    return one_of_each(ws, docs, ws.table("groups", found.select("doc_id", "node", "root")))
 
 
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

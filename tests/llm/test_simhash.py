@@ -1,11 +1,13 @@
+import os
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from quillspark.llm import simhash
 from quillspark.llm.graph import components, forest
-from quillspark.llm.simhash import groups, keep_one, links
+from quillspark.llm.simhash import groups, keep_one, links, op3_simhash_groups
 from quillspark.llm.work import Workspace
 
 
@@ -95,3 +97,21 @@ def test_variants_find_what_pairs_find():
     a, b = simhash._variants(fp, 0xFFFFFFFFFF000000)
     want = {(int(x), int(y)) for i, x in enumerate(fp) for y in fp[i + 1 :] if bin(int(x) ^ int(y)).count("1") <= 3}
     assert set(zip(a.tolist(), b.tolist())) == want
+
+
+def test_a_repeated_doc_id_removes_no_other_text(spark):
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "xyz"]
+    df = spark.createDataFrame([(2, long[0]), (5, long[0]), (5, long[1]), (5, long[2]), (7, long[2]), (5, long[2])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in keep_one(spark, df).collect())
+    assert got == [(2, long[0]), (5, long[1]), (5, long[2])]
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    fps = {r["doc_id"]: fingerprint(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(fps)
+    want = roots([(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 3], ids)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op3_simhash_groups(spark, sf).collect()}
+    assert got == {i: (f"{fps[i]:016x}", want[i]) for i in ids}
