@@ -740,3 +740,121 @@ SELECT n, '[' || n || '] ' || title_english || chr(10) || 'Source: ' || source_n
 def prompt_blocks(spark, sf):
     """Numbered text blocks of published articles."""
     return sinks.prompt_block(A.published(articles(spark, sf)))
+
+
+def _weeks(spark, sf):
+    """An edition a week for each nation."""
+    k = F.col("n_nationkey")
+    day = lambda add: F.date_format(F.date_add(F.lit("2024-01-06").cast("date"), (k * 7 + add).cast("int")), "yyyy-MM-dd")
+    entry = lambda date, title: F.struct(F.lit(title).alias("title"), F.lit("u").alias("url"), F.lit("s").alias("source"), date.alias("date"), (k != 9).alias("is_significant"))
+    trail = F.when(k == 5, F.array(entry(day(-2), ""))).when(k == 6, F.array(entry(F.lit(""), "t"))).when(k == 7, F.array(entry(day(3), "t"))).when(k == 4, F.array(*(entry(day(-1), "t") for _ in range(11)))).otherwise(F.array(entry(day(-2), "t")))
+    return table(spark, sf, "nation").select(
+        day(0).alias("date"), F.when(k == 1, "2020-01-01").otherwise(day(0)).alias("file_date"), day(0).alias("week_ending"), day(F.when(k == 2, -5).otherwise(-6)).alias("week_start"), F.when(k == 3, 11).otherwise(2).alias("n_significant"), F.lit(10).alias("n_articles"),
+        F.when(k == 8, "special").otherwise("routine").alias("edition_type"), F.when(k == 11, 10).when(k == 13, 9).otherwise(k).cast("int").alias("issue_number"), trail.alias("source_trail"),
+        *(F.when((k == 10) & (F.lit(f) == "dek"), "").otherwise("x & y").alias(f) for f in C.REQUIRED_FIELDS if f != "edition_type"),
+    )
+
+
+@query("""WITH w AS (SELECT n_nationkey AS k, strftime(DATE '2024-01-06' + 7 * CAST(n_nationkey AS INT), '%Y-%m-%d') AS date FROM nation)
+SELECT level, rule, date AS key, message FROM w JOIN (VALUES (1, 'error', 'edition_date', 'file name, date and week ending differ'), (2, 'error', 'week_span', 'the week is not 7 days'), (3, 'error', 'flag_count', 'more flagged than articles'),
+  (4, 'error', 'trail_size', 'trail is longer than the articles'), (5, 'error', 'trail_entry', 'a trail entry lacks title, url or source'), (6, 'warning', 'trail_undated', 'undated trail entries'), (7, 'warning', 'trail_outside', 'trail entries outside the week'),
+  (8, 'error', 'edition_type', 'unknown edition type'), (9, 'warning', 'trail_flag', 'flagged articles but no flagged trail entry'), (10, 'error', 'required_field', 'missing: dek'), (11, 'error', 'issue_unique', 'issue number missing or repeated'),
+  (11, 'error', 'issue_order', 'issue numbers fall'), (13, 'error', 'issue_unique', 'issue number missing or repeated'), (13, 'error', 'issue_order', 'issue numbers fall')) f(n, level, rule, message) ON k = n""")
+def edition_findings(spark, sf):
+    """Rules of weekly editions, each broken once."""
+    return quality.edition_rules(_weeks(spark, sf))
+
+
+@query("""WITH w AS (SELECT n_nationkey AS k, strftime(DATE '2024-01-06' + 7 * CAST(n_nationkey AS INT), '%Y-%m-%d') AS date FROM nation)
+SELECT CAST(row_number() OVER (ORDER BY date DESC) AS INT) AS rank, date, '<entry><title>x &amp; y</title><id>https://site.example/' || date || '.html</id><updated>' || date || 'T00:00:00Z</updated><summary>' || CASE WHEN k = 10 THEN '' ELSE 'x &amp; y' END || '</summary></entry>' AS entry FROM w""")
+def feed(spark, sf):
+    """Atom entries of the newest editions."""
+    return sinks.feed_entries(_weeks(spark, sf), "https://site.example/")
+
+
+@query("""SELECT strftime(DATE '2024-01-06' + 7 * CAST(n_nationkey AS INT), '%Y-%m-%d') AS date, CASE WHEN n_nationkey = 11 THEN 10 WHEN n_nationkey = 13 THEN 9 ELSE n_nationkey END AS issue_number, 'x & y' AS title,
+  '../covers/' || date || '.png' AS cover_image, '../covers/' || date || '-thumb.png' AS cover_thumb, 'https://site.example/covers/' || date || '.png' AS cover_image_url FROM nation""")
+def edition_ticks(spark, sf):
+    """Tick fields and cover paths of numbered editions."""
+    found = editions.cover_paths(editions.ticks(_weeks(spark, sf)), "https://site.example")
+    return found.select("date", "issue_number", "title", "cover_image", "cover_thumb", "cover_image_url")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, ['map of the coast', 'logo of a fleet', 'missile on a truck', 'wreck on a beach', 'ship at sea'][CAST(p_partkey % 5 AS INT) + 1] AS title, p_partkey % 7 = 0 AS about FROM part)
+SELECT k AS p_partkey, CASE WHEN k % 5 = 3 THEN 'sensational' WHEN about THEN NULL WHEN k % 5 = 0 THEN 'map' WHEN k % 5 = 1 THEN 'emblem' WHEN k % 5 = 2 THEN 'weapon' END AS reason,
+  CASE k % 4 WHEN 0 THEN 'Map' WHEN 1 THEN 'Source Image' WHEN 2 THEN 'Chart' ELSE 'Visual Context' END AS label FROM p WHERE k % 3 <> 0""")
+def image_reasons(spark, sf):
+    """Photographs with the reason that rejects them and the label of their kind."""
+    k = F.col("p_partkey")
+    titles = ("map of the coast", "logo of a fleet", "missile on a truck", "wreck on a beach", "ship at sea")
+    p = table(spark, sf, "part").select(k, _pick(titles, k % 5).alias("title"), F.when(k % 7 == 0, "geography, an emblem and a missile").otherwise("").alias("about"), F.when(k % 3 == 0, "image/gif").otherwise("image/png").alias("mime"), F.lit("u").alias("url"))
+    kind = _pick((" Map ", "source image", "chart", "painting"), k % 4)
+    return editions.photographs(p).select(k, editions.image_reason(F.col("title"), F.col("about")).alias("reason"), editions.media_label(kind).alias("label"))
+
+
+@query("""SELECT CASE WHEN event_id % 5 IN (0, 1, 3) THEN 'fatal' ELSE 'row' END AS status, count(*) AS n FROM events GROUP BY 1""")
+def error_kinds(spark, sf):
+    """Errors of the account and of the row, counted."""
+    i = F.col("event_id")
+    status, message = _pick((401, 402, 429, 500, 500), i % 5), _pick(("", "", "too many requests", "Your credit balance is TOO LOW", "overloaded"), i % 5)
+    kind = F.when(editions.fatal_error(status, message), "fatal").otherwise("row")
+    return editions.tally(table(spark, sf, "events").select(kind.alias("status")))
+
+
+@query(f"""{_WITH}, t AS (SELECT id, title_original, CASE WHEN id % 5 = 0 THEN '' ELSE title_english END AS title_english, CASE WHEN id % 7 = 0 THEN ' ' ELSE summary_english END AS summary_english, passed_relevance FROM art)
+SELECT id, CASE WHEN passed_relevance AND trim(title_english) = '' THEN 'no translation' WHEN passed_relevance AND trim(regexp_replace(summary_english, '\\s+', ' ', 'g')) = '' THEN 'no summary' END AS reason, 'Translate: ' || title_original || ' (' || id || ')' AS prompt FROM t""")
+def retries(spark, sf):
+    """What each passed row still lacks, and its prompt."""
+    a = articles(spark, sf).withColumns({"title_english": F.when(F.col("id") % 5 == 0, "").otherwise(F.col("title_english")), "summary_english": F.when(F.col("id") % 7 == 0, " ").otherwise(F.col("summary_english"))})
+    return a.select("id", editions.retry_reason().alias("reason"), editions.messages("Translate: {title} ({id})", title=F.col("title_original"), id=F.col("id")).alias("prompt"))
+
+
+_STORED = f"""{_WITH}, src AS (SELECT slug, row_number() OVER (ORDER BY slug) AS id FROM (SELECT DISTINCT source AS slug FROM documents) WHERE slug <> 'src3'), cat AS (SELECT unnest(range({len(CATS)})) AS id, unnest({_LIST(CATS)}) AS slug)"""
+
+
+def _sources(spark, sf):
+    slugs = table(spark, sf, "documents").select(F.col("source").alias("slug")).distinct().filter("slug <> 'src3'")
+    return slugs.withColumn("id", F.row_number().over(Window.orderBy("slug")))  # sources are few
+
+
+@query(f"""{_STORED} SELECT (SELECT max(id) FROM art WHERE id % 4 = 0) + row_number() OVER (ORDER BY ord) AS id, url, src.id AS source_id FROM art JOIN src ON slug = source_slug WHERE art.id % 4 <> 0""")
+def inserted_articles(spark, sf):
+    """New articles of known sources under ids above the stored ones."""
+    a = articles(spark, sf, False)
+    batch = a.filter("id % 2 = 0").drop("id").unionByName(a.filter("id % 4 <> 0").drop("id"))  # some are stored already
+    found = merge.insert_articles(a.filter("id % 4 = 0"), batch.dropDuplicates(["ord"]), _sources(spark, sf))
+    return found.select("id", "url", F.col("source_id").cast("long").alias("source_id"))
+
+
+@query(f"""{_WITH} SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 0.5 END ELSE relevance_score END AS relevance_score, CASE WHEN id % 3 = 0 THEN id % 2 = 0 ELSE passed_relevance END AS passed_relevance FROM art""")
+def updated_relevance(spark, sf):
+    """Gate fields set anew by key, nulls too."""
+    a = articles(spark, sf, False).select("id", "relevance_score", "passed_relevance")
+    even = F.col("id") % 2 == 0
+    changes = a.filter("id % 3 = 0").select("id", F.when(even, F.lit(0.5)).alias("relevance_score"), even.alias("passed_relevance"))
+    return merge.update(a, changes, "id", ["relevance_score", "passed_relevance"])
+
+
+def _links(spark, sf, a):
+    cats = spark.createDataFrame([(i, c) for i, c in enumerate(CATS)], "id long, slug string")
+    return a.select(F.col("id").alias("article_id"), F.explode("categories").alias("slug")).join(cats.withColumnRenamed("id", "category_id"), "slug").select("article_id", "category_id"), cats
+
+
+@query(f"""{_STORED} SELECT art.id AS article_id, cat.id AS category_id, CASE WHEN art.id % 3 = 0 THEN 'added' ELSE 'left' END AS how FROM art JOIN cat ON list_contains(categories, cat.slug) WHERE art.id % 3 = 0 OR art.id % 10 <> 1""")
+def category_links(spark, sf):
+    """Links added to analysed articles, and links left when articles go."""
+    a = articles(spark, sf, False)
+    stored, cats = _links(spark, sf, a.filter("id % 3 <> 0"))
+    added = merge.link_categories(stored, a.withColumn("categories", F.array_append("categories", F.lit("unheard_of"))), cats)
+    _, left = merge.delete_cascade(a, stored, a.filter("id % 10 = 1").select("id"))
+    return added.withColumn("how", F.lit("added")).unionByName(left.withColumn("how", F.lit("left")))
+
+
+@query(f"""{_WITH} SELECT id AS edition, n, CASE n WHEN 0 THEN coalesce(nullif(title_original, ''), 'news.example.cn') ELSE 'news.example.cn' END AS title, url, CASE n WHEN 0 THEN source_slug ELSE 'Unknown' END AS source, CASE n WHEN 0 THEN published_date ELSE '' END AS date, n = 0 AND is_significant AS is_significant
+FROM art, (VALUES (CAST(0 AS INT)), (CAST(1 AS INT))) v(n)""")
+def trail_entries(spark, sf):
+    """Trail entries of every shape as rows."""
+    entry = lambda title, source, date, flag: F.struct(title.alias("title"), F.lit("").alias("label"), F.lit("").alias("title_zh"), F.col("url"), source.alias("source"), date.alias("date"), flag.alias("is_significant"))
+    none = F.lit(None).cast("string")
+    both = F.array(entry(F.col("title_original"), F.col("source_slug"), F.col("published_date"), F.col("is_significant")), entry(none, F.lit(""), none, F.lit(None).cast("boolean")))
+    return S.trail_rows(articles(spark, sf).select(F.col("id").alias("date"), both.alias("source_trail")))
