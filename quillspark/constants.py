@@ -114,16 +114,23 @@ REJECTED_LICENSE_WORDS = ("nc", "nd")
 REJECTED_LICENSES = ("non-commercial", "noderivative", "no derivative", "all rights reserved", "editorial", "fair use", "unknown")
 
 # Words that tokens drop.
-STOPWORDS = tuple(
-    "the a an and or of for to in on at is are was were be with from as by that this these those it its into over "
-    "after before but than their they them we our us you your i my me he she his her him not no do does did have has had "
-    "what which who whom whose when where why how very more most less least".split()
-)
-SENSATIONAL = tuple("war wars warfare missile missiles invasion invade explosion explosions blood casualty casualties attack attacks strike strikes".split())
+STOPWORDS = (
+    "the", "a", "an", "and", "or", "of", "for", "to", "in", "on",
+    "at", "is", "are", "was", "were", "be", "with", "from", "as", "by",
+    "that", "this", "these", "those", "it", "its", "into", "over", "after", "before",
+    "but", "than", "their", "they", "them", "we", "our", "us", "you", "your",
+    "i", "my", "me", "he", "she", "his", "her", "him", "not", "no",
+    "do", "does", "did", "have", "has", "had", "what", "which", "who", "whom",
+    "whose", "when", "where", "why", "how", "very", "more", "most", "less", "least",
+)
+SENSATIONAL = (
+    "war", "wars", "warfare", "missile", "missiles", "invasion", "invade", "explosion", "explosions", "blood",
+    "casualty", "casualties", "attack", "attacks", "strike", "strikes",
+)
 
 # Defaults of the schedule and the gate.
 CAPACITY, RESERVE, LIVE_DAYS, THRESHOLD = 55, 0.3, 14, 0.60
 TRAIL_CAP = 13
-# Dollars for a million tokens by kind of model; callers give their own table.
+# Dollars for a million tokens read and written, by kind of model: only a default, callers give their own table.
 PRICES = {"small": (1.00, 5.00), "large": (3.00, 15.00)}
 OUTPUT_RATIO = 1.3
