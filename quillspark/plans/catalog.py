@@ -7,6 +7,8 @@ activity. What documents lack is derived from doc_id by the rules of `articles`
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,13 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import articles as A
 from ..operators import dedup, editions, merge, quality, rollup, schedule, scoring
+from ..session import shared_dir
 from ..sources import pages as P
+from ..sources import sites
 from ..sources import tables as S
+from ..streaming import rolling
 from . import sinks
+from .versions import Store
 
 CATS = tuple(C.CATEGORY_LABELS)
 SECTIONS = ("yw_208727", "bz_208549", "jw_208551", "fyr", "other")
@@ -248,6 +254,17 @@ def daily_series(spark, sf):
     return _iso(rollup.daily_series(_events(spark, sf), 30))
 
 
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS d, event_type = 'error' AS f FROM events), m AS (SELECT max(d) AS t FROM e), s AS (SELECT CAST(unnest(generate_series(t - 35, t, INTERVAL 1 DAY)) AS DATE) AS day FROM m),
+n AS (SELECT day, count(d) AS total, count(*) FILTER (WHERE f) AS flagged FROM s LEFT JOIN e ON d = day GROUP BY day), w AS (SELECT *, CAST(sum(total) OVER o AS BIGINT) AS window_total, CAST(sum(flagged) OVER o AS BIGINT) AS window_flagged FROM n WINDOW o AS (ORDER BY day ROWS 6 PRECEDING))
+SELECT strftime(day, '%Y-%m-%d') AS day, total, flagged, window_total, window_flagged FROM w, m WHERE day > t - 30""")
+def rolling_windows(spark, sf):
+    """Daily counts and trailing weeks of the last 30 days, kept up over four batches of events."""
+    store = Store(spark, f"{shared_dir(spark)}/rolling-{uuid.uuid4().hex}")
+    for batch in range(4):
+        rolling.update(store, _events(spark, sf).filter(F.col("id") % 4 == batch), batch)
+    return _iso(rolling.series(store.read("days")))
+
+
 @query("""WITH c(slug, name, fallback) AS (VALUES ('src0', 'Zero', 'expanding'), ('src1', 'One', 'expanding'), ('none', 'None', 'in development')), n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
 SELECT slug, name, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'collected' ELSE fallback END AS status FROM c LEFT JOIN n ON source = slug""")
 def source_status(spark, sf):
@@ -316,10 +333,11 @@ def archive_record(spark, sf):
     return a.select("id", T.excerpt(F.col("text_original")).alias("excerpt"), T.short_title(F.col("title_english"), F.col("title_original")).alias("short_title"), D.long_form(F.col("published_date")).alias("date_fmt"))
 
 
-def _three(spark, sf):
+def _three(spark, sf, more="false"):
+    """Three copies of the articles that have drifted apart; `more`: what else local holds."""
     a = articles(spark, sf, False).select("id", "url", "published_date", "relevance_score", "passed_relevance", "analyzed_at", "is_significant")
     origin = a.filter("id % 3 <> 0").withColumns({"analyzed_at": F.when(F.col("id") % 2 == 0, F.col("analyzed_at")), "passed_relevance": F.when(F.col("id") % 7 != 0, F.col("passed_relevance"))})
-    local = a.filter("id % 4 <> 1")
+    local = a.filter(f"id % 4 <> 1 OR {more}")
     return a.filter("id % 6 = 1"), origin, local.withColumn("id", F.col("id") + 10)
 
 
@@ -436,6 +454,40 @@ def page_parse(spark, sf):
     return P.parse(table(spark, sf, "pages"))
 
 
+def _site_pages(spark, sf):
+    """Pages dealt out to the four sites; every second of each has the site's own markup and date."""
+    k = F.col("page_id")
+    slug, day = _pick(tuple(sites.SITES), k % 4), F.format_string("2024-01-%02d", (k % 28 + 1).cast("int"))
+    box = F.when(k % 4 == 0, F.lit('<ul class="row m-t-list">')).when(k % 4 == 3, F.lit('<div class="article_content">')).otherwise(F.lit("<article>"))
+    mark = F.when(k % 4 == 3, F.lit("<p>")).otherwise(F.lit('<p class="ueditor-text-p_display">'))
+    shown = (
+        F.when(k % 4 == 0, F.concat(F.lit('<div class="container artichle-info"><p>发布：'), day, F.lit("</p></div>")))
+        .when(k % 4 == 1, F.concat(F.lit("<span>"), day, F.lit("</span>")))
+        .when(k % 4 == 2, F.concat(F.lit('<div class="pub-info"><dl><dt>Time</dt><dd>'), day, F.lit(" 10:34:11</dd></dl></div>")))
+        .otherwise(F.concat(F.lit('<div class="source_time">By A | 2024/1/'), (k % 28 + 1).cast("string"), F.lit(" 18:37</div>")))
+    )
+    html = F.replace(F.replace(F.col("html"), F.lit("<p>"), mark), F.lit("<article>"), F.concat(shown, box))
+    return table(spark, sf, "pages").select("url", F.when(k % 8 < 4, html).otherwise(F.col("html")).alias("html"), slug.alias("source_slug"), F.lit("2024-02-01").alias("day"))
+
+
+#: Text of a run of HTML: its pieces, each without white space around it, put together.
+_PLAINLY = "replace(replace(replace(replace(replace(replace(replace(y, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&#39;', chr(39)), '&amp;', '&')"
+_PIECES = f"array_to_string(list_transform(regexp_split_to_array({{0}}, '<[^>]*>'), lambda y: trim({_PLAINLY}, ' ' || chr(10) || chr(9) || chr(13))), '')"
+_INNER = _PIECES.format("regexp_replace(x, '(</p>|</article>).*', '', 's')")
+_TITLE = _PIECES.format("regexp_extract(h, '<h1>(.*?)</h1>', 1)")
+
+
+@query(f"""WITH p AS (SELECT url, page_id AS k, regexp_replace(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'gs'), '<!--.*?-->', '', 'gs') AS h FROM pages),
+x AS (SELECT url, k, h, list_transform(string_split(h, '<p>')[2:], lambda x: {_INNER}) AS ps FROM p),
+t AS (SELECT url, k, {_TITLE} AS title, CASE WHEN k % 8 >= 4 THEN list_filter(ps, lambda y: length(y) > CASE WHEN k % 4 < 2 THEN 30 ELSE 40 END AND NOT (k % 4 < 2 AND (contains(y, '版权') OR contains(y, '责任编辑'))))
+  ELSE list_filter(ps, lambda y: length(y) > CASE k % 4 WHEN 0 THEN -1 WHEN 3 THEN 30 ELSE 10 END) END AS kept FROM x)
+SELECT url, ['pla_daily', 'mod_china', 'china_mil_online', 'global_times_mil'][k % 4 + 1] AS source_slug, title AS title_original, array_to_string(kept, chr(10)) AS text_original, CASE WHEN k % 8 < 4 THEN strftime(DATE '2024-01-01' + CAST(k % 28 AS INT), '%Y-%m-%d') ELSE '2024-02-01' END AS published_date
+FROM t WHERE title <> '' AND NOT (k % 4 = 2 AND title = 'China Military')""")
+def site_articles(spark, sf):
+    """Every page by the parser of one of the four sites."""
+    return sites.articles(_site_pages(spark, sf))
+
+
 @query()
 def page_links(spark, sf):
     """Every link of every page, resolved."""
@@ -576,8 +628,9 @@ def link_gates(spark, sf):
 _RUNS = {"base": 20, "origin": 24, "local": 30}
 
 
-def _reconciled(spark, sf):
-    sides = dict(zip(("base", "origin", "local"), _three(spark, sf)))
+def _diverged(spark, sf, more="false"):
+    """Articles, links and runs of each copy."""
+    sides = dict(zip(("base", "origin", "local"), _three(spark, sf, more)))
     at = articles(spark, sf, False).select("url", "id", "categories")
     cats = spark.createDataFrame([(i, c) for i, c in enumerate(CATS)], "category_id long, slug string")
     given = {}
@@ -587,6 +640,11 @@ def _reconciled(spark, sf):
         links = linked.select(F.col("id").alias("article_id"), F.explode("categories").alias("slug")).join(cats, "slug").select("article_id", "category_id")
         runs = spark.range(_RUNS[name]).select("id", F.concat(F.lit("run "), F.col("id").cast("string")).alias("started_at"))
         given[name] = {"articles": rows.drop("categories"), "links": links, "runs": runs}
+    return given
+
+
+def _reconciled(spark, sf):
+    given = _diverged(spark, sf)
     return merge.reconcile(given["base"], given["origin"], given["local"], ("passed_relevance", "analyzed_at"))
 
 
@@ -618,6 +676,24 @@ def reconciled_links(spark, sf):
     return _reconciled(spark, sf)[0]["links"].select("article_id", "category_id")
 
 
+#: As _MERGE, but what origin lacks is all in local.
+_MERGE_ALL = _MERGE.replace("FROM art WHERE id % 4 <> 1)", "FROM art WHERE id % 4 <> 1 OR id % 3 = 0)")
+
+
+@query(f"""{_MERGE_ALL} SELECT CAST(o.id AS BIGINT) AS id, url, a.id % 30 AS scrape_run_id, k.analyzed_at, CAST(CASE WHEN o.id % 5 <> 0 OR coalesce({_WON}, false) THEN len(a.categories) ELSE 0 END AS BIGINT) AS n_links
+FROM kept k JOIN origin o USING (url) JOIN art a USING (url) LEFT JOIN loc l USING (url) UNION ALL SELECT CAST(f.id AS BIGINT), url, {_RUN}, f.analyzed_at, CAST(len(a.categories) AS BIGINT) FROM fresh f JOIN art a USING (url)""")
+def versioned_merge(spark, sf):
+    """Base, origin and local as three versions of one store, reconciled into a fourth by one commit over articles, links and runs."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    at = {name: store.commit(tables, notes={"side": name}) for name, tables in _diverged(spark, sf, "id % 3 = 0").items()}
+    sides = [{t: store.read(t, at[name]) for t in ("articles", "links", "runs")} for name in ("base", "origin", "local")]
+    merged, report = merge.reconcile(*sides, ("passed_relevance", "analyzed_at"))
+    counts = {r["counter"]: r["n"] for r in report.collect()}
+    last = store.commit(merged, parent=at["local"], keys=[("links", "article_id", "articles", "id"), ("articles", "scrape_run_id", "runs", "id")], notes=counts)
+    links = store.read("links", last).groupBy(F.col("article_id").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
+    return store.read("articles", last).join(links, "id", "left").select("id", "url", "scrape_run_id", "analyzed_at", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 @query("""WITH p AS (SELECT p_partkey AS k, 'assets/editorial/' AS d, 'article/' || p_partkey || '.html' AS page FROM part), n AS (SELECT k, d || 'derivatives/e' || k || CASE WHEN k % 3 = 1 THEN '-duo-navy.jpg' WHEN k % 2 = 0 THEN '-dither-ink.png' ELSE '-duo-paper.jpg' END AS path FROM p WHERE k % 3 <> 2)
 SELECT 'error' AS level, 'derivative_site' AS rule, path AS key, 'a derivative is missing on the site''s side' AS message FROM n WHERE k % 10 = 0 UNION ALL SELECT 'error', 'derivative_built', path, 'a derivative is missing in the build' FROM n WHERE k % 10 = 1
 UNION ALL SELECT 'error', 'asset_file', d || 'e' || k || '.jpg', 'the image is missing in the build' FROM p WHERE k % 10 = 2 AND k % 3 <> 2 UNION ALL SELECT 'error', 'asset_ref', page || ':../' || d || 'e' || k || '.jpg', 'refers to a missing asset' FROM p WHERE k % 10 = 2

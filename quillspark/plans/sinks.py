@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
 from ..operators.merge import next_ids
+from .versions import Store
 
 
 def write_records(records: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -17,30 +16,11 @@ def write_records(records: DataFrame, path: str, partitions: int | None = None)
     (records.coalesce(partitions) if partitions else records).write.mode("overwrite").json(path)
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Replace a table that df may read: written beside it first, then renamed, so a failed write leaves it whole."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    staging, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(fs_path(path)):
-        fs.rename(fs_path(path), fs_path(old))
-    fs.rename(fs_path(staging), fs_path(path))
-    fs.delete(fs_path(old), True)
-
-
-def seed(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
+def seed(store: Store, table: str, rows: DataFrame, key: str) -> int:
     """Create the table, or append the rows whose key it lacks."""
-    try:
-        there = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-        rows.write.parquet(path)
-        return
-    rows.join(there.select(key), key, "left_anti").write.mode("append").parquet(path)
+    if not store.has(table):
+        return store.commit({table: rows})
+    return store.commit(append={table: rows.join(store.read(table).select(key), key, "left_anti").select(*rows.columns)})
 
 
 def run_log(spark: SparkSession, started: str, completed: str, counters: dict[str, int], errors: list[str], status: str = "completed") -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import values
 from quillspark.operators import analysis, articles, dedup, merge, quality, rollup, schedule, scoring
+from quillspark.plans.versions import Store
 from quillspark.plans import sinks
 from quillspark.sources import pages, tables
-from quillspark.streaming import incremental
 
 
 def greedy(rows, stored=()):
@@ -208,29 +208,12 @@ def test_staged_analysis(spark):
         analysis.preflight(10**7, "large")
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    schema = "ord long, url string, source_slug string, title_original string, text_original string, published_date string"
-    rows = [{"ord": i, "url": f"http://x/yw_208727/{i % 7}.html", "source_slug": "s", "title_original": f"T{i % 9}", "text_original": f"body {i % 5} military", "published_date": "2026-05-07"} for i in range(12)]
-    (src / "a.json").write_text("\n".join(map(json.dumps, rows)))
-    table, check = str(tmp_path / "table"), str(tmp_path / "check")
-    incremental.run(spark, str(src), schema, table, check)
-    once = sorted(r["ord"] for r in spark.read.parquet(table).collect())
-    batch = incremental.ingest(spark.createDataFrame([tuple(r.values()) for r in rows], schema), spark.createDataFrame([], "url string, content_hash string"))
-    assert once == sorted(r["ord"] for r in batch.collect()) and once
-    (src / "b.json").write_text("\n".join(map(json.dumps, rows)))
-    incremental.run(spark, str(src), schema, table, check)
-    assert sorted(r["ord"] for r in spark.read.parquet(table).collect()) == once
-
-
 def test_sinks(spark, tmp_path):
-    path = str(tmp_path / "t")
+    store = Store(spark, str(tmp_path / "t"))
     rows = spark.createDataFrame([(1, "a")], "id long, v string")
-    sinks.seed(spark, path, rows, "id")
-    sinks.seed(spark, path, spark.createDataFrame([(1, "z"), (2, "b")], "id long, v string"), "id")
-    sinks.swap(spark.read.parquet(path).withColumn("v", F.upper("v")), path)
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "A"), (2, "B")]
+    sinks.seed(store, "t", rows, "id")
+    sinks.seed(store, "t", spark.createDataFrame([(1, "z"), (2, "b")], "id long, v string"), "id")
+    assert sorted(tuple(r) for r in store.read("t").collect()) == [(1, "a"), (2, "b")] and store.latest() == 2
     e = spark.createDataFrame([("2026-05-16", "A & B", "d"), ("2026-05-09", "C", None)], "date string, title string, dek string")
     feed = sinks.feed_entries(e, "https://x/").orderBy("rank").collect()
     assert feed[0]["date"] == "2026-05-16" and "A &amp; B" in feed[0]["entry"]
