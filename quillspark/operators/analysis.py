@@ -7,16 +7,20 @@ dear stages and no function runs twice.
 
 from __future__ import annotations
 
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..session import bounded
-from ..session import cut
+from ..session import bounded, cut, qualified, shared_dir, storage
 
 
 class Client(Protocol):
@@ -30,28 +34,73 @@ class Fatal(Exception):
     """An error that no further row can escape, such as a refused key."""
 
 
-def stage(df: DataFrame, call: Callable[[str, str], Any], inputs: tuple[str, str], outputs: str, pick: Callable[[Any], dict]) -> DataFrame:
-    """df with the outputs of a row-wise call, and error and fatal where it failed (outputs null)."""
+class Stop:
+    """A mark in a shared folder that tells all tasks of a run to make no further call."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @classmethod
+    def new(cls, spark: SparkSession) -> Stop:
+        return cls(qualified(spark, f"{shared_dir(spark)}/stop-{uuid.uuid4().hex}"))
+
+    def raised(self) -> bool:
+        fs, path = storage(self.path)
+        return fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound
+
+    def put(self, why: str) -> None:
+        fs, path = storage(self.path)
+        with fs.open_output_stream(path) as out:
+            out.write(why.encode())
+
+
+def in_order(pool: ThreadPoolExecutor, tasks: Iterator[list[Callable[[], Any]]], at_once: int) -> Iterator[list[Any]]:
+    """Results of each item's calls, in order of the items; calls of at most `at_once` items are under way."""
+    waiting: deque = deque()
+    for calls in tasks:
+        waiting.append([pool.submit(c) for c in calls])
+        if len(waiting) >= at_once:
+            yield [f.result() for f in waiting.popleft()]
+    while waiting:
+        yield [f.result() for f in waiting.popleft()]
+
+
+def stage(df: DataFrame, calls: Callable[[str, str], Any] | list[Callable[[str, str], Any]], inputs: tuple[str, str], outputs: str, pick: Callable[..., dict], at_once: int = 4, stop: Stop | None = None) -> DataFrame:
+    """df with the outputs of row-wise calls, and error and fatal where one failed (outputs null).
+
+    All calls of a row are made side by side, and at most `at_once` are under way in a task;
+    rows keep their order. After a fatal error no task makes a further call: those under way
+    are waited for, and rows that were not tried say so. A null input is an empty text.
+    """
+    calls = calls if isinstance(calls, list) else [calls]
     names = [o.split(":")[0].strip() for o in outputs.split(";")]
+    stop = stop or Stop.new(df.sparkSession)
+
+    def attempt(call, a, c):
+        if stop.raised():
+            return None, "not tried after a fatal error", True
+        try:
+            return call(a, c), None, False
+        except Fatal as e:
+            stop.put(str(e))
+            return None, str(e), True
+        except Exception as e:  # noqa: BLE001 a failed row stays pending
+            return None, str(e), False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows, stop = [], False
-            for a, c in zip(b[inputs[0]], b[inputs[1]]):
-                row = dict.fromkeys(names)
-                row |= {"error": None, "fatal": False}
-                if stop:
-                    row |= {"error": "not tried after a fatal error", "fatal": True}
-                else:
-                    try:
-                        row |= pick(call(a or "", c or ""))
-                    except Fatal as e:
-                        stop = True
-                        row |= {"error": str(e), "fatal": True}
-                    except Exception as e:  # noqa: BLE001 a failed row stays pending
-                        row |= {"error": str(e)}
-                rows.append(row)
-            yield pd.concat([b.reset_index(drop=True), pd.DataFrame(rows, columns=[*names, "error", "fatal"]).astype(object)], axis=1)
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                tasks = ([partial(attempt, call, a or "", c or "") for call in calls] for a, c in zip(b[inputs[0]], b[inputs[1]]))
+                rows = []
+                for found in in_order(pool, tasks, max(1, at_once // len(calls))):
+                    row = dict.fromkeys(names) | {"error": next((e for _, e, _ in found if e), None), "fatal": any(f for _, _, f in found)}
+                    if row["error"] is None:
+                        try:
+                            row |= pick(*(x for x, _, _ in found))
+                        except Exception as e:  # noqa: BLE001 an answer of another form
+                            row |= {"error": str(e)}
+                    rows.append(row)
+                yield pd.concat([b.reset_index(drop=True), pd.DataFrame(rows, columns=[*names, "error", "fatal"]).astype(object)], axis=1)
 
     kept = [f for f in df.schema.fields if f.name not in {*names, "error", "fatal"}]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(" ".join(o.split(":", 1)) for o in outputs.split(";")), "error string", "fatal boolean"])
@@ -59,22 +108,28 @@ def stage(df: DataFrame, call: Callable[[str, str], Any], inputs: tuple[str, str
     return df.select(*(f.name for f in kept)).mapInPandas(run, schema)
 
 
-def analyse(df: DataFrame, client: Client, threshold: float = C.THRESHOLD, valid=tuple(C.CATEGORY_LABELS)) -> DataFrame:
+def analyse(df: DataFrame, client: Client, threshold: float = C.THRESHOLD, valid=tuple(C.CATEGORY_LABELS), at_once: int = 4) -> DataFrame:
     """id, relevance_score, relevance_reasoning, passed_relevance, and the analysis of rows that passed.
 
     df: id, title_original, text_original. A row whose score failed stays unscored; one whose
-    translation or summary failed or is empty is passed but not analysed (analysed is false).
+    translation, summary or tags failed, or whose translation or summary is empty, is passed
+    but not analysed (analysed is false). Summary and tags are asked for side by side. A fatal
+    error stops all stages in all tasks; what was paid for before is kept.
     """
+    stop = Stop.new(df.sparkSession)
     clamp = lambda x: min(1.0, max(0.0, float(x)))
-    scored = cut(stage(df.select("id", "title_original", "text_original"), client.score, ("title_original", "text_original"), "relevance_score:double;relevance_reasoning:string", lambda r: {"relevance_score": clamp(r[0]), "relevance_reasoning": r[1]}))
+    call = partial(stage, at_once=at_once, stop=stop)
+    scored = cut(call(df.select("id", "title_original", "text_original"), client.score, ("title_original", "text_original"), "relevance_score:double;relevance_reasoning:string", lambda r: {"relevance_score": clamp(r[0]), "relevance_reasoning": r[1]}))
     scored = scored.withColumn("passed_relevance", F.col("relevance_score") >= threshold)
     chosen = scored.filter("passed_relevance").drop("error", "fatal")
-    english = cut(stage(chosen, client.translate, ("title_original", "text_original"), "title_english:string;text_english:string", lambda r: {"title_english": r[0], "text_english": r[1]}))
-    english = english.filter("error IS NULL AND coalesce(title_english, '') <> '' AND coalesce(text_english, '') <> ''").drop("error", "fatal")
-    summed = cut(stage(english, client.summarise, ("title_english", "text_english"), "summary_english:string", lambda r: {"summary_english": r})).drop("error", "fatal")
-    done = cut(stage(summed.filter("trim(coalesce(summary_english, '')) <> ''"), client.tag, ("title_english", "text_english"), "categories:array<string>;is_significant:boolean;significance_reasoning:string", lambda r: {"categories": [c for c in r[0] if c in valid], "is_significant": bool(r[1]), "significance_reasoning": r[2] if r[1] else None}))
-    done = done.filter("error IS NULL").select("id", "title_english", "text_english", "summary_english", "categories", "is_significant", "significance_reasoning", F.lit(True).alias("analysed"))
-    return scored.select("id", "relevance_score", "relevance_reasoning", "passed_relevance", "error", "fatal").join(done, "id", "left").withColumn("analysed", F.coalesce("analysed", F.lit(False)))
+    english = cut(call(chosen, client.translate, ("title_original", "text_original"), "title_english:string;text_english:string", lambda r: {"title_english": r[0], "text_english": r[1]}))
+    told = english.filter("error IS NULL AND coalesce(title_english, '') <> '' AND coalesce(text_english, '') <> ''").drop("error", "fatal")
+    tagged = lambda s, r: {"summary_english": s, "categories": [c for c in r[0] if c in valid], "is_significant": bool(r[1]), "significance_reasoning": r[2] if r[1] else None}
+    done = cut(call(told, [client.summarise, client.tag], ("title_english", "text_english"), "summary_english:string;categories:array<string>;is_significant:boolean;significance_reasoning:string", tagged))
+    failed = english.select("id", "error", "fatal").unionByName(done.select("id", "error", "fatal")).filter("error IS NOT NULL").groupBy("id").agg(F.first("error").alias("later_error"), F.max("fatal").alias("later_fatal"))
+    done = done.filter("error IS NULL AND trim(coalesce(summary_english, '')) <> ''").select("id", "title_english", "text_english", "summary_english", "categories", "is_significant", "significance_reasoning", F.lit(True).alias("analysed"))
+    out = scored.select("id", "relevance_score", "relevance_reasoning", "passed_relevance", "error", "fatal").join(done, "id", "left").join(failed, "id", "left")
+    return out.withColumns({"analysed": F.coalesce("analysed", F.lit(False)), "error": F.coalesce("error", "later_error"), "fatal": F.col("fatal") | F.coalesce("later_fatal", F.lit(False))}).drop("later_error", "later_fatal")
 
 
 def outcome(n_queued: int, n_done: int, n_failed: int, fatal: bool) -> str:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark would use for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def storage(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a qualified path, as tasks see it, and the path in it."""
+    if path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return pyarrow.fs.FileSystem.from_uri(path)
