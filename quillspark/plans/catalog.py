@@ -16,11 +16,12 @@ from .. import constants as C
 from ..functions import dates as D
 from ..functions import text as T
 from ..functions import values as V
+from ..functions import variants
 from ..operators import articles as A
 from ..operators import dedup, editions, merge, quality, rollup, schedule, scoring
 from ..session import shared_dir
 from ..sources import pages as P
-from ..sources import sites
+from ..sources import anchors, sites
 from ..sources import tables as S
 from ..streaming import rolling
 from . import sinks
@@ -414,6 +415,40 @@ def json_props(spark, sf):
     return e.select("event_id", F.try_element_at(F.from_json("props", "map<string,string>"), key).alias("v"))
 
 
+_NESTED = """'{"type":"' || event_type || '","props":' || coalesce(props, 'null') || ',"trail":[{"day":"' || strftime(ts, '%Y-%m-%d') || '","more":["' || event_type || '",{"deep":"x' || event_id % 7 || '"}]},"' || event_type || '"],"n":' || event_id || '}'"""
+
+
+@query(f"WITH e AS (SELECT event_id, {_NESTED} AS doc FROM events) SELECT event_id, t.fullkey AS path, t.atom ->> '$' AS value FROM e, json_tree(e.doc) t WHERE t.type = 'VARCHAR'")
+def nested_strings(spark, sf):
+    """Every string of nested values, with its path."""
+    e = table(spark, sf, "events")
+    kind, day = F.col("event_type"), F.date_format("ts", "yyyy-MM-dd")
+    doc = F.concat(F.lit('{"type":"'), kind, F.lit('","props":'), F.coalesce("props", F.lit("null")), F.lit(',"trail":[{"day":"'), day, F.lit('","more":["'), kind, F.lit('",{"deep":"x'), (F.col("event_id") % 7).cast("string"), F.lit('"}]},"'), kind, F.lit('"],"n":'), F.col("event_id").cast("string"), F.lit("}"))
+    return variants.strings(e.select("event_id", doc.alias("doc")), "event_id", "doc")
+
+
+_BROKEN = r"""WITH d AS (SELECT event_id, CASE event_id % 8 WHEN 2 THEN regexp_replace(props, '(\d+)', '"\1"') WHEN 3 THEN '{}' WHEN 4 THEN replace(props, '{', '{"more":1,') WHEN 5 THEN '[' || props || ']' WHEN 6 THEN replace(props, '}', ',"tags":["a","zz","b"]}') WHEN 7 THEN 'oops' ELSE props END AS doc FROM events),
+v AS (SELECT event_id, doc, CASE WHEN json_valid(doc) THEN json_type(doc) END AS t FROM d), o AS (SELECT *, json_type(doc, '$.k') AS kt, CASE WHEN json_type(doc, '$.k') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(doc, '$.k') AS BIGINT) END AS k FROM v WHERE t = 'OBJECT'),
+g AS (SELECT event_id, unnest(from_json(json_extract(doc, '$.tags'), '["JSON"]')) AS tag, unnest(range(CAST(json_array_length(doc, '$.tags') AS BIGINT))) AS i FROM o WHERE json_type(doc, '$.tags') = 'ARRAY')"""
+
+
+@query(f"""{_BROKEN} SELECT event_id, '$' AS path, 'json' AS rule, 'is no JSON' AS message FROM v WHERE t IS NULL UNION ALL SELECT event_id, '$', 'type', 'is ' || lower(t) || ', not object' FROM v WHERE t <> 'OBJECT'
+UNION ALL SELECT event_id, '$.k', 'required', 'is missing' FROM o WHERE kt IS NULL UNION ALL SELECT event_id, '$.k', 'type', 'is ' || CASE kt WHEN 'VARCHAR' THEN 'string' ELSE lower(kt) END || ', not integer' FROM o WHERE kt IS NOT NULL AND k IS NULL
+UNION ALL SELECT event_id, '$.k', 'minimum', k || ' is below 10' FROM o WHERE k < 10 UNION ALL SELECT event_id, '$.k', 'maximum', k || ' is above 90' FROM o WHERE k > 90
+UNION ALL SELECT event_id, '$.' || f, 'additionalProperties', 'is not a field of this object' FROM (SELECT event_id, unnest(json_keys(doc)) AS f FROM o) WHERE f NOT IN ('k', 'tags')
+UNION ALL SELECT event_id, '$.tags[' || i || ']', 'enum', tag || ' is not allowed' FROM g WHERE CAST(tag AS VARCHAR) NOT IN ('"a"', '"b"')""")
+def schema_findings(spark, sf):
+    """Values checked by a schema document; seven of eight kinds of them may break a rule."""
+    e, k = table(spark, sf, "events"), F.col("event_id") % 8
+    p = F.col("props")
+    doc = (
+        F.when(k == 2, F.regexp_replace(p, r"(\d+)", '"$1"')).when(k == 3, F.lit("{}")).when(k == 4, F.replace(p, F.lit("{"), F.lit('{"more":1,'))).when(k == 5, F.concat(F.lit("["), p, F.lit("]")))
+        .when(k == 6, F.replace(p, F.lit("}"), F.lit(',"tags":["a","zz","b"]}'))).when(k == 7, F.lit("oops")).otherwise(p)
+    )
+    schema = {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 90}, "tags": {"type": "array", "items": {"type": "string", "enum": ["a", "b"]}}}}
+    return variants.check(e.select("event_id", doc.alias("doc")), "event_id", "doc", schema)
+
+
 @query("SELECT event_id, strftime(CASE WHEN dayofweek(CAST(ts AS DATE)) = 0 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) + CAST(6 - dayofweek(CAST(ts AS DATE)) AS INT) END, '%Y-%m-%d') AS week_ending FROM events")
 def week_ending(spark, sf):
     """The Saturday that ends each event's week."""
@@ -488,12 +523,25 @@ def site_articles(spark, sf):
     return sites.articles(_site_pages(spark, sf))
 
 
-@query()
+_LINK = "'<a href=\"([^\"]*)\">(.*?)</a>'"
+_LINKS = rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') AS top, regexp_replace(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'gs'), '<!--.*?-->', '', 'gs') AS h FROM pages),
+a AS (SELECT page_id, top, regexp_extract_all(h, {_LINK}, 1) AS hs, regexp_extract_all(h, {_LINK}, 2) AS ts FROM p), x AS (SELECT page_id, top, unnest(range(len(hs))) AS i, hs, ts FROM a)
+SELECT page_id, CAST(i AS INT) AS n, top || list_transform([hs[i + 1]], lambda y: {_PLAINLY})[1] AS href, trim(regexp_replace(list_transform([ts[i + 1]], lambda y: {_PLAINLY})[1], '\s+', ' ', 'g')) AS text FROM x"""
+
+
+@query(_LINKS)
 def page_links(spark, sf):
     """Every link of every page, resolved."""
     return P.anchors(table(spark, sf, "pages"))
 
 
+@query(_LINKS)
+def page_anchors(spark, sf):
+    """The same by a table function, called laterally from SQL."""
+    anchors.register(spark)
+    return spark.sql("SELECT page_id, a.n, a.href, a.text FROM {pages}, LATERAL anchors(html, url, true) a", pages=table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
 _PLAIN = "list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g'), ' +'), lambda w: w <> '')"
 _QUOTE = lambda x: "'" + x.replace("'", "''") + "'"
 _OPENER = "CASE " + " ".join(f"WHEN starts_with(lower(s), {_QUOTE(o)}) THEN {_QUOTE('banned opener: ' + o)}" for o in C.BANNED_OPENERS) + " END"
