@@ -63,19 +63,32 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return n, x
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each made longer until no column (in whatever case) has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def one_of_each(ws: Workspace, docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs of one text of each root: that of the smallest doc_id.
 
     found: doc_id, node (xxhash64 of the text, null as empty) and root of every row with a
-    doc_id. One of equal rows stays; rows without a doc_id all stay.
+    doc_id. One of equal rows stays; rows without a doc_id all stay. Other columns of docs may
+    have any name.
     """
     found = found.groupBy("doc_id", "node").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("times"))
     kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "node", "times")).alias("k"))
-    kept = ws.table("kept", kept.select(F.col("k.doc_id").alias("__kept"), F.col("k.node").alias("__node"), "k.times"))
+    own_id, own_node, text = free_names(docs.columns, "kept_id", "kept_node", "text_node")
+    kept = ws.table("kept", kept.select(F.col("k.doc_id").alias(own_id), F.col("k.node").alias(own_node), F.col("k.times").alias("times")))
     # one plan at every size: the kept ids grow with the input and are never broadcast
     node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    same = (F.col("doc_id").cast("long") == F.col("__kept")) & (node == F.col("__node"))
-    out = docs.join(kept.select("__kept", "__node").hint("merge"), same, "left_semi")
+    same = (F.col("doc_id").cast("long") == F.col(own_id)) & (node == F.col(own_node))
+    out = docs.join(kept.select(own_id, own_node).hint("merge"), same, "left_semi")
     if kept.filter("times > 1").limit(1).count():
-        out = out.withColumn("__text", node).dropDuplicates(["doc_id", "__text"]).drop("__text")
+        out = out.withColumn(text, node).dropDuplicates(["doc_id", text]).drop(text)
     return out.unionByName(docs.filter("doc_id IS NULL"))
