@@ -134,8 +134,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: in
     """Fit on at most `positives` documents of quality 1 and `unlabelled` documents without a label.
 
     labels: doc_id and quality, of rows that may be learnt from; null qualities count as no
-    label, and of conflicting ones the least. Only quality 1 is learnt from; the prior comes
-    from estimate_prior(). Without a positive or an unlabelled document the model gives every
+    label, and of conflicting ones the least. Of rows that share a doc_id the one whose text
+    hashes least is learnt from. Only quality 1 is learnt from; the prior comes from
+    estimate_prior(). Without a positive or an unlabelled document the model gives every
     text one half.
     """
     prepare(spark)
@@ -144,7 +145,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: in
     one = sample(known.filter("quality = 1").select("doc_id"), positives).withColumn("kind", F.lit(1))
     none = sample(ids.join(labels.filter("quality IS NOT NULL").select("doc_id"), "doc_id", "left_anti").distinct(), unlabelled).withColumn("kind", F.lit(0))
     chosen = one.unionByName(none)  # of bounded size
-    rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "kind").select("x", "kind").toPandas()
+    # a row for each id, however often it stands, before anything comes to the driver
+    text = F.coalesce(F.col("text"), F.lit(""))
+    least = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("r"))
+    rows = feature_rows(least.select("doc_id", "kind", "r.text"), "kind").select("x", "kind").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(NAMES))
     p, u = x[rows["kind"] == 1], x[rows["kind"] == 0]
     if not len(p) or not len(u):
@@ -159,12 +163,15 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, *more: str) -> Dat
     """doc_id, score and the named columns of every row; a null text counts as empty. Repeated rows each give a row."""
     prepare(spark)
 
+    more = [c for c in more if c.lower() not in ("doc_id", "score")]
+
     def run(batches):
         for b in slices(batches):
             s = model.score(features(*raw_bytes(b.column("text"))))
-            yield pa.record_batch([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(s), *(b.column(c) for c in more)], ["doc_id", "score", *more])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, score double")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    return text_rows(docs, *more).mapInArrow(run, f"doc_id long, score double{kinds}")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

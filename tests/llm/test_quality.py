@@ -80,3 +80,60 @@ def test_query_columns_and_held_out_accuracy(spark):
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
     assert all(rows[r["doc_id"]]["held_out"] for r in out) and all(r["predicted"] == int(r["score"] >= 0.3) for r in rows.values())
     assert sum(rows[r["doc_id"]]["predicted"] == r["quality"] for r in out) >= 0.95 * len(out) > 0
+
+
+def plain_features(text):
+    """The features of one text, by loops and sets."""
+    import math
+
+    raw = (text or "").encode()
+    n, space = len(raw), b" \t\n\x0b\x0c\r"
+    words = bytes(0x20 if b in space else b for b in raw).split(b" ")
+    words = [w for w in words if w]
+    lines = [x for x in raw.split(b"\n") if x]
+    share = lambda k, of: k / max(of, 1)
+    count = lambda members: share(sum(b in members for b in raw), n)
+    threes = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    letter = lambda b: 0x61 <= b | 0x20 <= 0x7A or b >= 0x80
+    return [
+        math.log1p(len(words)), math.log1p(n), share(sum(map(len, words)), len(words)), count(range(0x41, 0x5B)), count(range(0x30, 0x3A)), count(b"!"), count(b"#$%&*@^~<>{}\\=+"), count(b"|"), count(b"."), count(b","),
+        count(b"\n"), count(range(0x80, 0x100)), share(sum(x == y for x, y in zip(words, words[1:])), len(words)), share(len(set(words)), len(words)), (len(set(threes)) / len(threes) if threes else 1.0) * (n > 0),
+        share(sum(0x41 <= w[0] <= 0x5A for w in words), len(words)), share(sum(len(w) == 1 for w in words), len(words)), share(len(lines) - len(set(lines)), len(lines)), math.log1p(len(lines)), share(sum(not letter(w[-1]) and w[-1] not in b".," for w in words), len(words)),
+    ]
+
+
+def test_query_against_a_plain_fit(spark):
+    """Every score of the query is that of a model fitted on features that plain loops took from the same rows."""
+    import math
+    import zlib
+
+    import numpy as np
+
+    from quillspark.llm.quality import fit_nnpu
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    x = {i: np.array(plain_features(t)) for i, t in docs.items()}
+    order = lambda a: a[np.lexsort(a.T)]
+    p = order(np.stack([x[i] for i, q in labels.items() if q == 1 and i in x]))
+    u = order(np.stack([x[i] for i in docs if i not in labels]))
+    model = fit_nnpu(p, u, estimate_prior(p, u))
+    rows = op10_quality_classifier(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        z = (x[r["doc_id"]] - model.mean) / model.scale
+        want = 1 / (1 + math.exp(-float(model.logit(x[r["doc_id"]][None])[0])))
+        assert abs(r["score"] - want) < 1e-6 and np.isfinite(z).all()
+
+
+def test_repeated_ids_and_named_columns(spark):
+    docs, labels = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string, kind int")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    # an id that stands many times is learnt from once, by the text of the least hash
+    more = df.unionByName(df.filter("doc_id = 1")).unionByName(df.filter("doc_id = 1")).repartition(3)
+    one, many = train(spark, df, lab), train(spark, more, lab)
+    assert one.prior == many.prior and (one.weights == many.weights).all()
+    got = score(spark, df.limit(3), one, "kind").collect()
+    assert all(r["kind"] == r["doc_id"] for r in got) and score(spark, df, one, "kind", "score").columns == ["doc_id", "score", "kind"]
