@@ -489,6 +489,21 @@ def page_parse(spark, sf):
     return P.parse(table(spark, sf, "pages"))
 
 
+@query(f"""{_WITH} SELECT id, CASE WHEN id % 9 < 4 THEN 'Thin week · ' || lower(b) ELSE b END AS label, round_even(id / CAST(8 AS DOUBLE), 2) AS cents, round_even(id / CAST(2 AS DOUBLE), 0) AS whole,
+CASE WHEN id % 3 = 0 AND title_original <> '' THEN title_original WHEN id % 3 = 1 AND source_slug <> '' THEN source_slug ELSE 'Untitled' END AS shown, CASE WHEN id % 3 = 0 AND title_original <> '' THEN 'title' WHEN id % 3 = 1 AND source_slug <> '' THEN 'source' ELSE 'default' END AS shown_from,
+round_even(CASE id % 4 WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END + CASE WHEN w >= 1600 THEN 3 WHEN w >= 1200 THEN 2 WHEN w >= 800 THEN 1 ELSE 0 END + CASE WHEN h = 0 THEN 0 WHEN w >= h THEN 2 WHEN w / CAST(h AS DOUBLE) >= 0.85 THEN 1 ELSE 0 END
+  + least(id % 8, 5) + CASE WHEN id % 5 = 0 THEN 1.5 ELSE 0 END - CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END, 2) AS score
+FROM (SELECT *, CASE WHEN id % 2 = 0 THEN 'Significant' ELSE 'Routine' END AS b, id % 40 * 50 AS w, id % 11 * 100 AS h FROM art)""")
+def display_fields(spark, sf):
+    """Edition labels, rounded numbers, the first title that there is and from where, and scores of images."""
+    a, i = articles(spark, sf, False), F.col("id")
+    shown = editions.fallback(("title", F.when(i % 3 == 0, F.col("title_original"))), ("source", F.when(i % 3 == 1, F.col("source_slug"))), default="Untitled")
+    score = scoring.image_score(_pick(("Public domain", "CC BY-SA 4.0", "CC BY 2.0", "All rights reserved"), i % 4), i % 40 * 50, i % 11 * 100, (i % 8).cast("int"), i % 5 == 0, i % 7 == 0)
+    kind = F.when(i % 2 == 0, "significant").otherwise("routine")
+    out = a.select("id", rollup.edition_label(kind, i % 9).alias("label"), V.half_even(i / 8, 2).alias("cents"), V.half_even(i / 2, 0).alias("whole"), shown.alias("s"), score.cast("double").alias("score"))
+    return out.select("id", "label", "cents", "whole", F.col("s.value").alias("shown"), F.col("s.source").alias("shown_from"), "score")
+
+
 def _site_pages(spark, sf):
     """Pages dealt out to the four sites; every second of each has the site's own markup and date."""
     k = F.col("page_id")
