@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .graph import free_names
 from .work import Workspace, fill, slices
 
 WINDOW = 10
@@ -182,17 +184,22 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def automata(benchmark: DataFrame, window: int = WINDOW, most: int = MAX_WORDS) -> Iterator[tuple[SuffixAutomaton, bool]]:
     """Automata over all items, each closed at `most` words, and whether it is the last. item_ids are compared as strings.
 
-    One at a time is on the driver, with the items of the next.
+    An item of more words is cut into pieces that share all but one word of a window, so each of
+    its windows lies in a piece. One automaton at a time is on the driver, with the items of
+    the next.
     """
     part, size, ready = [], 0, None
+    most = max(most, 2 * window)
     for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
-        if size >= most:
-            if ready is not None:
-                yield ready, False
-            ready, part, size = SuffixAutomaton(part, window), [], 0
         words = normal_words(r["text"])
-        part.append((r["item_id"] if r["item_id"] is not None else "", words))
-        size += len(words)
+        for at in range(0, max(1, len(words) - window + 1), most - window + 1):
+            if size >= most:
+                if ready is not None:
+                    yield ready, False
+                ready, part, size = SuffixAutomaton(part, window), [], 0
+            piece = words[at : at + most]
+            part.append((r["item_id"] if r["item_id"] is not None else "", piece))
+            size += len(piece)
     if ready is not None:
         yield ready, False
     yield SuffixAutomaton(part, window), True
@@ -202,46 +209,58 @@ _SPANS = "array<struct<start:int,end:int>>"
 
 
 def _search(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, window: int, most: int, named: bool, last_step, schema: str) -> DataFrame:
-    """last_step of each batch and its rows' joined spans and item names (if `named`), after a pass for each automaton.
+    """last_step of each batch and its rows' joined spans and item names (if `named`).
 
-    rows: text and any other columns. Passes before the last keep what they found in two more
-    columns of a working table, so that no worker ever holds two automata.
+    rows: text and any other columns. One automaton takes one pass. With more of them the rows
+    are numbered and written once; each pass reads the texts and writes the spans of the rows
+    that it hits, and what all passes found is joined to the rows at the end. No worker ever
+    holds two automata.
     """
-    ws, spans_, items_ = Workspace(spark), "__spans", "__items"
-    while {spans_, items_} & set(rows.columns):
-        spans_, items_ = spans_ + "_", items_ + "_"
+    ws = Workspace(spark)
+    row, spans_, items_ = free_names(rows.columns, "row", "spans", "items")
     columns, at = rows.columns, rows.columns.index("text")
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{spans_}` {_SPANS}, `{items_}` array<string>"
-    for turn, (automaton, last) in enumerate(automata(benchmark, window, most)):
+    parts = automata(benchmark, window, most)
+    automaton, last = next(parts)
+
+    def match(a, text):
+        found, k = a.match(normal_words(text))
+        return found, sorted({a.names[i] for i in k}) if named else []
+
+    if last:
+        shared = spark.sparkContext.broadcast(automaton)
+
+        def whole(batches):
+            for b in slices(batches, "text", 8 << 20):
+                found = [match(shared.value, t) for t in fill(b.column(at)).to_pylist()]
+                yield last_step(b, [x for x, _ in found], [k for _, k in found])
+
+        return rows.mapInArrow(whole, schema)
+
+    rows = ws.table("numbered", rows.withColumn(row, F.monotonically_increasing_id()))
+    told = f"row long, spans {_SPANS}, items array<string>"
+    hits = None
+    for turn, (automaton, _) in enumerate(chain([(automaton, last)], parts)):
         shared = spark.sparkContext.broadcast(automaton)
 
-        def run(batches, shared=shared, last=last, turn=turn):
-            a = shared.value
+        def one_pass(batches, shared=shared):
             for b in slices(batches, "text", 8 << 20):
-                before = b.select([spans_, items_]).to_pylist() if turn else [None] * b.num_rows
-                spans, items = [], []
-                for text, more in zip(fill(b.column(at)).to_pylist(), before):
-                    found, k = a.match(normal_words(text))
-                    names = {a.names[i] for i in k} if named else set()
-                    if more:
-                        found = _joined([*found, *((x["start"], x["end"]) for x in more[spans_])])
-                        names |= set(more[items_])
-                    spans.append(found)
-                    items.append(sorted(names))
-                own = b.select(columns)
-                if last:
-                    yield last_step(own, spans, items)
-                else:
-                    told = pa.array([[{"start": x, "end": y} for x, y in f] for f in spans], kinds[0])
-                    yield pa.record_batch([*own.columns, told, pa.array(items, kinds[1])], [*columns, spans_, items_])
-
-        rows = rows.mapInArrow(run, schema if last else kept)
-        if not last:
-            rows = ws.table(f"pass{turn}", rows)
-            ws.drop(f"pass{turn - 1}")
-            shared.destroy()
-    return rows
+                found = [match(shared.value, t) for t in fill(b.column("text")).to_pylist()]
+                has = [i for i, (x, _) in enumerate(found) if x]
+                spans = pa.array([[{"start": x, "end": y} for x, y in found[i][0]] for i in has], kinds[0])
+                yield pa.record_batch([b.column("row").take(pa.array(has, pa.int64())), spans, pa.array([found[i][1] for i in has], kinds[1])], ["row", "spans", "items"])
+
+        now = ws.table(f"hits{turn}", rows.select(F.col(row).alias("row"), "text").mapInArrow(one_pass, told))
+        hits = now if hits is None else hits.unionByName(now)
+        shared.destroy()
+    every = hits.groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("spans")).alias(spans_), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(items_))
+
+    def joined(batches):
+        for b in slices(batches, "text", 8 << 20):
+            spans = [_joined([(x["start"], x["end"]) for x in found or []]) for found in b.column(spans_).to_pylist()]
+            yield last_step(b.select(columns), spans, [k or [] for k in b.column(items_).to_pylist()])
+
+    return rows.join(every.hint("merge"), row, "left").select(*columns, spans_, items_).mapInArrow(joined, schema)
 
 
 def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MAX_WORDS) -> DataFrame:

@@ -65,3 +65,39 @@ def test_an_automaton_is_of_bounded_size():
     a = SuffixAutomaton(items)
     assert len(a.link) <= 2 * 5000 and len(a.edge) <= 3 * 5000
     assert len(pickle.dumps(a)) < 100 * 5000
+
+
+def test_items_longer_than_an_automaton(spark):
+    """An item of many words is cut; no window of it is lost, nor made up."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(40)}" for _ in range(150)]
+    items = [("long", " ".join(words)), ("short", "w1 w2"), (None, " ".join(words[40:60]))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    made = [a for a, _ in automata(bench, 10, 30)]
+    assert len(made) >= 5 and max(len(a.link) for a in made) <= 2 * 60 + 2
+    texts = [" ".join(["x"] * (i % 3) + words[i : i + 10 + i % 4]) for i in range(0, 140, 7)] + [" ".join(words), "w1 w2 x w2 w1", "", " ".join(words[5:14])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").withColumnRenamed("row", "doc_id")
+    known = [("long", items[0][1].split()), ("short", ["w1", "w2"]), ("", items[2][1].split())]
+    for r in find_contamination(spark, docs, bench, most=30).collect():
+        assert (r["n_hit"], r["items"]) == brute(texts[r["doc_id"]].split(), known, 10), texts[r["doc_id"]]
+
+
+def test_several_passes_write_spans_only(spark, monkeypatch):
+    """Texts are written once, whatever the number of automata; each pass writes rows that it hits."""
+    from quillspark.llm import decontaminate as d
+
+    written = {}
+
+    class Seen(d.Workspace):
+        def table(self, name, df):
+            out = super().table(name, df)
+            written[name] = (out.columns, out.count())
+            return out
+
+    monkeypatch.setattr(d, "Workspace", Seen)
+    words = [f"w{i}" for i in range(90)]
+    bench = spark.createDataFrame([(k, " ".join(words[k * 30 : k * 30 + 30])) for k in range(3)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(words[i * 3 : i * 3 + 12]), i) for i in range(26)] + [(99, "clean", 0)], "doc_id long, text string, row int")
+    found = {r["doc_id"]: r["n_hit"] for r in find_contamination(spark, docs, bench, most=20).collect()}
+    assert found[0] == 12 and found[99] == 0
+    assert written["numbered"][1] == 27 and all(c == ["row", "spans", "items"] and n < 27 for k, (c, n) in written.items() if k.startswith("hits")) and len(written) >= 4
