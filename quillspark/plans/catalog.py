@@ -496,7 +496,8 @@ round_even(CASE id % 4 WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END + CA
 FROM (SELECT *, CASE WHEN id % 2 = 0 THEN 'Significant' ELSE 'Routine' END AS b, id % 40 * 50 AS w, id % 11 * 100 AS h FROM art)""")
 def display_fields(spark, sf):
     """Edition labels, rounded numbers, the first title that there is and from where, and scores of images."""
-    a, i = articles(spark, sf, False), F.col("id")
+    i = F.col("id")
+    a = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_slug"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title_original"))
     shown = editions.fallback(("title", F.when(i % 3 == 0, F.col("title_original"))), ("source", F.when(i % 3 == 1, F.col("source_slug"))), default="Untitled")
     score = scoring.image_score(_pick(("Public domain", "CC BY-SA 4.0", "CC BY 2.0", "All rights reserved"), i % 4), i % 40 * 50, i % 11 * 100, (i % 8).cast("int"), i % 5 == 0, i % 7 == 0)
     kind = F.when(i % 2 == 0, "significant").otherwise("routine")
