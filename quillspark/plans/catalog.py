@@ -23,7 +23,7 @@ from ..session import shared_dir
 from ..sources import pages as P
 from ..sources import anchors, sites
 from ..sources import tables as S
-from ..streaming import rolling
+from ..streaming import nearcopies, rolling
 from . import sinks
 from .versions import Store
 
@@ -266,6 +266,23 @@ def rolling_windows(spark, sf):
     return _iso(rolling.series(store.read("days")))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)), r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.m = p.a)
+SELECT doc_id, min(m) AS near_group FROM r GROUP BY 1""")
+def near_copies(spark, sf):
+    """Near copies of all documents, found by an index that three batches look up and add to."""
+    store = Store(spark, f"{shared_dir(spark)}/near-{uuid.uuid4().hex}")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    for batch in range(3):
+        nearcopies.update(store, docs.filter(F.pmod(F.coalesce("id", F.lit(0)), F.lit(3)) == batch), batch)
+    return nearcopies.groups(store).select(F.col("id").alias("doc_id"), "near_group")
+
+
 @query("""WITH c(slug, name, fallback) AS (VALUES ('src0', 'Zero', 'expanding'), ('src1', 'One', 'expanding'), ('none', 'None', 'in development')), n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
 SELECT slug, name, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'collected' ELSE fallback END AS status FROM c LEFT JOIN n ON source = slug""")
 def source_status(spark, sf):
