@@ -168,14 +168,15 @@ def _links(tables: _Tables, lists: DataFrame, texts: DataFrame) -> DataFrame | N
         first = F.min(F.struct("set", "n", "fresh", "start", "grp"))
         leaders = left.groupBy("key", part.alias("part")).agg(first.alias("l")).select("key", *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("set", "n", "fresh", "start", "grp")))
         met = left.join(leaders, "key").filter("grp <> l_grp AND (fresh OR l_fresh) AND n * 5 >= l_n * 4 AND l_n * 5 >= n * 4")
-        pairs = met.groupBy(F.least("set", "l_set").alias("a"), F.greatest("set", "l_set").alias("b")).agg(
-            F.min(F.when(F.col("set") < F.col("l_set"), F.col("l_n")).otherwise(F.col("n"))).alias("n_other"), F.min("start").alias("x"), F.min("l_start").alias("y")
-        )
+        # two lists may meet a pair from either side
+        ahead = F.col("set") < F.col("l_set")
+        one, other = F.struct("set", "n", "start"), F.struct(F.col("l_set").alias("set"), F.col("l_n").alias("n"), F.col("l_start").alias("start"))
+        sides = met.select(F.when(ahead, one).otherwise(other).alias("p"), F.when(ahead, other).otherwise(one).alias("q")).distinct()
+        pairs = sides.select(F.col("p.set").alias("a"), F.col("q.set").alias("b"), F.col("q.n").alias("n_other"), F.col("p.start").alias("x"), F.col("q.start").alias("y"))
         found = tables.keep(_similar(tables.keep(pairs), texts).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         if found.limit(1).count():
-            before = [] if roots is None else [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
-            for edges in before:
-                found = found.unionByName(edges)
+            if roots is not None:
+                found = found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = components(tables, found)
         lists = left.join(leaders.select("key", F.col("l_set").alias("set")), ["key", "set"], "left_anti").drop("grp")
         turn += 1
