@@ -41,6 +41,10 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(low, "[ \\t-\\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def _has_words() -> Column:
+    return F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -103,13 +107,13 @@ def _sign(batches):
 def signed(rows: DataFrame) -> DataFrame:
     """id, set, n, hashes and keys of the rows (id, text) that have words."""
     bounded(rows.sparkSession)
-    words = rows.select("id", word_hashes(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    words = rows.filter(_has_words()).select("id", word_hashes(F.col("text")).alias("words"))
     kind = rows.schema["id"].dataType.simpleString()
     return words.mapInArrow(_sign, f"id {kind}, set binary, n int, hashes array<long>, keys array<long>")
 
 
 class _Tables:
-    """Tables of one run in the shared folder."""
+    """Tables of one batch in the shared folder, until the batch is committed."""
 
     def __init__(self, spark):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/nearcopies-{uuid.uuid4().hex}", 0
@@ -119,6 +123,11 @@ class _Tables:
         df.write.parquet(f"{self.root}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
 
+    def drop(self, n: int | None = None) -> None:
+        """Delete the n-th table, or all; nothing may be read from them any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}" if n else self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def components(tables: _Tables, edges: DataFrame) -> DataFrame:
     """node and root (the least node that it is joined with) of all nodes of the edges (a, b)."""
@@ -194,13 +203,14 @@ def update(store: Store, rows: DataFrame, batch: int) -> int:
     there = store.has("near_texts", parent)
     rows = rows.select("id", "text")
     sets = tables.keep(signed(rows))
-    wordless = rows.filter(F.size(word_hashes(F.col("text"))) == 0).select("id", F.lit(None).cast("binary").alias("set"))
-    members = sets.select("id", "set").unionByName(wordless).distinct()
+    wordless = rows.filter(~_has_words()).select("id", F.lit(None).cast("binary").alias("set"))
+    members = tables.keep(sets.select("id", "set").unionByName(wordless).distinct())
     new = sets.select("set", "n", "hashes", "keys").dropDuplicates(["set"])
     if there:
         old_texts, old_keys, old_groups = (store.read(f"near_{t}", parent) for t in ("texts", "keys", "groups"))
         new = new.join(old_texts.select("set"), "set", "left_anti")
     new = tables.keep(new)
+    tables.drop(1)  # the sets, of which new has what is new
     texts = new.select("set", "n", "hashes")
     keys = new.select(F.explode("keys").alias("key"), "set", "n")
     probed = keys.withColumn("fresh", F.lit(True)).withColumn("start", F.col("set"))
@@ -214,7 +224,9 @@ def update(store: Store, rows: DataFrame, batch: int) -> int:
         joined = roots.join(groups, roots.node == groups.set, "left_anti").select(F.col("node").alias("set"), F.col("root").alias("grp"))
         groups = moved.unionByName(joined)
     more = {"near_members": members, "near_texts": texts, "near_keys": keys}
-    return store.commit({"near_groups": groups}, parent=parent, append=more, notes={"near_batch": batch})
+    version = store.commit({"near_groups": groups}, parent=parent, append=more, notes={"near_batch": batch})
+    tables.drop()
+    return version
 
 
 def groups(store: Store, version: int | None = None) -> DataFrame:
