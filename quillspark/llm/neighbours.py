@@ -10,6 +10,7 @@ table that score best so are ranked again by the exact distance.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ BOOKS, CODES, BEAM = 24, 256, 4
 SAMPLE = 16_384
 #: Queries that are broadcast at a time, rows of a block, and candidates of a query that are ranked exactly.
 QUERY_BLOCK, ROW_BLOCK, RERANK = 2_048, 16_384, 200
+#: Square root of the partitions from which a bound is found before all rows are scored.
+TWO_STEPS = 3
 
 
 @dataclass(frozen=True)
@@ -156,12 +159,12 @@ def _look_up(books: Codebooks, q: np.ndarray, codes: np.ndarray, norm: np.ndarra
     return out
 
 
-def candidates(index: DataFrame, books: Codebooks, qid: np.ndarray, q: np.ndarray, rerank: int) -> DataFrame:
-    """query_id, vec_id: of each query the `rerank` rows of the index that the look-up tables score nearest."""
-    shared = index.sparkSession.sparkContext.broadcast((books, qid, q))  # of bounded size
+def _scored(index: DataFrame, books: Codebooks, qid: np.ndarray, q: np.ndarray, rerank: int, bound: np.ndarray) -> DataFrame:
+    """query_id, vec_id, score and n (the place by score) of each query's `rerank` best rows; tasks return none that score above the query's bound."""
+    shared = index.sparkSession.sparkContext.broadcast((books, qid, q, bound))  # of bounded size
 
     def scan(batches):
-        books_, qid, q = shared.value
+        books_, qid, q, bound = shared.value
         ids, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
         for b in _blocks(batches, ROW_BLOCK):
             codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), code_type(books_.shape[1])).reshape(b.num_rows, -1)
@@ -176,12 +179,31 @@ def candidates(index: DataFrame, books: Codebooks, qid: np.ndarray, q: np.ndarra
                 pick = np.argpartition(scores, rerank - 1, axis=1)[:, :rerank]
                 ids, scores = np.take_along_axis(ids, pick, 1), np.take_along_axis(scores, pick, 1)
         for t in range(0, len(q) if ids.shape[1] else 0, 64):
-            n = len(qid[t : t + 64])
-            yield pa.record_batch([pa.array(np.repeat(qid[t : t + 64], ids.shape[1])), pa.array(ids[t : t + n].ravel()), pa.array(scores[t : t + n].ravel())], ["query_id", "vec_id", "score"])
+            fit_ = scores[t : t + 64] <= bound[t : t + 64, None]
+            yield pa.record_batch([pa.array(np.repeat(qid[t : t + 64], fit_.sum(1))), pa.array(ids[t : t + 64][fit_]), pa.array(scores[t : t + 64][fit_])], ["query_id", "vec_id", "score"])
 
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     found = index.mapInArrow(scan, "query_id long, vec_id long, score double")
-    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rerank).select("query_id", "vec_id")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rerank)
+
+
+def candidates(index: DataFrame, books: Codebooks, qid: np.ndarray, q: np.ndarray, rerank: int) -> DataFrame:
+    """query_id, vec_id: of each query the `rerank` rows of the index that the look-up tables score nearest.
+
+    An index of P partitions takes two steps. One row in sqrt(P) is scored first, in about
+    sqrt(P) tasks; the `rerank`-th best score among them is no better than that among all rows,
+    so the pass over all rows returns only what reaches it. Both steps exchange about sqrt(P)
+    times `rerank` rows a query in place of P times as many, and no row is lost by it.
+    """
+    bound = np.full(len(q), np.inf)
+    parts = index.rdd.getNumPartitions()
+    share = isqrt(parts)
+    if share >= TWO_STEPS:
+        some = index.filter(F.pmod(F.xxhash64("vec_id", F.lit("bound")), F.lit(share)) == 0).coalesce(-(-parts // share))
+        place = {v: i for i, v in enumerate(qid.tolist())}
+        for query, score in _scored(some, books, qid, q, rerank, bound).filter(F.col("n") == rerank).select("query_id", "score").collect():
+            bound[place[query]] = score
+    return _scored(index, books, qid, q, rerank, bound).select("query_id", "vec_id")
 
 
 def search(spark: SparkSession, embeddings: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK, books: int = BOOKS, codes: int = CODES) -> DataFrame:
@@ -191,7 +213,8 @@ def search(spark: SparkSession, embeddings: DataFrame, queries: DataFrame, k: in
     block is held against the codes of all distinct vectors; `rerank` of them are ranked
     exactly. Distances are in double precision; ties go to the smaller vec_id. Unusable
     vectors (null, zero, with null or non-finite components, or of other dimensions than most)
-    take no part; of rows that share a vec_id each counts, but none is its own neighbour.
+    take no part; of rows that share a vec_id each counts, but none is its own neighbour, and
+    the least of their vectors (component by component) is the one that asks.
     Empty tables give no rows; other columns are not read.
     """
     ws = Workspace(spark)
@@ -199,7 +222,7 @@ def search(spark: SparkSession, embeddings: DataFrame, queries: DataFrame, k: in
     books_, dimensions, index = build(spark, ws, rows, books, codes)
     if books_ is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = usable(queries).filter(F.size("v") == dimensions).dropDuplicates(["vec_id"])
+    asked = usable(queries).filter(F.size("v") == dimensions).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = ws.table("queries", asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")))
     found = None

@@ -86,3 +86,26 @@ def test_query_against_brute_force(spark):
         hits += len({r["vec_id"] for r in mine} & set(ids[np.lexsort((ids, d))[:10]].tolist()))
         assert all(abs(r["score"] - d[ids == r["vec_id"]][0]) < 1e-9 for r in mine)
     assert hits >= 0.95 * 10 * (ids % 100 == 0).sum()
+
+
+def test_two_steps_find_what_one_does(spark):
+    """25 partitions: a bound from a fifth of the rows comes first; one partition: all rows at once."""
+    from quillspark.llm.neighbours import candidates, fit
+
+    x = np.random.default_rng(9).normal(size=(3000, 8))
+    books = fit(x, 6, 32)
+    codes, norm = books.encode(x)
+    index = spark.createDataFrame([(i, c.tobytes(), float(n)) for i, (c, n) in enumerate(zip(codes, norm))], "vec_id long, codes binary, norm double")
+    qid = np.arange(0, 3000, 100)
+    for rerank in (20, 1000):  # the fifth has fewer than 1,000 rows, so nothing is bounded
+        one, two = ({tuple(r) for r in candidates(index.repartition(n), books, qid, x[qid], rerank).collect()} for n in (1, 25))
+        assert one == two and len(one) == rerank * len(qid)
+    assert candidates(index.limit(0).repartition(25), books, qid, x[qid], 20).count() == 0
+
+
+def test_least_of_the_vectors_of_one_id_asks(spark):
+    rows = [(1, [3.0, 0.0]), (1, [1.0, 9.0]), (1, [1.0, 2.0]), (2, [1.0, 3.0]), (3, [1.0, 7.0]), (4, [3.0, 1.0])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
+        got = search(spark, df, df.filter("vec_id = 1"), 3).orderBy("rank").collect()
+        assert [(r["vec_id"], round(r["score"], 6)) for r in got] == [(2, 1.0), (4, round(5**0.5, 6)), (3, 5.0)]
