@@ -163,9 +163,20 @@ def image_reason(title: Column, about: Column) -> Column:
     )
 
 
-def best_image(scored: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The candidate of the greatest score, if it is good enough; ties go to the title."""
-    return scored.filter(F.col("score") >= least).orderBy(F.desc("score"), "title").limit(1)
+def best_image(scored: DataFrame, least: float = LEAST_SCORE, *key: str) -> DataFrame:
+    """The candidate of the greatest score, if it is good enough, of each key, or of all without a key.
+
+    Ties go to the title, then to the least of the other columns in turn, a null before all
+    else. A score that is null or no number is never good enough; null keys are one key.
+    """
+    good = scored.filter((F.col("score") >= least) & ~F.isnan("score"))
+    if not key:
+        return good.orderBy(F.desc("score"), "title").limit(1)
+    # a minimum is merged before rows are exchanged, so a key with very many candidates sends few
+    rest = [c for c in scored.columns if c not in {*key, "score", "title"}]
+    best = good.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("minus"), "title", *rest)).alias("best"))
+    own = {c: F.col("best")[c] for c in ("title", *rest)} | {c: F.col(c) for c in key} | {"score": -F.col("best.minus")}
+    return best.select(*(own[c].alias(c) for c in scored.columns))
 
 
 def first_query(hits: DataFrame, title: str) -> DataFrame:

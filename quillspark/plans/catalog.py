@@ -522,6 +522,30 @@ def display_fields(spark, sf):
     return out.select("id", "label", "cents", "whole", F.col("s.value").alias("shown"), F.col("s.source").alias("shown_from"), "score")
 
 
+_SCORED = """SELECT doc_id AS id, source AS source_slug, strftime(DATE '2024-01-01' + CAST(doc_id % 30 AS INT), '%Y-%m-%d') AS published_date, coalesce(split_part(text, chr(10), 1), '') AS title, w, h,
+round_even(CASE doc_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END + CASE WHEN w >= 1600 THEN 3 WHEN w >= 1200 THEN 2 WHEN w >= 800 THEN 1 ELSE 0 END + CASE WHEN h = 0 THEN 0 WHEN w >= h THEN 2 WHEN w / CAST(h AS DOUBLE) >= 0.85 THEN 1 ELSE 0 END
+  + least(doc_id % 8, 5) + CASE WHEN doc_id % 5 = 0 THEN 1.5 ELSE 0 END - CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END, 2) AS score
+FROM (SELECT *, doc_id % 40 * 50 AS w, doc_id % 11 * 100 AS h FROM documents)"""
+
+
+@query(f"""WITH c AS ({_SCORED}), best AS (
+SELECT source_slug, published_date, 'best' AS choice, id, score, row_number() OVER (PARTITION BY source_slug, published_date ORDER BY score DESC, title, id) AS k FROM c WHERE score >= {editions.LEAST_SCORE}
+), first AS (
+SELECT source_slug, published_date, 'first' AS choice, id, score, row_number() OVER (PARTITION BY source_slug, published_date ORDER BY id % 5, id) AS k FROM c WHERE w >= 800 AND h >= 400
+) SELECT source_slug, published_date, choice, id, score FROM best WHERE k = 1 UNION ALL SELECT source_slug, published_date, choice, id, score FROM first WHERE k = 1""")
+def edition_images(spark, sf):
+    """For each source and day the image of the best score, and the first one that is large enough; every document is a candidate."""
+    i = F.col("id")
+    a = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_slug"), F.coalesce(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("")).alias("title"))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 30).cast("int")), "yyyy-MM-dd")
+    score = scoring.image_score(_pick(("Public domain", "CC BY-SA 4.0", "CC BY 2.0", "All rights reserved"), i % 4), i % 40 * 50, i % 11 * 100, (i % 8).cast("int"), i % 5 == 0, i % 7 == 0)
+    a = a.withColumns({"published_date": day, "width": i % 40 * 50, "height": i % 11 * 100, "score": score.cast("double")})
+    best = editions.best_image(a.select("source_slug", "published_date", "title", "id", "score"), editions.LEAST_SCORE, "source_slug", "published_date")
+    sized = a.select("source_slug", "published_date", "id", "score", "width", "height").withColumns({"key": F.struct("source_slug", "published_date"), "url_rank": i % 5, "rank": i})
+    out = lambda df, choice: df.select("source_slug", "published_date", F.lit(choice).alias("choice"), "id", "score")
+    return out(best, "best").unionByName(out(editions.first_acceptable(sized, "key"), "first"))
+
+
 def _site_pages(spark, sf):
     """Pages dealt out to the four sites; every second of each has the site's own markup and date."""
     k = F.col("page_id")

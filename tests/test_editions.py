@@ -43,6 +43,13 @@ def test_candidates(spark):
     assert [r["r"] for r in got.collect()] == ["sensational", None, "map", "emblem", None, "weapon", None]
     s = spark.createDataFrame([("b", 7.0), ("a", 7.0), ("c", 5.0)], "title string, score double")
     assert E.best_image(s).first()["title"] == "a" and E.best_image(s, 9.0).count() == 0
+    nan = float("nan")
+    rows = [("k", "b", 7.0, 1), ("k", "a", 7.0, 3), ("k", "a", 7.0, 2), ("k", "z", nan, 0), ("low", "a", 5.9, 4), ("nan", "a", nan, 5), ("null", "a", None, 6), (None, None, 6.0, 7), (None, "a", 6.0, 8)] + [("hot", f"t{i}", 6.0 + i % 97, i) for i in range(4000)]
+    s = spark.createDataFrame(rows, "key string, title string, score double, id long").repartition(7)
+    best = {r["key"]: (r["title"], r["score"], r["id"]) for r in E.best_image(s, 6.0, "key").collect()}
+    assert best == {"k": ("a", 7.0, 2), None: (None, 6.0, 7), "hot": min((f"t{i}", 102.0, i) for i in range(96, 4000, 97))}
+    assert E.best_image(s, 6.0, "key").columns == s.columns and E.best_image(s.limit(0), 6.0, "key").count() == 0
+    assert E.best_image(s.filter("key = 'nan' OR key = 'k'")).first()["score"] == 7.0
     hits = spark.createDataFrame([(0, "q0", ["x"]), (1, "q1", ["t"])], "n int, query string, titles array<string>")
     assert E.first_query(hits, "t").first()["query"] == "q1" and E.first_query(hits, "none").first()["query"] == "q0"
 
