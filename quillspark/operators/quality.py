@@ -113,8 +113,11 @@ def site_rules(files: DataFrame, editions: DataFrame, pages=("index.html", "arch
 
     The index has to be there and not blank; articles.json has to be a list; every edition needs
     some prose, a companion text, and a link on each of the pages; the feed has an entry for each.
+    Links are joined as rows, so a page of any length is broadcast to no task; a link names a
+    file, of 255 characters at most.
     """
-    page = lambda p: files.filter(F.col("path") == p).select("value")  # noqa: E731  one row
+    # names between "editions/" and the next ".html"; the look-ahead takes nothing, so names may overlap
+    linked = lambda p: files.filter(F.col("path") == p).select(F.explode(F.regexp_extract_all("value", F.lit(r"editions/(?=((?s:.{0,255}?))\.html)"), 1)).alias("_linked"))
     told = lambda rule, key, message: [F.lit("error").alias("level"), F.lit(rule).alias("rule"), key.alias("key"), F.lit(message).alias("message")]
     name = F.concat(F.lit("editions/"), F.col("date"))
     whole = lambda p, ok: files.agg(F.coalesce(F.max(F.when(F.col("path") == p, ok)), F.lit(False)).alias("ok")).filter("NOT ok")
@@ -123,7 +126,7 @@ def site_rules(files: DataFrame, editions: DataFrame, pages=("index.html", "arch
         whole("articles.json", F.json_array_length("value").isNotNull()).select(*told("articles_json", F.lit("articles.json"), "not a list")),
         editions.filter(reduce(lambda a, f: a & _blank(f), prose, F.lit(True))).select(*told("no_body", F.col("date"), "no prose at all")),
         editions.withColumn("path", F.concat(name, F.lit(".txt"))).join(files.select("path"), "path", "left_anti").select(*told("companion", F.col("date"), "companion text is missing")),
-        *(editions.join(F.broadcast(page(p)), F.contains("value", F.concat(name, F.lit(".html"))), "left_anti").select(*told("unlinked", F.concat(F.lit(f"{p}:"), "date"), "the page does not link the edition")) for p in pages),
+        *(editions.join(linked(p), F.col("date") == F.col("_linked"), "left_anti").select(*told("unlinked", F.concat(F.lit(f"{p}:"), "date"), "the page does not link the edition")) for p in pages),
     ]
     entries = files.agg(F.coalesce(F.max(F.when(F.col("path") == "feed.xml", F.regexp_count("value", F.lit("<entry>")))), F.lit(0)).alias("n"))
     found.append(entries.crossJoin(F.broadcast(editions.agg(F.count(F.lit(1)).alias("m")))).filter("n <> m").select(*told("feed_count", F.lit("feed.xml"), "entries and editions differ")))  # one row each

@@ -50,6 +50,21 @@ def test_missing_index_is_found(spark):
         assert ("index" in {r["rule"] for r in found.collect()}) == want, files
 
 
+def test_links_of_pages(spark):
+    """DQ-3: every edition without a link on a page is found; names that overlap, null pages and dates, very long pages."""
+    days = ["2026-05-02", "2026-05-09", "2026-05-16", "a/b.c"]
+    e = spark.createDataFrame([(d, *["p"] * len(C.PROSE_FIELDS)) for d in [*days, None]], "date string, " + ", ".join(f"{c} string" for c in C.PROSE_FIELDS))
+    pages = {
+        "index.html": '<a href="editions/2026-05-02.html">editions/editions/2026-05-09.html editions/2026-05-16.htm</a>',
+        "archive.html": "editions/" * 20_000 + "2026-05-16.html " + "x" * 100_000 + "editions/a/b.c.html\neditions/\n2026-05-02.html",
+        "terms.html": None,
+    }
+    files = spark.createDataFrame([*pages.items(), ("articles.json", "[]")], "path string, value string")
+    got = {r["key"] for r in quality.site_rules(files, e).filter("rule = 'unlinked' AND key IS NOT NULL").collect()}
+    assert got == {f"{p}:{d}" for p in ("index.html", "archive.html", "terms.html", "feed.xml") for d in days if f"editions/{d}.html" not in (pages.get(p) or "")}
+    assert got >= {"index.html:2026-05-16", "archive.html:2026-05-02", "terms.html:a/b.c"} and "archive.html:a/b.c" not in got
+
+
 def test_stuck_rows_in_order(spark):
     """SRT-10: longest text first, ties by id, whatever order the rows come in."""
     rows = [(i, True, None if i % 2 else "", "x" * (i % 3 * 10), i) for i in range(9)] + [(20, True, "done", "x" * 99, 0), (21, False, None, "x" * 99, 0), (22, None, None, "x" * 99, 0)]
