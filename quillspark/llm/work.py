@@ -46,11 +46,13 @@ class Workspace:
         self.spark = spark
         self.top = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.written = 0
         prepare(spark)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Write df and read it again; the shuffle files of the job go when it ends."""
-        path = self.paths[name] = f"{self.top}/{name}-{len(self.paths)}"
+        """Write df and read it again, in a folder of its own even if the name was used before; the shuffle files of the job go when it ends."""
+        path = self.paths[name] = f"{self.top}/{name}-{self.written}"
+        self.written += 1
         key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(key, "false")
         self.spark.conf.set(key, "true")

@@ -109,3 +109,20 @@ def test_least_of_the_vectors_of_one_id_asks(spark):
         df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
         got = search(spark, df, df.filter("vec_id = 1"), 3).orderBy("rank").collect()
         assert [(r["vec_id"], round(r["score"], 6)) for r in got] == [(2, 1.0), (4, round(5**0.5, 6)), (3, 5.0)]
+
+
+def test_queries_of_three_blocks(spark, monkeypatch):
+    """The candidates of each block are a table of their own."""
+    from quillspark.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 12)
+    x = np.random.default_rng(11).normal(size=(400, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in search(spark, df, df.filter("vec_id % 10 = 0"), 5, books=4, codes=16).collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert got.keys() == set(range(0, 400, 10))
+    for q, near in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [i for _, i in sorted(near)] == np.argsort(d)[:5].tolist()
