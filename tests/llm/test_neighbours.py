@@ -126,3 +126,25 @@ def test_queries_of_three_blocks(spark, monkeypatch):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
         assert [i for _, i in sorted(near)] == np.argsort(d)[:5].tolist()
+
+
+def test_no_nearest_row_is_missed_where_codes_say_little(spark, monkeypatch):
+    """A tight cluster that one codeword stands for, few rows far out, ties, and rows of the query's own id: exactly what all pairs give."""
+    from quillspark.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "ROW_BLOCK", 300)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([3 + rng.normal(size=(900, 8)) * 1e-5, rng.normal(size=(900, 8)), rng.normal(size=(20, 8)) * 1e6, rng.integers(0, 2, (300, 8)) + 0.5])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, (x[50] + 1e-7 * j).tolist()) for j in range(1, 15)] + [(5000 + i, x[i].tolist()) for i in range(0, 900, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for parts in (1, 12):
+        got = {}
+        for r in search(spark, df.repartition(parts), df.filter("vec_id % 50 = 0"), 10, rerank=15, books=3, codes=8).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+        assert got.keys() == {i for i in ids.tolist() if i % 50 == 0}
+        for q, mine in got.items():
+            own = min(x[ids == q].tolist())
+            d = np.sqrt(((x - own) ** 2).sum(1))
+            order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+            assert [(s, i) for _, s, i in sorted(mine)] == [(d[i], ids[i]) for i in order]
