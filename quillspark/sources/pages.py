@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bounded
+from .tree import closed
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -70,7 +71,7 @@ class _Walk(HTMLParser):
     @classmethod
     def of(cls, html: str | None) -> _Walk:
         w = cls()
-        w.feed(html or "")
+        w.feed(closed(html))
         w.close()
         return w
 

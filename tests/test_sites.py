@@ -59,3 +59,16 @@ def test_tables(spark):
     assert articles(df).count() == 3 and articles(df.limit(0)).count() == 0
     pages = spark.createDataFrame([("http://www.81.cn/yw/index.html", f"<a href='1.html'>{DAY}</a>", "pla_daily", DAY)] * 2, "url string, html string, source_slug string, day string")
     assert [tuple(r) for r in listings(pages).collect()] == [("pla_daily", "http://www.81.cn/yw/1.html")]
+
+
+def test_a_named_reference_needs_its_semicolon():
+    """Titles that end inside a reference keep what is left of it."""
+    from quillspark.sources.pages import _Walk
+
+    html = '<h1>R&amp;D &amp;&amp &ampx; &foo; &lt;b&gt &#38; A & B&am</h1><p>Text of the page with &copy 2024 &apos;and&apos; more than forty characters.</p><a href="/x?a=1&copy=2&amp;b=3">l&amp</a>'
+    title = "R&D &&amp &ampx; &foo; <b&gt & A & B&am"
+    found = article(SITES["global_times_mil"], html, "2024-02-01")
+    assert found == (title, "Text of the page with &copy 2024 'and' more than forty characters.", "2024-02-01")
+    assert Tree(html).anchors()[0][:2] == ("/x?a=1&copy=2&b=3", "l&amp")
+    walk = _Walk.of(html)
+    assert walk.anchors == [("/x?a=1&copy=2&b=3", "l&amp")] and ("h1", "", title) in walk.blocks
