@@ -110,3 +110,10 @@ def test_held_scores_keep_nulls(spark):
 
     df = spark.createDataFrame([(1, -0.5), (2, 0.25), (3, 7.0), (4, None)], "id int, x double")
     assert [r["y"] for r in df.select("id", V.clamp01(F.col("x")).alias("y")).orderBy("id").collect()] == [0.0, 0.25, 1.0, None]
+
+
+def test_a_lint_works_its_summary_out_once(spark):
+    """White space is collapsed once for all the phrases that are looked for."""
+    df = spark.createDataFrame([("A title", "It  is\tnotable. Yes.")], "t string, s string").repartition(1)
+    plan = df.select(F.explode(quality.lint_summary(F.col("t"), F.col("s"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("x1c-") == 1
