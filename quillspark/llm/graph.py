@@ -39,13 +39,16 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     round is written as a table, so lineage stays short and no component meets in one place.
     """
     now = ws.table("edges", edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(now)
+    mark, turn = _mark(now), 0
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         large = ws.table("large", large)
+        if turn:
+            ws.drop("star")  # of the round before, which large was made from
+        turn += 1
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
         nxt = ws.table("star", small.distinct())
