@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from ..plans.versions import Store
 from ..session import bounded, shared_dir
 
 SHINGLE, BANDS, ROWS = 5, 30, 5
-#: Sets whose hashes are fetched by a broadcast of their names (16 bytes each); more are joined.
-BROADCAST_SETS = 200_000
+#: Sets whose hashes are fetched by one broadcast of their names (16 bytes each), and how many broadcasts there may be; more sets are joined.
+BROADCAST_SETS, BROADCASTS = 200_000, 16
 
 _RANDOM = np.random.default_rng(7)
 _PLACES = _RANDOM.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,10 +147,14 @@ def components(tables: _Tables, edges: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b, more) whose sets have a similarity of 0.8 or more."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    if needed.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
-        needed = F.broadcast(needed)
-    some = texts.join(needed, "set", "left_semi")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("set"))
+    parts = -(-needed.distinct().count() // BROADCAST_SETS)
+    if parts <= BROADCASTS:
+        # the texts are filtered where they lie, by some of the names at a time; only what is needed is exchanged
+        mine = lambda k: F.broadcast(needed.filter(F.pmod(F.xxhash64("set"), F.lit(parts)) == k).distinct())
+        some = reduce(DataFrame.unionByName, [texts.join(mine(k), "set", "left_semi") for k in range(parts)]) if parts else texts.limit(0)
+    else:
+        some = texts.join(needed.distinct(), "set", "left_semi")
     side = lambda x: some.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"h_{x}"))
     both = pairs.join(side("a"), "a").filter("n_a * 5 >= n_other * 4 AND n_other * 5 >= n_a * 4").join(side("b"), "b")
     return both.filter(F.size(F.array_intersect("h_a", "h_b")) * 9 >= (F.col("n_a") + F.col("n_b")) * 4)

@@ -100,3 +100,14 @@ def test_shingles_and_keys(spark):
     assert n.tolist() == [1, 2, 1, 1] and hashes[-1] == hashes[-2] and hashes[0] not in hashes[1:]
     keys = N.band_keys(hashes, n)
     assert keys.shape == (4, N.BANDS) and (keys[2] == keys[3]).all() and len(set(keys[0])) == N.BANDS
+
+
+def test_hashes_of_many_sets_are_fetched_without_an_exchange_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(N, "BROADCAST_SETS", 4)
+    name = lambda k: bytearray([k] * 16)
+    texts = spark.createDataFrame([(name(k), 10, list(range(k // 2, k // 2 + 10))) for k in range(40)], "set binary, n int, hashes array<long>")
+    pairs = spark.createDataFrame([(name(k), name(k + j), 10) for k in range(0, 20, 2) for j in (1, 9)], "a binary, b binary, n_other int")
+    found = N._similar(pairs, texts)
+    assert sorted((r["a"][0], r["b"][0]) for r in found.collect()) == [(k, k + 1) for k in range(0, 20, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == plan.count("strategy=broadcast") > 2
