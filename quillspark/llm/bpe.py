@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .work import Workspace, fill, prepare, slices, text_rows
@@ -35,6 +35,18 @@ def load_ranks(path: str) -> bytes:
         return f.read()
 
 
+def read_ranks(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+
+
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id; ids without a rank have none."""
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, k in ranks.items():
+        table[k] = token
+    return table
+
+
 class Encoder(dict):
     """Ids of pieces: looked up, or merged by rank and remembered."""
 
@@ -42,7 +54,7 @@ class Encoder(dict):
         import tiktoken
 
         super().__init__()
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.ranks = read_ranks(ranks)
         self.pattern = regex.compile(pattern)
         self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
 
@@ -106,12 +118,13 @@ def stitch(chunks: list[tuple[str, list[int]]], size: int, pattern) -> list[list
     return out
 
 
-def encode(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """doc_id and ids (array of int) of every row, as encoding the whole text at once gives them.
 
     Strings of special tokens are ordinary text. A null or empty text has no ids; rows with
     null or repeated doc_id each give a row; an empty table gives an empty result. Other
-    columns are not read.
+    columns are not read. With decoded also what decode() makes of the ids; a text of one chunk
+    is then decoded by the worker that encoded it, so that no task needs two workers.
     """
     ws = Workspace(spark)
     shared = spark.sparkContext.broadcast(ranks)
@@ -120,12 +133,15 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str, chu
     def whole(batches):
         enc = encoder(shared, pattern)
         find = enc.pattern.findall
+        get = token_bytes(enc.ranks).__getitem__ if decoded else None
         for b in slices(batches):
             ids, ends = [], [0]
             for t in fill(b.column("text")).to_pylist():
                 ids.append(np.fromiter(enc.encode(find(t)), np.int32))
                 ends.append(ends[-1] + len(ids[-1]))
-            yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(ids))], ["doc_id", "ids"])
+            out = [b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(ids))]
+            back = [pa.array([b"".join(map(get, x.tolist())) for x in ids], pa.binary())] if decoded else []
+            yield pa.record_batch([*out, *back], ["doc_id", "ids", *["decoded"] * decoded])
 
     def chunks(batches):
         for b in slices(batches):
@@ -165,7 +181,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str, chu
                 ids = [list(enc.encode(p)) for p in pieces]
                 yield pa.record_batch([pa.array([r["key"]] * len(ids)), pa.array(range(len(ids)), pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["key", "c", "ids"])
 
-    short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, "doc_id long, ids array<int>")
+    short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
     long = rows.filter(F.length("text") > chunk).withColumn("key", F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256))
     names = ws.table("names", long.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("times")))
     one = long.select("key", "text").dropDuplicates(["key"])
@@ -182,6 +198,8 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str, chu
     ids = ids.unionByName(odd.mapInArrow(join, "key string, c int, ids array<int>"))
     back = ids.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("parts")).join(names, "key")
     back = back.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).select("doc_id", "ids")
+    if decoded:
+        back = decode(spark, back.select("doc_id", "ids", F.col("ids").alias("kept")), ranks).withColumnRenamed("kept", "ids")
     return short.unionByName(back)
 
 
@@ -192,11 +210,7 @@ def decode(spark: SparkSession, coded: DataFrame, ranks: bytes) -> DataFrame:
     kept = [c for c in coded.columns if c != "ids"]
 
     def run(batches):
-        pairs = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, shared.value.splitlines())]
-        table = [b""] * (max(k for k, _ in pairs) + 1)
-        for k, v in pairs:
-            table[k] = v
-        get = table.__getitem__
+        get = token_bytes(read_ranks(shared.value)).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
@@ -207,10 +221,22 @@ def decode(spark: SparkSession, coded: DataFrame, ranks: bytes) -> DataFrame:
     return coded.select(*kept, "ids").mapInArrow(run, f"{schema}, decoded binary")
 
 
+def _digests() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 of ids and decoded."""
+    written = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
+def tokens(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    """doc_id, token_ids, n_tokens and the digests of digests()."""
+    coded = encode(spark, docs, ranks, pattern, decoded=True)
+    return coded.select("doc_id", F.col("ids").alias("token_ids"), *_digests())
+
+
 def digests(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the bytes they decode to."""
-    coded = encode(spark, docs, ranks, pattern).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    return decode(spark, coded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(spark, docs, ranks, pattern, decoded=True)
+    return coded.select("doc_id", *_digests())
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of an Arrow batch: long texts stay far below a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
-#: Bytes of text that one step of numpy work takes at a time.
-SLICE_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch: long texts stay far below a worker's memory, on both sides of the pipe.
+BATCH_ROWS, BATCH_BYTES = 2048, 2 << 20
+#: Bytes of text that one step of numpy work takes at a time: it needs up to a hundred times that.
+SLICE_BYTES = 1 << 19
 
 
 def prepare(spark: SparkSession) -> None:

@@ -74,3 +74,32 @@ def test_query_against_the_library(spark):
         ids = WHOLE.encode_ordinary(texts[r["doc_id"]])
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_a_task_of_the_round_trip_has_one_worker(spark):
+    """No Python step reads another one's rows in the same task, in the query and in the pipeline."""
+    from corpus_pipeline import tokens_stage
+    from quillspark.llm.bpe import op6_bpe_round_trip
+
+    folder = "/root/testdata/sf0.001"
+    for df in (op6_bpe_round_trip(spark, folder), tokens_stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)):
+        open_, most, seen = [df._jdf.queryExecution().sparkPlan()], 0, 0  # before exchanges
+        while open_:
+            node = open_.pop()
+            below = [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "MapInArrow":
+                seen += 1
+                while below and below[0].nodeName() in ("Project", "Filter"):
+                    below = [below[0].children().apply(0)]
+                most += below[0].nodeName() in ("MapInArrow", "Union")
+            open_ += below
+        assert seen >= 2 and not most
+
+
+def test_decoded_ids_of_short_and_long_texts(spark):
+    texts = [None, "", "hello world's  end\n\nx", "é中 " * 400, "a" * 5000, "word " * 900 + "\n\n" + " " * 700 + "end", "word " * 900]
+    rows = [*enumerate(texts), (6, texts[6]), (None, "null id " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    coded = encode(spark, docs, RANKS, public_tokenizers.PATTERN, chunk=512, overlap=32, decoded=True)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], bytes(r["decoded"]), tuple(r["ids"])) for r in coded.collect())
+    assert got == sorted((-1 if i is None else i, (t or "").encode(), tuple(WHOLE.encode_ordinary(t or ""))) for i, t in rows)
